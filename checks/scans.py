@@ -1 +1,246 @@
-"""To come."""
+"""Checks of shard scans, column mapping and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import fixtures as fx
+from checks.oracle import MATCH_STEPS, METRIC_STEPS, METRICS, statement, strip
+from checks.registry import check
+from tuneprep.operators import metrics, splits
+from tuneprep.plans.evaluate import score_answers, score_table
+from tuneprep.session import new_path
+from tuneprep.sources import shards, sinks
+from tuneprep.streaming import ingest
+
+
+@check(
+    "a1_scan_shards",
+    statement(
+        """select *, 'part.parquet' as shard_file, p_partkey as shard_row, p_partkey as index
+           from part"""
+    ),
+)
+def scan_shards(spark, folder):
+    return shards.with_index(shards.scan_shards(spark, f"{folder}/part.parquet"))
+
+
+@check(
+    "a1_union_by_name",
+    statement(
+        """select p_partkey, case when p_partkey % 2 = 0 then p_name end as p_name,
+             case when p_partkey % 2 = 1 then p_type end as p_type from part"""
+    ),
+)
+def union_by_name(spark, folder):
+    """Two kinds of shards in one folder, each without a column of the other."""
+    path = new_path(spark, "mixed")
+    part = fx.table(spark, folder, "part")
+    even = F.col("p_partkey") % 2 == 0
+    part.where(even).select("p_partkey", "p_name").write.parquet(path)
+    part.where(~even).select("p_partkey", "p_type").write.mode("append").parquet(path)
+    return shards.scan_shards(spark, path).select("p_partkey", "p_name", "p_type")
+
+
+@check(
+    "a3_map_columns",
+    statement(
+        """select p_partkey as sample_id, p_brand as image, p_name as disease, p_type as crop,
+             cast(null as varchar) as label_id from part"""
+    ),
+)
+def map_columns(spark, folder):
+    part = fx.table(spark, folder, "part").withColumnRenamed("p_partkey", "sample_id")
+    return shards.map_columns(part, "p_brand", "p_name", "p_type", "", keep=["sample_id"])
+
+
+@check(
+    "a4_label_scan",
+    statement(
+        f"""select label, count(*) as n_rows from
+              (select {strip('disease')} as label from samples) where label <> '' group by 1""",
+        "samples",
+    ),
+)
+def label_scan(spark, folder):
+    from tuneprep.operators.vocab import label_column
+
+    return (
+        label_column(fx.samples(spark, folder), "disease")
+        .groupBy("label")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+
+
+@check(
+    "a5_shard_audit",
+    statement(
+        """select cast(s as int) as shard_id, case when s >= 8 then 'missing'
+             else 'ok' end as state from range(10) r(s)"""
+    ),
+)
+def shard_audit(spark, folder):
+    """Orders written as eight files where ten are wanted."""
+    path = new_path(spark, "shards")
+    fx.table(spark, folder, "orders").repartition(8).write.parquet(path)
+    return shards.shard_audit(spark, path, 10, pattern=r"^part-(\d{5})-.*\.parquet$").select(
+        "shard_id", "state"
+    )
+
+
+@check(
+    "a6_bounded_read",
+    statement("select * from orders order by md5('42:' || o_orderkey) limit 1000"),
+)
+def bounded_read(spark, folder):
+    return splits.take_seeded(fx.table(spark, folder, "orders"), ["o_orderkey"], 1000)
+
+
+SCORED = """
+  select m.*, v.label_id as true_id from matched m left join vocab v on m.true_label = v.label"""
+
+
+@check(
+    "a7_prediction_file",
+    statement(
+        """select l_orderkey as index, true_label, true_id, predicted_label, predicted_id, status,
+             true_id = predicted_id as correct, raw_output as raw_model_output from scored""",
+        "answers",
+        "vocab",
+        **MATCH_STEPS,
+        scored=SCORED,
+    ),
+)
+def prediction_file(spark, folder):
+    path = new_path(spark, "predictions")
+    scored = score_answers(fx.answers(spark, folder), fx.vocab(spark, folder), ["k"])
+    sinks.write_predictions(sinks.prediction_rows(scored, F.col("l_orderkey")), path)
+    return sinks.read_predictions(spark, path)
+
+
+SCORE_STEPS = MATCH_STEPS | {
+    "scored": """
+      select v.label_id as true_id, m.predicted_id as pred_id
+      from matched m left join vocab v on m.true_label = v.label""",
+    "classes": "select label_id from vocab",
+}
+
+
+def rounded(df):
+    """Figures to six digits, as the oracle gives them."""
+    return df.select(
+        *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    )
+
+
+@check("a8_metrics_file", statement(METRICS, "answers", "vocab", **SCORE_STEPS, **METRIC_STEPS))
+def metrics_file(spark, folder):
+    path = new_path(spark, "metrics")
+    scored = score_table(fx.answers(spark, folder), fx.vocab(spark, folder), ["k"])
+    sinks.write_metrics(scored, path)
+    return rounded(spark.read.schema(scored.schema).json(path))
+
+
+@check(
+    "a9_run_log",
+    statement("select event_type as run_id, event_id as epoch, value as train_loss from events"),
+)
+def run_log_file(spark, folder):
+    """A run interrupted half-way: the second part is appended to the first."""
+    path = new_path(spark, "run-log")
+    rows = fx.table(spark, folder, "events").select(
+        F.col("event_type").alias("run_id"),
+        F.col("event_id").alias("epoch"),
+        F.col("value").alias("train_loss"),
+    )
+    early = F.col("epoch") % 2 == 0
+    sinks.append_run_log(rows.where(early), path)
+    sinks.append_run_log(rows.where(~early), path)
+    return sinks.read_run_log(spark, path, "run_id string, epoch bigint, train_loss double")
+
+
+def _write_shards(spark, folder):
+    path = new_path(spark, "stream-shards")
+    fx.branded(spark, folder).repartition(6, "sample_id").write.parquet(path)
+    return path
+
+
+@check(
+    "j1_rolling_ingest",
+    statement(
+        """select disease as label, n.n_labels, n.n_rows, 0 as low, n.n_labels - 1 as high,
+             n.n_labels as n_ids
+           from (select distinct disease from branded),
+             (select count(distinct disease) as n_labels, count(*) as n_rows from branded) n""",
+        "branded",
+    ),
+)
+def rolling_ingest(spark, folder):
+    """Two files at a time; which labels get which ids depends on file times, the set does not."""
+    source, run = _write_shards(spark, folder), new_path(spark, "ingest")
+    stream = ingest.read_shard_stream(spark, source, "sample_id bigint, disease string", 2)
+    ingest.rolling_ingest(
+        stream, f"{run}/vocab", f"{run}/manifest", f"{run}/position"
+    ).awaitTermination()
+    from tuneprep.sources.vocab_store import load_vocab
+
+    vocab = load_vocab(spark, f"{run}/vocab")
+    shape = vocab.agg(
+        F.count(F.lit(1)).alias("n_labels"),
+        F.min("label_id").alias("low"),
+        F.max("label_id").cast("bigint").alias("high"),
+        F.count_distinct("label_id").alias("n_ids"),
+    )
+    n_rows = ingest.read_manifest(spark, f"{run}/manifest").agg(F.sum("n_rows")).scalar()
+    one = F.lit(1).alias("one")
+    return (
+        vocab.select("label", one)
+        .join(shape.select("*", one), "one")
+        .select("label", "n_labels", n_rows.alias("n_rows"), "low", "high", "n_ids")
+    )
+
+
+@check(
+    "j2_chunk_order_ids",
+    statement(
+        """select label, cast(row_number() over (order by chunk, label) - 1 as int) as label_id from
+             (select disease as label, min(chunk) as chunk from branded group by 1)""",
+        "branded",
+    ),
+)
+def chunk_order_ids(spark, folder):
+    """Chunk after chunk, as the stream does it: ids as in one pass over the chunk plan."""
+    run = new_path(spark, "ingest")
+    rows = fx.branded(spark, folder).withColumn("shard_file", F.col("chunk").cast("string"))
+    for chunk in range(6):
+        part = rows.where(F.col("chunk") == chunk).drop("chunk")
+        ingest.process_chunk(part, chunk, f"{run}/vocab", f"{run}/manifest")
+    from tuneprep.sources.vocab_store import load_vocab
+
+    return load_vocab(spark, f"{run}/vocab")
+
+
+@check(
+    "j3_resume_ingest",
+    statement("select cast(count(*) as bigint) as n_rows, 6 as n_shards from branded", "branded"),
+)
+def resume_ingest(spark, folder):
+    """Stopped after the first files and started again: every file is read once."""
+    run, source = new_path(spark, "ingest"), new_path(spark, "stream-shards")
+    rows = fx.branded(spark, folder)
+
+    def go_on():
+        stream = ingest.read_shard_stream(spark, source, "sample_id bigint, disease string", 2)
+        ingest.rolling_ingest(
+            stream, f"{run}/vocab", f"{run}/manifest", f"{run}/position"
+        ).awaitTermination()
+
+    early = F.col("sample_id") % 2 == 0
+    rows.where(early).repartition(3, "sample_id").write.parquet(source)
+    go_on()
+    rows.where(~early).repartition(3, "sample_id").write.mode("append").parquet(source)
+    go_on()
+    manifest = ingest.read_manifest(spark, f"{run}/manifest")
+    return manifest.agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.size("shards")).cast("int").alias("n_shards")
+    )

@@ -104,20 +104,21 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def token_rows(spark: SparkSession, folder: str) -> DataFrame:
+def token_rows(documents: DataFrame) -> DataFrame:
     """Whole documents as token examples; some are bad, some lack labels."""
     from tuneprep.functions.tokens import mask_prompt, word_ids
 
     k = F.col("doc_id")
-    ids = table(spark, folder, "documents").select(
+    ids = documents.select(
         "doc_id",
+        "batch_id",
         word_ids(F.col("text")).alias("input_ids"),
         (k % 7).cast("int").alias("n_prompt"),
         F.when(k % 31 == 0, F.lit("no_target")).alias("reason"),
     )
     return ids.select(
         "*",
-        F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"),
+        F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"),
         F.when(k % 97 != 1, mask_prompt(F.col("input_ids"), F.col("n_prompt"))).alias("labels"),
     )
 

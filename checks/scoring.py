@@ -115,7 +115,7 @@ def default_classes(spark, folder):
     ),
 )
 def metrics_default_classes(spark, folder):
-    return rounded(metrics.classification_metrics(fx.class_pairs(spark, folder)))
+    return rounded(metrics.classification_metrics(materialise(_pairs(spark, folder), "pairs")))
 
 
 @check(

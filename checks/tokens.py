@@ -243,7 +243,8 @@ COLLATED = {
 
 
 def _placed(spark, folder):
-    return splits.assign_batches(splits.shuffled(fx.token_rows(spark, folder), ["doc_id"]), 16)
+    documents = fx.table(spark, folder, "documents").select("doc_id", "text")
+    return fx.token_rows(splits.assign_batches(splits.shuffled(documents, ["doc_id"]), 16))
 
 
 @check(
@@ -403,7 +404,13 @@ def tokenise_plugin(spark, folder):
 def training_batches(spark, folder):
     """From turns to padded batches of one epoch."""
     made = prepare.training_batches(
-        _examples(spark, folder), ["conv_id", "turn"], batch_size=16, pad_id=0, epoch=1
+        fx.turns(spark, folder),
+        ["conv_id", "turn"],
+        batch_size=16,
+        pad_id=0,
+        epoch=1,
+        image_tokens=F.col("turn") % 5,
+        image_id=7,
     )
 
     def text_of(name):

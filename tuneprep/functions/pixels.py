@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tuneprep.functions.binding import let
+
 # First bytes of image files, in hex, and the format they mark.
 MAGIC = {
     "89504E470D0A1A0A": "png",
@@ -98,17 +100,17 @@ def pixel_values(values: Column, kind: Column) -> Column:
         .when(x == float("-inf"), F.lit(0.0))
         .otherwise(x),
     )
-    unit = (F.array_min(finite) >= 0.0) & (F.array_max(finite) <= 1.0)
-    scale = F.when(unit, F.lit(255.0)).otherwise(F.lit(1.0))
 
-    def clipped(array: Column, factor: Column) -> Column:
-        return F.transform(
-            array,
-            lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x * factor)).cast("int"),
-        )
+    def clipped(x: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)).cast("int")
 
-    return F.when(kind == "float", clipped(finite, scale)).when(
-        kind.isin("int", "uint8"), clipped(values, F.lit(1.0))
+    def scaled(array: Column) -> Column:
+        unit = (F.array_min(array) >= 0.0) & (F.array_max(array) <= 1.0)
+        factor = F.when(unit, F.lit(255.0)).otherwise(F.lit(1.0))
+        return let(factor, lambda by: F.transform(array, lambda x: clipped(x * by)))
+
+    return F.when(kind == "float", let(finite, scaled)).when(
+        kind.isin("int", "uint8"), F.transform(values, clipped)
     )
 
 
@@ -142,20 +144,23 @@ def pixel_layout(shape: Column) -> Column:
 
 def to_rgb(pixels: Column, layout: Column) -> Column:
     """Flat pixels in row order, three per point: grey repeated, alpha dropped."""
-    height, width, channels = layout["height"], layout["width"], layout["channels"]
-    plane = height * width
-
-    def value(i: Column) -> Column:
-        point = F.floor(i / F.lit(3)).cast("int")
-        channel = F.when(channels == 1, F.lit(0)).otherwise(i % F.lit(3))
-        at = F.when(layout["layout"] == "chw", channel * plane + point).otherwise(
-            point * channels + channel
-        )
-        return F.get(pixels, at.cast("int"))
 
-    return F.when(
-        layout.isNotNull(), F.transform(F.sequence(F.lit(0), plane * F.lit(3) - 1), value)
-    )
+    def points(bound: Column) -> Column:
+        flat, shape = bound["flat"], bound["shape"]
+        channels, plane = shape["channels"], shape["height"] * shape["width"]
+
+        def value(i: Column) -> Column:
+            point = F.floor(i / F.lit(3)).cast("int")
+            channel = F.when(channels == 1, F.lit(0)).otherwise(i % F.lit(3))
+            at = F.when(shape["layout"] == "chw", channel * plane + point).otherwise(
+                point * channels + channel
+            )
+            return F.get(flat, at.cast("int"))
+
+        return F.transform(F.sequence(F.lit(0), plane * F.lit(3) - 1), value)
+
+    bound = F.struct(pixels.alias("flat"), layout.alias("shape"))
+    return F.when(layout.isNotNull(), let(bound, points))
 
 
 def final_size(width: Column, height: Column) -> Column:
@@ -170,18 +175,22 @@ def final_size(width: Column, height: Column) -> Column:
 
 def grow_tiny(rgb: Column, width: Column, height: Column) -> Column:
     """Flat RGB pixels after the tiny-image rule, by nearest neighbour."""
-    new_width = F.greatest(width, F.lit(2))
-    new_height = F.greatest(height, F.lit(2))
-
-    def value(i: Column) -> Column:
-        point = F.floor(i / F.lit(3)).cast("int")
-        row = F.least(F.floor(point / new_width).cast("int"), height - 1)
-        column = F.least((point % new_width).cast("int"), width - 1)
-        return F.get(rgb, ((row * width + column) * 3 + i % F.lit(3)).cast("int"))
-
-    tiny = (width == 1) | (height == 1)
-    grown = F.transform(F.sequence(F.lit(0), new_width * new_height * F.lit(3) - 1), value)
-    return F.when(tiny, grown).otherwise(rgb)
+
+    def points(bound: Column) -> Column:
+        flat, old_width, old_height = bound["flat"], bound["width"], bound["height"]
+        new_width = F.greatest(old_width, F.lit(2))
+        new_height = F.greatest(old_height, F.lit(2))
+
+        def value(i: Column) -> Column:
+            point = F.floor(i / F.lit(3)).cast("int")
+            row = F.least(F.floor(point / new_width).cast("int"), old_height - 1)
+            column = F.least((point % new_width).cast("int"), old_width - 1)
+            return F.get(flat, ((row * old_width + column) * 3 + i % F.lit(3)).cast("int"))
+
+        return F.transform(F.sequence(F.lit(0), new_width * new_height * F.lit(3) - 1), value)
+
+    bound = F.struct(rgb.alias("flat"), width.alias("width"), height.alias("height"))
+    return F.when((width == 1) | (height == 1), let(bound, points)).otherwise(rgb)
 
 
 def pixel_budget(

@@ -36,7 +36,11 @@ LEAD_IN_PATTERN = (
     "^(?i:(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in LEAD_INS) + ")"
     + WHITESPACE_CLASS + "*)+"
 )
-NOT_WORD = r"[^\p{L}\p{N}_]"
+# Hyphen, slashes, underscore and whitespace part words; what is neither part of a
+# word nor between words is dropped.
+SEPARATORS = r"\-/\\_" + WHITESPACE_CLASS[1:-1]
+DROPPED = r"[^0-9A-Za-z" + SEPARATORS + r"\p{L}\p{N}]"
+FIRST_LINE = "^" + WHITESPACE_CLASS + r"*([^\r\n]*)"
 
 
 def strip(text: Column) -> Column:
@@ -47,10 +51,9 @@ def strip(text: Column) -> Column:
 def first_line(text: Column) -> Column:
     """The first non-empty line, stripped. CR counts as a line end.
 
-    After a strip the text starts with a visible character, so its first line is
-    the first non-empty one and the rest of a long text need not be split.
+    The pattern stops at the end of that line, however long the text is.
     """
-    return strip(F.substring_index(F.translate(strip(text), "\r", "\n"), "\n", 1))
+    return F.rtrim(F.regexp_extract(text, FIRST_LINE, 1), F.lit(WHITESPACE))
 
 
 def normalise_label(text: Column) -> Column:
@@ -61,12 +64,9 @@ def normalise_label(text: Column) -> Column:
     gives the empty string.
     """
     answer = F.btrim(first_line(F.coalesce(text, F.lit(""))), F.lit(WRAPPERS))
-    answer = strip(F.regexp_replace(answer, LEAD_IN_PATTERN, ""))
-    answer = F.translate(answer, "-/\\", "___")
-    answer = F.regexp_replace(answer, WHITESPACE_CLASS + "+", "_")
-    answer = F.regexp_replace(answer, NOT_WORD, "")
-    answer = F.regexp_replace(answer, "_+", "_")
-    return F.lower(F.btrim(answer, F.lit("_")))
+    answer = F.regexp_replace(answer, LEAD_IN_PATTERN, "")
+    words = F.regexp_replace(F.regexp_replace(answer, DROPPED, ""), f"[{SEPARATORS}]+", "_")
+    return F.lower(F.btrim(words, F.lit("_")))
 
 
 def clean_label(label: Column) -> Column:

@@ -9,6 +9,7 @@ from tuneprep.functions.text import WHITESPACE_CLASS, strip
 
 # Fixed value: labels with this id do not count in the loss.
 IGNORE = -100
+NO_TARGET = "no_target"
 
 
 def split_words(text: Column) -> Column:
@@ -40,7 +41,8 @@ def boundary(all_len: Column, text_len: Column, prompt_len: Column) -> Column:
 
 def mask_prompt(ids: Column, prompt: Column) -> Column:
     """The ids as labels, with the first ``prompt`` ones ignored."""
-    return F.transform(ids, lambda x, i: F.when(i < prompt, F.lit(IGNORE)).otherwise(x))
+    masked = F.least(prompt, F.size(ids)).cast("int")
+    return F.concat(F.array_repeat(F.lit(IGNORE), masked), completion(ids, prompt))
 
 
 def target_count(labels: Column) -> Column:
@@ -50,7 +52,7 @@ def target_count(labels: Column) -> Column:
 
 def target_fault(labels: Column) -> Column:
     """``no_target`` when the mask leaves nothing to learn; null otherwise."""
-    return F.when(target_count(labels) <= 0, F.lit("no_target"))
+    return F.when(target_count(labels) <= 0, F.lit(NO_TARGET))
 
 
 def left_pad(values: Column, length: Column, fill: Column | int) -> Column:

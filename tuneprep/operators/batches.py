@@ -21,19 +21,21 @@ def collate(df: DataFrame, pad_id: int, batch_col: str = "batch_id") -> DataFram
     ``padding`` counts the cells added per row. A batch never has more rows than
     the batch size, which bounds the window.
     """
-    valid = df.where(F.col("reason").isNull()) if "reason" in df.columns else df
+    valid = F.col("reason").isNull() if "reason" in df.columns else F.lit(True)
     batch = W.partitionBy(batch_col)
-    longest = F.max(F.size("input_ids")).over(batch)
-    sized = valid.withColumn("padded_length", longest)
-    out = sized
+    out = df.withColumn("padded_length", F.max(F.when(valid, F.size("input_ids"))).over(batch))
     if "labels" in df.columns:
-        complete = F.min(F.col("labels").isNotNull()).over(batch)
-        out = out.withColumn("_complete", complete).withColumn(
-            "labels",
-            F.when(F.col("_complete"), left_pad(F.col("labels"), F.col("padded_length"), IGNORE)),
-        ).drop("_complete")
+        complete = F.min(F.when(valid, F.col("labels").isNotNull())).over(batch)
+        padded = left_pad(F.col("labels"), F.col("padded_length"), IGNORE)
+        out = (
+            out.withColumn("_complete", complete)
+            .withColumn("labels", F.when(F.col("_complete"), padded))
+            .drop("_complete")
+        )
+    # Dropped after the window: a filter below it would tokenise every row twice.
     return (
-        out.withColumn("padding", F.col("padded_length") - F.size("input_ids"))
+        out.where(valid)
+        .withColumn("padding", F.col("padded_length") - F.size("input_ids"))
         .withColumn(
             "attention_mask", left_pad(F.col("attention_mask"), F.col("padded_length"), 0)
         )

@@ -51,17 +51,21 @@ def salted_join(
     row_key: Sequence[str] = (),
     hot_share: float = HOT_SHARE,
     salts: int = SALTS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join in which the rows of a hot key go to ``salts`` tasks.
 
     At most ``1 / hot_share`` keys can hold that share of the rows, so the list of
     hot keys is bounded whatever the data and may be broadcast. Only the table
     rows of hot keys are copied. The salt is a hash of ``row_key``, so a task that
-    is run again gives every row the same salt.
+    is run again gives every row the same salt. ``counts`` (the key and ``_rows``)
+    saves the pass that counts the rows per key, where that is known already.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"salted_join supports left and inner joins, not {how!r}")
-    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts is None:
+        keyed = rows.where(F.col(on).isNotNull())
+        counts = keyed.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
     hot = counts.where(F.col("_rows") >= total * F.lit(hot_share)).select(
         on, F.lit(True).alias("_hot")

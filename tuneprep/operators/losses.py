@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tuneprep.functions.binding import let
 from tuneprep.functions.tokens import IGNORE
 
 
@@ -16,14 +17,15 @@ class LossError(ValueError):
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Log-sum-exp of the logits minus the logit of the label; null if ignored."""
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(
-        F.transform(logits, lambda x: F.exp(x.cast("double") - top)),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
+
+    def log_sum(top: Column) -> Column:
+        total = F.aggregate(
+            logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)
+        )
+        return top + F.log(total)
+
     target = F.get(logits, label).cast("double")
-    return F.when(label != IGNORE, top + F.log(total) - target)
+    return F.when(label != IGNORE, let(F.array_max(logits).cast("double"), log_sum) - target)
 
 
 def causal_pairs(

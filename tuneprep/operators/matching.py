@@ -51,7 +51,7 @@ def match_predictions(
 
     A vocabulary within the broadcast bound is looked up once per prefix and suffix
     length, in one stage without a shuffle. A larger one is joined with the
-    distinct unmatched answers and the result is joined back.
+    distinct answers and the result is joined back.
     """
     forms = materialise(normalised_vocab(vocab), "vocab-forms")
     words = F.size(F.split("norm", "_"))
@@ -63,14 +63,15 @@ def match_predictions(
         shown = [r["label"] for r in forms.where("fault is not null").orderBy("norm", "label").take(4)]
         raise VocabularyError(f"labels cannot be told apart after normalising: {shown}")
     entries = forms.select("norm", _priority(longest).alias("entry"))
-    answers = predictions.withColumn("normalised", normalise_label(F.col(raw_col)))
-    most = check["words"] or 0
-    if fits_broadcast(forms, max_rows, max_bytes) and (not containment or most <= LOOKUP_WORDS):
-        matched = _by_lookup(answers, entries, most if containment else 0)
+    most = check["words"] or 0 if containment else 0
+    if fits_broadcast(forms, max_rows, max_bytes) and most <= LOOKUP_WORDS:
+        answers = predictions.withColumn("normalised", normalise_label(F.col(raw_col)))
+        matched = _by_lookup(answers, entries, most)
     else:
-        matched = _by_shuffle(answers, entries, most if containment else 0, row_key)
+        matched = _by_shuffle(predictions, raw_col, entries, most, row_key)
     return matched.select(
-        *answers.columns,
+        *predictions.columns,
+        "normalised",
         F.coalesce("_match.label", F.lit(UNKNOWN_LABEL)).alias("predicted_label"),
         F.coalesce("_match.label_id", F.lit(UNKNOWN_ID)).alias("predicted_id"),
         F.when(F.col("_match").isNotNull(), MATCHED).otherwise(UNKNOWN).alias("status"),
@@ -101,10 +102,15 @@ def _by_lookup(answers: DataFrame, entries: DataFrame, words: int) -> DataFrame:
 
 
 def _by_shuffle(
-    answers: DataFrame, entries: DataFrame, words: int, row_key: Sequence[str]
+    predictions: DataFrame, raw_col: str, entries: DataFrame, words: int, row_key: Sequence[str]
 ) -> DataFrame:
-    # Map-side combine leaves one row per distinct answer, however often it occurs.
-    texts = answers.select("normalised").where(F.col("normalised") != "").distinct()
+    keyed = predictions.withColumn("_text", F.coalesce(F.col(raw_col), F.lit("")))
+    # Map-side combine leaves one row per distinct answer, however often it occurs;
+    # only these are normalised and matched, and their counts name the hot ones.
+    counts = keyed.groupBy("_text").agg(F.count(F.lit(1)).alias("_rows"))
+    texts = materialise(
+        counts.withColumn("normalised", normalise_label(F.col("_text"))), "answer-texts"
+    )
     lengths = F.sequence(F.lit(1), F.least(F.size(F.split("normalised", "_")), F.lit(words)))
     pieces = F.array(F.col("normalised"))
     if words:
@@ -115,13 +121,16 @@ def _by_shuffle(
                 F.transform(lengths, lambda n: _words(F.col("normalised"), -n)),
             )
         )
-    candidates = texts.select("normalised", F.explode(pieces).alias("norm"))
+    distinct = texts.select("normalised").where(F.col("normalised") != "").distinct()
+    candidates = distinct.select("normalised", F.explode(pieces).alias("norm"))
+    part = (F.col("norm") != F.col("normalised")).alias("part")
     found = (
         salted_join(candidates, entries, "norm", "inner", ["normalised"])
         .groupBy("normalised")
-        .agg(
-            F.min(F.struct((F.col("norm") != F.col("normalised")).alias("part"), "entry")).alias("m")
-        )
+        .agg(F.min(F.struct(part, "entry")).alias("m"))
         .select("normalised", F.col("m.entry").alias("_match"))
     )
-    return salted_join(answers, materialise(found, "answer-matches"), "normalised", "left", row_key)
+    matches = salted_join(texts.drop("_rows"), found, "normalised", "left", ["_text"])
+    return salted_join(
+        keyed, materialise(matches, "answer-matches"), "_text", "left", row_key, counts=texts
+    )

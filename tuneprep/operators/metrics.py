@@ -140,18 +140,13 @@ def unknown_rate(df: DataFrame, status_col: str = "status") -> DataFrame:
 
 
 def classification_metrics(
-    df: DataFrame,
-    true_col: str = "true_id",
-    pred_col: str = "pred_id",
-    classes: DataFrame | None = None,
-    unknown_id: int = -1,
-    pairs: DataFrame | None = None,
+    pairs: DataFrame, classes: DataFrame | None = None, unknown_id: int = -1
 ) -> DataFrame:
-    """All metrics in one row. The data is read once, into the pair counts.
+    """All metrics in one row, from the pair counts of ``confusion``.
 
-    ``pairs`` takes pair counts that were already made (and perhaps materialised).
+    Several aggregates read the pairs; materialise them if they come from a large
+    table.
     """
-    pairs = confusion(df, true_col, pred_col) if pairs is None else pairs
     scored = per_class(pairs, classes)
     unknown = F.sum(F.when(F.col("pred_id") == unknown_id, F.col("n")).otherwise(F.lit(0)))
     overall = pairs.agg(

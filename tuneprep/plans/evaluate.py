@@ -12,7 +12,7 @@ from tuneprep.functions.text import strip
 from tuneprep.operators.inference import Predict, predict
 from tuneprep.operators.joins import lookup_join
 from tuneprep.operators.matching import match_predictions
-from tuneprep.operators.metrics import classification_metrics, confusion, guard
+from tuneprep.operators.metrics import classification_metrics, guard
 from tuneprep.operators.splits import take_seeded
 from tuneprep.operators.validation import good_rows, require_good, resolve_labels
 from tuneprep.operators.vocab import require_valid
@@ -42,17 +42,31 @@ def score_answers(
 
 
 def score_table(
-    answers: DataFrame, vocab: DataFrame, row_key: Sequence[str], raw_col: str = "raw_output"
+    answers: DataFrame, vocab: DataFrame, row_key: Sequence[str] = (), raw_col: str = "raw_output"
 ) -> DataFrame:
     """The metrics of a table of ``true_label`` and raw answers, as one row.
 
-    The answers are matched and counted in one pass; what is written down is the
-    table of (true, predicted) pairs, from which every figure follows.
+    Equal answers to equal labels are counted first, in the map tasks; the text
+    work and all joins see each such pair once. Which rows they came from does not
+    matter to the figures, so ``row_key`` is not needed.
     """
-    scored = score_answers(answers, vocab, row_key, raw_col)
-    pairs = materialise(confusion(scored, "true_id", "predicted_id"), "class-pairs")
+    grouped = _distinct_answers(answers.withColumnRenamed(raw_col, "raw_output"), "true_label")
+    scored = score_answers(grouped, vocab, ["true_label", "raw_output"])
+    return _metrics(scored, vocab)
+
+
+def _distinct_answers(answers: DataFrame, truth: str) -> DataFrame:
+    return answers.groupBy(truth, "raw_output").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _metrics(scored: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Metrics of matched answers that stand for ``n`` rows each."""
+    pairs = materialise(
+        scored.groupBy("true_id", F.col("predicted_id").alias("pred_id")).agg(F.sum("n").alias("n")),
+        "class-pairs",
+    )
     guard(pairs, vocab)
-    return classification_metrics(scored, classes=vocab, pairs=pairs)
+    return classification_metrics(classes=vocab, pairs=pairs)
 
 
 def evaluate(
@@ -91,6 +105,6 @@ def evaluate(
     predictions = match_predictions(answers, vocab, "raw_output", row_key).withColumn(
         "correct", F.col("true_id") == F.col("predicted_id")
     )
-    pairs = materialise(confusion(predictions, "true_id", "predicted_id"), "class-pairs")
-    guard(pairs, vocab)
-    return Evaluation(predictions, classification_metrics(predictions, classes=vocab, pairs=pairs))
+    grouped = _distinct_answers(answers, "true_id")
+    matched = match_predictions(grouped, vocab, "raw_output", ["true_id", "raw_output"])
+    return Evaluation(predictions, _metrics(matched, vocab))

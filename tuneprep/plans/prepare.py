@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.chat import ChatTemplate, conversation, render
-from tuneprep.functions.tokens import boundary, mask_prompt, target_fault, word_ids
+from tuneprep.functions.tokens import NO_TARGET, boundary, mask_prompt, word_ids
 from tuneprep.operators.batches import collate
 from tuneprep.operators.splits import assign_batches, shuffled
 
@@ -50,21 +50,32 @@ def training_rows(
     edge = boundary(F.size("input_ids"), F.size("_text_ids"), F.col("prompt_length"))
     return (
         ids.withColumn("boundary", edge)
-        .withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+        .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
         .withColumn("labels", mask_prompt(F.col("input_ids"), F.col("boundary")))
-        .withColumn("reason", target_fault(F.col("labels")))
+        .withColumn("reason", F.when(F.col("boundary") >= F.size("input_ids"), F.lit(NO_TARGET)))
         .drop("_text_ids", "_image_ids")
     )
 
 
 def training_batches(
-    examples: DataFrame,
+    checked: DataFrame,
     key: Sequence[str],
     batch_size: int,
     pad_id: int,
     seed: int = 42,
     epoch: int = 0,
+    template: ChatTemplate = ChatTemplate(),
+    tokenise: Callable[[Column], Column] = word_ids,
+    image_tokens: Column | None = None,
+    image_id: int = 0,
 ) -> DataFrame:
-    """Examples in the epoch's seeded order, in padded batches."""
-    placed = assign_batches(shuffled(examples, key, seed, epoch), batch_size)
-    return collate(placed, pad_id)
+    """Checked samples as token examples in padded batches, in the epoch's seeded order.
+
+    Places are given to the samples before they become tokens, so the first
+    shuffle moves text and the tokenising is spread evenly over the tasks.
+    """
+    placed = assign_batches(shuffled(checked, key, seed, epoch), batch_size)
+    examples = training_rows(
+        placed, template, [*key, "batch_id"], tokenise, image_tokens, image_id
+    )
+    return collate(examples, pad_id)

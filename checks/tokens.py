@@ -290,7 +290,7 @@ def padding_waste(spark, folder):
     statement(
         """select batch_id, count(*) as n_rows from
              (select conv_id, turn, case when len(text) < 400 then 'short' end as reason,
-                (row_number() over (order by md5('42:0:' || conv_id || '-' || turn)) - 1) // 2
+                (row_number() over (order by md5('42:0:' || conv_id || chr(31) || turn)) - 1) // 2
                   as batch_id from conversations)
            group by 1 having count(*) filter (reason is null) = 0"""
     ),
@@ -395,7 +395,7 @@ def tokenise_plugin(spark, folder):
               md5({joined('list_concat(list_resize([]::int[], n - len(ids), 0), ids)')}) as input_ids,
               md5({joined('list_concat(list_resize([]::int[], n - len(ids), -100), labels)')}) as labels
             from (select *, max(len(ids)) over (partition by batch_id) as n from
-              (select *, (row_number() over (order by md5('42:1:' || conv_id || '-' || turn)) - 1) // 16
+              (select *, (row_number() over (order by md5('42:1:' || conv_id || chr(31) || turn)) - 1) // 16
                  as batch_id from examples) where len(ids) > edge)""",
         "turns",
         **EXAMPLES,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tuneprep.session import materialise
@@ -15,13 +15,27 @@ HOT_SHARE = 0.001
 SALTS = 64
 
 
+def size_columns(table: DataFrame) -> list[Column]:
+    """Aggregates that measure a table: ``_rows`` and ``_bytes``."""
+    size = F.octet_length(F.to_json(F.struct(*table.columns)))
+    return [
+        F.count(F.lit(1)).alias("_rows"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("_bytes"),
+    ]
+
+
+def within(
+    measured: Row, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether a measured table may be broadcast."""
+    return measured["_rows"] <= max_rows and measured["_bytes"] <= max_bytes
+
+
 def fits_broadcast(
     table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Measure a table, in one aggregate job, against the broadcast bound."""
-    size = F.octet_length(F.to_json(F.struct(*table.columns)))
-    rows, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return rows <= max_rows and total <= max_bytes
+    return within(table.agg(*size_columns(table)).first(), max_rows, max_bytes)
 
 
 def lookup_join(

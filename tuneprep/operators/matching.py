@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import normalise_label
-from tuneprep.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, salted_join
+from tuneprep.operators.joins import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    salted_join,
+    size_columns,
+    within,
+)
 from tuneprep.operators.vocab import VocabularyError, normalised_vocab
 from tuneprep.session import materialise
 
@@ -56,6 +62,7 @@ def match_predictions(
     forms = materialise(normalised_vocab(vocab), "vocab-forms")
     words = F.size(F.split("norm", "_"))
     check = forms.agg(
+        *size_columns(forms),
         F.max("fault").alias("fault"),
         F.max(words).alias("words"),
     ).first()
@@ -64,7 +71,7 @@ def match_predictions(
         raise VocabularyError(f"labels cannot be told apart after normalising: {shown}")
     entries = forms.select("norm", _priority(longest).alias("entry"))
     most = check["words"] or 0 if containment else 0
-    if fits_broadcast(forms, max_rows, max_bytes) and most <= LOOKUP_WORDS:
+    if within(check, max_rows, max_bytes) and most <= LOOKUP_WORDS:
         answers = predictions.withColumn("normalised", normalise_label(F.col(raw_col)))
         matched = _by_lookup(answers, entries, most)
     else:

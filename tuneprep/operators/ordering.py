@@ -18,10 +18,12 @@ ROWS_PER_BUCKET = 100_000
 def seeded_hash(seed: int, *key: str, epoch: int | None = None) -> Column:
     """The hash text that orders rows for a seed (and, if given, an epoch).
 
-    ``key`` must identify a row. The same seed always gives the same order.
+    ``key`` must identify a row; several columns are joined by the unit separator.
+    The same seed always gives the same order.
     """
     start = f"{seed}:" if epoch is None else f"{seed}:{epoch}:"
-    return F.md5(F.concat(F.lit(start), F.concat_ws("-", *[F.col(c).cast("string") for c in key])))
+    parts = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in key])
+    return F.md5(F.concat(F.lit(start), parts))
 
 
 def _buckets(df: DataFrame, hash_col: str, digits: int) -> DataFrame:
@@ -121,15 +123,21 @@ def running(
     table of bucket totals.
     """
     combine = {"sum": F.sum, "max": F.max}
-    keys = [*by, "_bucket"]
+    # Keys without null, so that the join below can use the windows' partitioning.
     bucketed = df.withColumn("_bucket", F.floor(F.col(position) / F.lit(rows_per_bucket)))
+    groups = []
+    for n, name in enumerate(by):
+        groups.append(f"_by_{n}")
+        text = F.coalesce(F.col(name).cast("string"), F.lit("\x00"))
+        bucketed = bucketed.withColumn(f"_by_{n}", text)
     for name, (_, value) in values.items():
         bucketed = bucketed.withColumn(f"_value_{name}", value)
+    keys = [*groups, "_bucket"]
 
     totals = bucketed.groupBy(*keys).agg(
         *[combine[kind](f"_value_{name}").alias(f"_total_{name}") for name, (kind, _) in values.items()]
     )
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[
@@ -139,21 +147,18 @@ def running(
     )
     last = 0 if inclusive else -1
     local = W.partitionBy(*keys).orderBy(position).rowsBetween(W.unboundedPreceding, last)
-    out = bucketed
-    for name, (kind, _) in values.items():
-        out = out.withColumn(f"_local_{name}", combine[kind](f"_value_{name}").over(local))
-    # Both sides have at most rows_per_bucket rows per key. Null groups are kept.
-    left, right = out.alias("l"), offsets.alias("r")
-    same = F.lit(True)
-    for key in keys:
-        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    joined = left.join(right, same)
+    placed = bucketed.select(
+        *df.columns,
+        *keys,
+        *[
+            combine[kind](f"_value_{name}").over(local).alias(f"_local_{name}")
+            for name, (kind, _) in values.items()
+        ],
+    )
     results = []
     for name, (kind, _) in values.items():
-        here, before = F.col(f"l._local_{name}"), F.col(f"r._before_{name}")
-        if kind == "sum":
-            total = F.coalesce(before + here, here, before)
-        else:
-            total = F.greatest(before, here)
-        results.append(total.alias(name))
-    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], *results)
+        here, before = F.col(f"_local_{name}"), F.col(f"_before_{name}")
+        both = F.coalesce(before + here, here, before) if kind == "sum" else F.greatest(before, here)
+        results.append(both.alias(name))
+    # At most rows_per_bucket rows per key.
+    return placed.join(offsets, keys).select(*df.columns, *results)

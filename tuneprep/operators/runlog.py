@@ -113,30 +113,26 @@ def early_stop(
     ``epoch`` counts from 1 without gaps. The epoch at which ``no_improve`` reaches
     ``patience`` is the last one kept and has ``stopped`` set.
     """
-    best = running(
-        log, by, "epoch", {"_best": ("max", F.nanvl(F.col(score), F.lit(None).cast("double")))},
-        inclusive=False,
-        rows_per_bucket=rows_per_bucket,
+    # The last improvement before or at an epoch is the first epoch with the highest
+    # score so far, so one running maximum gives both.
+    candidate = F.when(
+        _above(F.col(score), F.lit(start)),
+        F.struct(F.col(score).alias("score"), (-F.col("epoch")).alias("early")),
     )
-    better = _above(F.col(score), F.greatest(F.col("_best"), F.lit(start)))
-    marked = best.withColumn("improved", better).drop("_best")
-    last = running(
-        marked,
-        by,
-        "epoch",
-        {"_last": ("max", F.when(F.col("improved"), F.col("epoch")).otherwise(F.lit(0)))},
+    best = running(log, by, "epoch", {"_best": ("max", candidate)}, rows_per_bucket=rows_per_bucket)
+    since = F.col("epoch") - F.coalesce(-F.col("_best.early"), F.lit(0))
+    counted = best.withColumn("no_improve", since.cast("int")).drop("_best")
+    over = F.when(F.col("no_improve") >= patience, F.lit(1)).otherwise(F.lit(0))
+    marked = running(
+        counted, by, "epoch", {"_over": ("max", over)}, inclusive=False,
         rows_per_bucket=rows_per_bucket,
-    ).withColumn("no_improve", (F.col("epoch") - F.col("_last")).cast("int")).drop("_last")
-    over = last.withColumn(
-        "_over", F.when(F.col("no_improve") >= patience, F.col("epoch"))
     )
-    stop = over.groupBy(*by).agg(F.min("_over").alias("_stop"))
-    kept = over.join(stop, list(by)).where(
-        F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop"))
+    return (
+        marked.where(F.coalesce("_over", F.lit(0)) == 0)
+        .withColumn("improved", F.col("no_improve") == 0)
+        .withColumn("stopped", F.col("no_improve") >= patience)
+        .drop("_over")
     )
-    return kept.withColumn(
-        "stopped", F.coalesce(F.col("epoch") == F.col("_stop"), F.lit(False))
-    ).drop("_over", "_stop")
 
 
 def resume_position(

@@ -13,7 +13,7 @@ from tuneprep.operators.inference import Predict, predict
 from tuneprep.operators.joins import lookup_join
 from tuneprep.operators.matching import match_predictions
 from tuneprep.operators.metrics import classification_metrics, guard
-from tuneprep.operators.splits import take_seeded
+from tuneprep.operators.splits import first_rows
 from tuneprep.operators.validation import good_rows, require_good, resolve_labels
 from tuneprep.operators.vocab import require_valid
 from tuneprep.session import materialise
@@ -83,15 +83,16 @@ def evaluate(
     """Check samples, ask the model, match its answers and score them.
 
     The model sees only ``inputs``; the true label must not be among them. In
-    strict mode a bad row is an error, else it is left out. The answers, the
-    costly part, are written to the shared folder once.
+    strict mode a bad row is an error, else it is left out. ``max_samples`` keeps
+    the first rows by ``row_key``. The answers, the costly part, are written to the
+    shared folder once.
     """
     if {"disease", "label_id", "true_label"} & set(inputs):
         raise ValueError("the model must not see the answer")
     checked = resolve_labels(samples, require_valid(vocab), row_key)
     rows = require_good(checked) if strict else good_rows(checked)
     if max_samples is not None:
-        rows = take_seeded(rows, row_key, max_samples)
+        rows = first_rows(rows, row_key, max_samples)
     asked = predict(rows, make_model, inputs, batch_size=batch_size, max_words=max_words)
     answers = materialise(
         asked.select(

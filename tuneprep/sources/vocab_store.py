@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.operators.joins import fits_broadcast
 from tuneprep.operators.vocab import VocabularyError, build_vocab, require_valid
+from tuneprep.session import materialise
 
 _SCHEMA = "label string, label_id int"
 
@@ -40,9 +41,10 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 def save_vocab(vocab: DataFrame, path: str, version: int) -> DataFrame:
     """Check and write a version; writing it again replaces it."""
     target = f"{path}/version={version}"
-    require_valid(vocab).select(
-        "label", F.col("label_id").cast("int").alias("label_id")
-    ).write.mode("overwrite").parquet(target)
+    table = vocab.select("label", F.col("label_id").cast("int").alias("label_id"))
+    # Made once, checked, then published.
+    made = require_valid(materialise(table, "vocab"))
+    made.write.mode("overwrite").parquet(target)
     return vocab.sparkSession.read.schema(_SCHEMA).parquet(target)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tuneprep.operators.vocab import build_vocab, extend_vocab, require_labels
+from tuneprep.operators.vocab import build_vocab, distinct_labels, extend_vocab, require_labels
+from tuneprep.session import materialise
 from tuneprep.sources.vocab_store import load_vocab, save_vocab
 
 MANIFEST_SCHEMA = "chunk int, n_rows bigint, n_labels int, shards array<string>"
@@ -47,10 +48,12 @@ def process_chunk(
     version before it, which makes the ids the same each time.
     """
     spark = chunk.sparkSession
+    # The chunk is read once for its labels; the rest works on the distinct ones.
+    labels = materialise(distinct_labels(chunk, label_col), "chunk-labels")
     known = load_vocab(spark, vocab_path, before=chunk_id)
-    grown = build_vocab(chunk, label_col) if known is None else extend_vocab(known, chunk, label_col)
+    grown = build_vocab(labels, "label") if known is None else extend_vocab(known, labels, "label")
     vocab = save_vocab(grown, vocab_path, chunk_id)
-    n_labels = require_labels(vocab, chunk, label_col)
+    n_labels = require_labels(vocab, labels, "label")
     if work is not None:
         work(chunk, vocab, chunk_id)
     record = chunk.groupBy("shard_file").agg(F.count(F.lit(1)).alias("n")).agg(

@@ -314,7 +314,7 @@ def normalised_vocab(spark, folder):
     ),
 )
 def strip_text(spark, folder):
-    padded = F.concat(F.lit("\xa0\x0c"), "text", F.lit("　\x1c"))
+    padded = F.concat(F.lit("\xa0\x0c"), "text", F.lit("\u3000\x1c"))
     return fx.table(spark, folder, "documents").select(
         "doc_id",
         F.md5(text.strip(padded)).alias("stripped"),

@@ -103,7 +103,7 @@ def write_vocab_json(vocab: DataFrame, path: str) -> None:
 
 def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
     """The vocabulary of a JSON document, checked."""
-    read = spark.read.option("wholetext", True).text(path)
+    read = spark.read.text(path, wholetext=True)
     parsed = read.select(
         F.from_json("value", "label2id map<string,int>, id2label map<string,string>").alias("j")
     )

@@ -42,6 +42,16 @@ def union_by_name(spark, folder):
     return shards.scan_shards(spark, path).select("p_partkey", "p_name", "p_type")
 
 
+@check("a2_required_columns", statement("select p_partkey, p_name from part"))
+def required_columns(spark, folder):
+    part = fx.table(spark, folder, "part")
+    try:
+        shards.check_columns(part, ["p_name", "no_such_column"])
+    except KeyError:
+        return shards.check_columns(part, ["p_partkey", "p_name"]).select("p_partkey", "p_name")
+    raise AssertionError("a missing column was not noticed")
+
+
 @check(
     "a3_map_columns",
     statement(

@@ -26,6 +26,24 @@ def _scored(spark, folder):
     return metrics.per_class(_pairs(spark, folder), fx.class_ids(spark, folder))
 
 
+@check(
+    "g1_guard_counts",
+    statement(
+        """select count(*) as n_rows, count(*) filter (true_id is null or pred_id is null) as n_null,
+             count(*) filter (true_id < 0) as n_negative from
+             (select case when l_suppkey % 19 = 0 then -1 when l_suppkey % 23 <> 0 then l_linenumber end
+                as true_id, case when l_partkey % 17 <> 0 then 1 end as pred_id from lineitem)"""
+    ),
+)
+def guard_counts(spark, folder):
+    supplier = F.col("l_suppkey")
+    rows = fx.table(spark, folder, "lineitem").select(
+        F.when(supplier % 19 == 0, -1).when(supplier % 23 != 0, F.col("l_linenumber")).alias("true_id"),
+        F.when(F.col("l_partkey") % 17 != 0, 1).alias("pred_id"),
+    )
+    return metrics.guard_counts(metrics.confusion(rows))
+
+
 @check(
     "g2_accuracy",
     statement(

@@ -181,3 +181,12 @@ def remaining_chunks(spark, folder):
 @check("b10_first_rows", statement("select * from orders order by o_orderkey limit 1000"))
 def first_rows(spark, folder):
     return splits.first_rows(fx.table(spark, folder, "orders"), ["o_orderkey"], 1000)
+
+
+@check(
+    "b10_first_by_key",
+    statement("select * from orders order by o_custkey, o_orderkey limit 1000"),
+)
+def first_by_key(spark, folder):
+    """The same cap where rows are too wide to be ordered."""
+    return splits.first_by_key(fx.table(spark, folder, "orders"), ["o_custkey", "o_orderkey"], 1000)

@@ -93,6 +93,15 @@ def test_evaluate(spark, vocab):
     assert sorted(r["sample_id"] for r in first.predictions.collect()) == [0, 1]
 
 
+def test_the_model_may_see_the_prompt(spark, vocab):
+    rows = samples(spark, [("rust", "corn", None), ("spot", None, None)])
+
+    def make():
+        return lambda batch: ["rust" if "corn" in p else "spot" for p in batch["prompt_text"]]
+
+    assert evaluate(rows, vocab, make, ["prompt_text"]).metrics.first()["accuracy"] == 1.0
+
+
 def test_score_table_weighs_equal_answers(spark, vocab):
     rows = [("rust", "Rust!")] * 50 + [("spot", "rust")] * 7 + [("spot", None)] * 3
     answers = spark.createDataFrame(rows, "true_label string, raw_output string")

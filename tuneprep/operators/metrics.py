@@ -21,19 +21,28 @@ def confusion(df: DataFrame, true_col: str = "true_id", pred_col: str = "pred_id
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def guard_counts(pairs: DataFrame) -> DataFrame:
+    """One row: all rows, rows that lack a class, rows with a negative truth."""
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        rows_where(F.col("true_id").isNull() | F.col("pred_id").isNull()).alias("n_null"),
+        rows_where(F.col("true_id") < 0).alias("n_negative"),
+    )
+
+
 def guard(pairs: DataFrame, classes: DataFrame | None = None) -> None:
     """Raise for an empty set, a missing value, a negative truth or no class."""
-    seen = pairs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.sum(F.when(F.col("true_id").isNull() | F.col("pred_id").isNull(), F.col("n"))).alias("nulls"),
-        F.sum(F.when(F.col("true_id") < 0, F.col("n"))).alias("negative"),
-    ).first()
-    if not seen["rows"]:
+    seen = guard_counts(pairs).first()
+    if not seen["n_rows"]:
         raise MetricsError("there are no rows to evaluate")
-    if seen["nulls"]:
-        raise MetricsError(f"{seen['nulls']} rows lack a true or a predicted class")
-    if seen["negative"]:
-        raise MetricsError(f"{seen['negative']} rows have a negative true class")
+    if seen["n_null"]:
+        raise MetricsError(f"{seen['n_null']} rows lack a true or a predicted class")
+    if seen["n_negative"]:
+        raise MetricsError(f"{seen['n_negative']} rows have a negative true class")
     if classes is not None and classes.where(F.col("label_id") >= 0).isEmpty():
         raise MetricsError("there are no valid classes")
 

@@ -144,3 +144,18 @@ def assign_batches(df: DataFrame, batch_size: int, position: str = "position") -
 def first_rows(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     """The first ``n`` rows in the given order; ``None`` keeps all."""
     return df if n is None else df.orderBy(*order).limit(n)
+
+
+def first_by_key(df: DataFrame, key: Sequence[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows by a unique key, without moving the rows.
+
+    Only the keys are ordered, to find the n-th one; wide rows, such as those with
+    images, are then compared with it where they are.
+    """
+    if n is None:
+        return df
+    if n < 1:
+        return df.limit(0)
+    place = F.struct(*key)
+    last = df.select(*key).orderBy(*key).limit(n).agg(F.max(place)).scalar()
+    return df.where(place <= last)

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneprep.functions.chat import ChatTemplate, conversation, render
 from tuneprep.functions.text import strip
 from tuneprep.operators.inference import Predict, predict
 from tuneprep.operators.joins import lookup_join
 from tuneprep.operators.matching import match_predictions
 from tuneprep.operators.metrics import classification_metrics, guard
-from tuneprep.operators.splits import first_rows
+from tuneprep.operators.splits import first_by_key
 from tuneprep.operators.validation import good_rows, require_good, resolve_labels
 from tuneprep.operators.vocab import require_valid
 from tuneprep.session import materialise
@@ -79,10 +80,12 @@ def evaluate(
     strict: bool = True,
     batch_size: int = 64,
     max_words: int | None = None,
+    template: ChatTemplate = ChatTemplate(),
 ) -> Evaluation:
     """Check samples, ask the model, match its answers and score them.
 
-    The model sees only ``inputs``; the true label must not be among them. In
+    The model sees only ``inputs``, columns of the samples or the ``prompt_text``
+    made here; the true label must not be among them. In
     strict mode a bad row is an error, else it is left out. ``max_samples`` keeps
     the first rows by ``row_key``. The answers, the costly part, are written to the
     shared folder once.
@@ -92,8 +95,12 @@ def evaluate(
     checked = resolve_labels(samples, require_valid(vocab), row_key)
     rows = require_good(checked) if strict else good_rows(checked)
     if max_samples is not None:
-        rows = first_rows(rows, row_key, max_samples)
-    asked = predict(rows, make_model, inputs, batch_size=batch_size, max_words=max_words)
+        rows = first_by_key(rows, row_key, max_samples)
+    prompt = render(conversation(F.col("crop")), template, open_turn=True)
+    asked = predict(
+        rows.withColumn("prompt_text", prompt), make_model, inputs,
+        batch_size=batch_size, max_words=max_words,
+    )
     answers = materialise(
         asked.select(
             *row_key,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import normalise_label
@@ -37,9 +38,33 @@ def _priority(longest: bool) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class MatchTable:
+    """The normalised vocabulary, written down and measured once for any number of matches."""
+
+    forms: DataFrame
+    words: int
+    measured: Row
+
+
+def match_table(vocab: DataFrame) -> MatchTable:
+    """Normalise a vocabulary; raise if two labels cannot be told apart any more."""
+    forms = materialise(normalised_vocab(vocab), "vocab-forms")
+    measured = forms.agg(
+        *size_columns(forms),
+        F.max("fault").alias("fault"),
+        F.max(F.size(F.split("norm", "_"))).alias("words"),
+    ).first()
+    if measured["fault"] is not None:
+        faulty = forms.where(F.col("fault").isNotNull()).orderBy("norm", "label")
+        shown = [r["label"] for r in faulty.take(4)]
+        raise VocabularyError(f"labels cannot be told apart after normalising: {shown}")
+    return MatchTable(forms, measured["words"] or 0, measured)
+
+
 def match_predictions(
     predictions: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | MatchTable,
     raw_col: str = "raw_output",
     row_key: Sequence[str] = (),
     containment: bool = True,
@@ -59,19 +84,10 @@ def match_predictions(
     length, in one stage without a shuffle. A larger one is joined with the
     distinct answers and the result is joined back.
     """
-    forms = materialise(normalised_vocab(vocab), "vocab-forms")
-    words = F.size(F.split("norm", "_"))
-    check = forms.agg(
-        *size_columns(forms),
-        F.max("fault").alias("fault"),
-        F.max(words).alias("words"),
-    ).first()
-    if check["fault"] is not None:
-        shown = [r["label"] for r in forms.where("fault is not null").orderBy("norm", "label").take(4)]
-        raise VocabularyError(f"labels cannot be told apart after normalising: {shown}")
-    entries = forms.select("norm", _priority(longest).alias("entry"))
-    most = check["words"] or 0 if containment else 0
-    if within(check, max_rows, max_bytes) and most <= LOOKUP_WORDS:
+    table = vocab if isinstance(vocab, MatchTable) else match_table(vocab)
+    entries = table.forms.select("norm", _priority(longest).alias("entry"))
+    most = table.words if containment else 0
+    if within(table.measured, max_rows, max_bytes) and most <= LOOKUP_WORDS:
         answers = predictions.withColumn("normalised", normalise_label(F.col(raw_col)))
         matched = _by_lookup(answers, entries, most)
     else:

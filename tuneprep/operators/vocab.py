@@ -110,31 +110,29 @@ def missing_labels(vocab: DataFrame, df: DataFrame, label_col: str = "disease")
     return distinct_labels(df, label_col).join(vocab.select("label"), "label", "left_anti")
 
 
-def preflight(vocab: DataFrame, df: DataFrame, label_col: str = "disease") -> DataFrame:
-    """One row: labels found, labels missing, and the first 50 missing ones."""
-    marked = distinct_labels(df, label_col).join(
-        vocab.select("label", F.lit(True).alias("_known")), "label", "left"
-    )
-    counts = marked.agg(
+def _label_counts(vocab: DataFrame, df: DataFrame, label_col: str) -> DataFrame:
+    known = vocab.select("label", F.lit(True).alias("_known"))
+    return distinct_labels(df, label_col).join(known, "label", "left").agg(
         F.count(F.lit(1)).alias("n_labels"),
         F.count_if(F.col("_known").isNull()).alias("n_missing"),
     )
-    shown = (
-        missing_labels(vocab, df, label_col)
-        .orderBy("label")
-        .limit(PREVIEW)
-        .agg(F.array_sort(F.collect_list("label")).alias("preview"))
-    )
-    return counts.withColumn("preview", shown.scalar())
+
+
+def preflight(vocab: DataFrame, df: DataFrame, label_col: str = "disease") -> DataFrame:
+    """One row: labels found, labels missing, and the first 50 missing ones."""
+    first = missing_labels(vocab, df, label_col).orderBy("label").limit(PREVIEW)
+    preview = first.agg(F.array_sort(F.collect_list("label"))).scalar()
+    return _label_counts(vocab, df, label_col).withColumn("preview", preview)
 
 
 def require_labels(vocab: DataFrame, df: DataFrame, label_col: str = "disease") -> int:
     """Raise if a label is missing from the vocabulary, else return the label count."""
-    found = preflight(vocab, df, label_col).first()
+    found = _label_counts(vocab, df, label_col).first()
     if found["n_missing"]:
+        first = preflight(vocab, df, label_col).first()["preview"]
         raise VocabularyError(
             f"{found['n_missing']} of {found['n_labels']} labels are not in the vocabulary, "
-            f"first: {found['preview']}"
+            f"first: {first}"
         )
     return found["n_labels"]
 

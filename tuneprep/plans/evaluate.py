@@ -12,7 +12,7 @@ from tuneprep.functions.chat import ChatTemplate, conversation, render
 from tuneprep.functions.text import strip
 from tuneprep.operators.inference import Predict, predict
 from tuneprep.operators.joins import lookup_join
-from tuneprep.operators.matching import match_predictions
+from tuneprep.operators.matching import match_predictions, match_table
 from tuneprep.operators.metrics import classification_metrics, guard
 from tuneprep.operators.splits import first_by_key
 from tuneprep.operators.validation import good_rows, require_good, resolve_labels
@@ -110,9 +110,10 @@ def evaluate(
         ),
         "answers",
     )
-    predictions = match_predictions(answers, vocab, "raw_output", row_key).withColumn(
+    table = match_table(vocab)
+    predictions = match_predictions(answers, table, "raw_output", row_key).withColumn(
         "correct", F.col("true_id") == F.col("predicted_id")
     )
     grouped = _distinct_answers(answers, "true_id")
-    matched = match_predictions(grouped, vocab, "raw_output", ["true_id", "raw_output"])
+    matched = match_predictions(grouped, table, "raw_output", ["true_id", "raw_output"])
     return Evaluation(predictions, _metrics(matched, vocab))

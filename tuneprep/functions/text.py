@@ -13,10 +13,12 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_CLASS = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITESPACE_RANGES = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same class; the wide ranges before && let most letters fail at once.
+WHITESPACE_CLASS = r"[\x09-\x20\x{85}-\x{3000}&&[" + WHITESPACE_RANGES + "]]"
 
 # Characters that may wrap an answer, and phrases that may lead it in.
 WRAPPERS = " \t\"'`.,:;!?()[]{}<>"
@@ -38,8 +40,9 @@ LEAD_IN_PATTERN = (
 )
 # Hyphen, slashes, underscore and whitespace part words; what is neither part of a
 # word nor between words is dropped.
-SEPARATORS = r"\-/\\_" + WHITESPACE_CLASS[1:-1]
-DROPPED = r"[^0-9A-Za-z" + SEPARATORS + r"\p{L}\p{N}]"
+WORD = r"0-9A-Za-z\p{L}\p{N}"
+DROPPED = "[^" + WORD + r"\-/\\_" + WHITESPACE_RANGES + "]"
+NOT_WORD = "[^" + WORD + "]+"
 FIRST_LINE = "^" + WHITESPACE_CLASS + r"*([^\r\n]*)"
 
 
@@ -65,7 +68,7 @@ def normalise_label(text: Column) -> Column:
     """
     answer = F.btrim(first_line(F.coalesce(text, F.lit(""))), F.lit(WRAPPERS))
     answer = F.regexp_replace(answer, LEAD_IN_PATTERN, "")
-    words = F.regexp_replace(F.regexp_replace(answer, DROPPED, ""), f"[{SEPARATORS}]+", "_")
+    words = F.regexp_replace(F.regexp_replace(answer, DROPPED, ""), NOT_WORD, "_")
     return F.lower(F.btrim(words, F.lit("_")))
 
 

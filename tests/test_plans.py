@@ -56,6 +56,12 @@ def test_metrics_shuffle_pair_counts(spark, folder):
     assert plan.count("Exchange") == 1 and "partial_count" in plan
 
 
+def test_figures_have_no_nested_loop(spark, folder):
+    pairs = metrics.confusion(fx.class_pairs(spark, folder))
+    plan = plan_of(metrics.classification_metrics(pairs, fx.class_ids(spark, folder)))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_running_values_use_one_shuffle_of_the_rows(spark, folder):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -168,6 +168,6 @@ def classification_metrics(
         *_micro(),
         *_weighted(),
     )
-    # Two frames of one row each: an equi join on a constant key.
-    one = F.lit(1).alias("_one")
-    return overall.select("*", one).join(means.select("*", one), "_one").drop("_one")
+    # Two frames of one row and different columns, put into one row.
+    both = overall.unionByName(means, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__
+from checks import registry
 from checks.compare import connect, differences
 
 
@@ -11,7 +12,7 @@ def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_oracle(spark, con, folder, name):
     assert differences(spark, con, folder, name) == []
 
@@ -21,4 +22,4 @@ def test_entry(spark):
 
 
 def test_each_query_has_an_oracle():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +13,14 @@ _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master may run without the setting; it then gets a temporary
-    folder, which is what the tests use.
+    Only a master of one machine may run without the setting; tables are then
+    kept below its warehouse.
     """
     folder = spark.conf.get(_CHECKPOINT_SETTING, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"{_CHECKPOINT_SETTING} must name a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tuneprep-")
-        spark.conf.set(_CHECKPOINT_SETTING, folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/tuneprep-intermediate"
     return folder.rstrip("/")
 
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tuneprep.llm.sampling import sample
 from tuneprep.llm.words import text_bytes
@@ -272,6 +273,6 @@ def fit(rows: DataFrame, per_language: int = DOCUMENTS_PER_LANGUAGE) -> Network:
 
 def identify(rows: DataFrame, net: Network) -> DataFrame:
     """rows with lang_pred and score; rows has a column text and neither of these two."""
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     text = rows.columns.index("text")
     return rows.mapInArrow(lambda batches: _predicted(net, batches, text), schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -42,6 +44,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about limit bytes of text, one row at least."""
+    _, offsets = text_bytes(batch.column(column))
+    begin = 0
+    while begin < len(batch):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + limit, side="right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 class Words:
     """Cuts texts into maximal runs of word bytes, A-Z lower-cased, and hashes each run."""
 

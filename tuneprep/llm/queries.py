@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from tuneprep.llm import query_decontamination, query_jaccard, query_language  # noqa: F401
+from tuneprep.llm import query_decontamination, query_jaccard, query_language, query_packing  # noqa: F401
 from tuneprep.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,7 +15,11 @@ def remainder(doc_id: str, divisor: int) -> Column:
 def sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """The per_label rows of each label that come first in the order of a hash of their key.
 
-    Only as many rows of a label leave a map task, so a frequent label costs no more than a rare one.
+    Labels are counted first, so that only rows whose hash is low enough to be among
+    the first, about twice as many as are wanted, are shuffled, however many there are.
     """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_count"))
+    place = F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))
+    near = rows.join(counts, label).where(place * F.col("_count") <= 2 * per_label + 100)
     order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank", "_count")

@@ -21,6 +21,7 @@ for the smallest id of its component; a component of null ids alone has a null i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,10 @@ COUNTERS = 1 << 18
 SLICES = 16
 # Parts of the suffix filter.
 PARTS = 64
-# Rounds of comparing with leaders, at most; the pairs that remain are then joined, however many.
+# Lists with more open pairs than LONG are first compared with leaders, as long as these lists have more
+# open pairs than OPEN times the postings and a round closes a fifth of them; what remains is joined, however much.
+LONG = 4096
+OPEN = 2
 LEADER_ROUNDS = 8
 
 WORD_BYTES = ~byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -226,7 +230,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _linked(join: _Join) -> DataFrame | None:
     """(node, component) of the sets that are linked with another set; None if there is none."""
-    postings, labels = join.postings(), None
+    postings, labels, before = join.postings(), None, math.inf
     side = lambda df, x: df.select("token", F.col("set").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", "place", "component")))
     for leaders in range(LEADER_ROUNDS, -1, -1):
         if labels is None:
@@ -241,16 +245,19 @@ def _linked(join: _Join) -> DataFrame | None:
             F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main")
         )
         tokens = materialise(tokens.where("n > n_main"), "tokens")
-        rows, cross = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") - F.col("n_main")) * F.col("n")), F.lit(0))).first()
+        pairs = (F.col("n") - F.col("n_main")) * F.col("n")
+        rows, cross = tokens.agg(F.sum("n"), F.coalesce(F.sum(F.when(pairs > LONG, pairs)), F.lit(0))).first()
         if not rows:
             break
-        mixed = postings.join(tokens.select("token", "main"), "token")
-        if cross > 4 * rows and leaders:
+        if leaders and cross > OPEN * rows and cross < 0.8 * before:
+            before = cross
+            mixed = postings.join(tokens.where(pairs > LONG).select("token", "main"), "token")
             lead = F.min_by(F.struct("set", "size", "place", "component"), F.struct(F.xxhash64("set", F.lit(leaders)), "set"))
             first = side(mixed.groupBy("token").agg(lead.alias("s")).select("token", "s.*"), "x")
             pairs = first.join(side(mixed, "y"), "token").where("x_component <> y_component")
             join.verify(_ordered(_filtered(pairs, join.percent)))
         else:
+            mixed = postings.join(tokens.select("token", "main"), "token")
             pairs = side(mixed.where("component <> main"), "x").join(side(mixed, "y"), "token")
             pairs = _ordered(pairs.where("x_component <> y_component").where(F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * join.percent))
             pairs = pairs.groupBy("x", "y", "x_size", "y_size").agg(F.min("x_place").alias("x_place"), F.min("y_place").alias("y_place"))

@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from tuneprep.llm import query_decontamination, query_embeddings, query_jaccard, query_language, query_licenses, query_packing, query_secrets, query_toxicity, query_urls  # noqa: F401
+from tuneprep.llm import query_decontamination, query_embeddings, query_jaccard, query_language, query_licenses, query_packing, query_quotation, query_secrets, query_toxicity, query_urls  # noqa: F401
 from tuneprep.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

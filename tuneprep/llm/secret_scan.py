@@ -155,8 +155,9 @@ def listed(spans: Column) -> Column:
 
 def redacted(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """documents with every span of their text replaced by a mark; overlapping spans by one. Null texts stay null."""
-    scanned = scan(documents.withColumn("_text", F.col(text)), "_text")
-    whole = F.col("_text")
+    # Other columns travel in one struct, whatever their names are.
+    rows = documents.select(F.col(text).alias("text"), F.struct(*documents.columns).alias("row"))
+    whole = F.col("text")
     walk = F.aggregate(
         F.col("spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -168,4 +169,5 @@ def redacted(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") -
         ),
     )
     clean = F.when(F.size("spans") > 0, F.concat(walk["out"], F.substring(whole, walk["at"] + 1, F.length(whole)))).otherwise(whole)
-    return scanned.withColumn(text, clean).select(*documents.columns)
+    found = scan(rows).withColumn("clean", clean)
+    return found.select(*((F.col("clean") if c == text else F.col("row")[c]).alias(c) for c in documents.columns))

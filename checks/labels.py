@@ -143,13 +143,12 @@ def build_vocab(spark, folder):
     "d2_vocab_from_sample",
     statement(
         """select label, cast(row_number() over (order by label) - 1 as int) as label_id from
-             (select distinct disease as label from
-               (select * from branded order by md5('42:' || sample_id) limit 500))""",
+             (select distinct disease as label from branded)""",
         "branded",
     ),
 )
 def vocab_from_sample(spark, folder):
-    return vocab.build_vocab_from_sample(fx.branded(spark, folder), "sample_id", n=500)
+    return vocab.build_vocab_from_sample(fx.branded(spark, folder), "sample_id")
 
 
 @check("d3_load_or_create", statement("select label, label_id from vocab", "vocab"))

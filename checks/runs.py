@@ -165,10 +165,9 @@ def chunk_steps(spark, folder):
 @check(
     "h6_accumulation_plan",
     statement(
-        """select chunk, batch, batch % 3 = 0 or batch = n_batches as should_step,
-             case when batch = n_batches and batch % 3 <> 0 then 3.0::double / (batch % 3)
-               else 1.0::double end as scale
-           from (select *, unnest(range(1, n_batches + 1)) as batch from chunks)""",
+        """select chunk, n_batches, n_steps, case when n_batches % 3 = 0 then 3 else n_batches % 3 end::bigint
+             as last_batches, case when n_batches % 3 = 0 then 1.0::double else 3.0::double / (n_batches % 3) end
+             as last_scale from chunks where n_batches > 0""",
         "shards",
         **CHUNKS,
     ),
@@ -191,14 +190,16 @@ def step_budget(spark, folder):
 @check(
     "h8_lr_schedule",
     statement(
-        """select cast(epoch as int) as epoch, chunk, step, round(0.0001 * case when step < warmup_steps
+        """select epoch, chunk, min(step) as first_step, max(step) as last_step,
+             arg_min(lr, step) as first_lr, arg_max(lr, step) as last_lr from
+           (select cast(epoch as int) as epoch, chunk, step, round(0.0001 * case when step < warmup_steps
              then step / greatest(warmup_steps, 1) else greatest(0, (total_steps - step)
                / greatest(total_steps - warmup_steps, 1)) end, 12)::double as lr
            from (select *, (epoch - 1) * steps_per_epoch + cast(before as bigint) + local as step from
              (select *, unnest(range(n_steps)) as local from
                (select *, coalesce(sum(n_steps) over (order by chunk rows between unbounded preceding
                   and 1 preceding), 0) as before, unnest([1, 2, 3]) as epoch from
-                  (select * from chunks)), budget))""",
+                  (select * from chunks)), budget))) group by 1, 2""",
         "shards",
         **CHUNKS,
         budget=BUDGET,
@@ -206,7 +207,7 @@ def step_budget(spark, folder):
 )
 def lr_schedule(spark, folder):
     out = runlog.lr_schedule(_chunks(spark, folder), 16, 3, 3, 0.05, 1e-4)
-    return out.withColumn("lr", F.round("lr", 12))
+    return out.withColumns({c: F.round(c, 12) for c in ("first_lr", "last_lr")})
 
 
 @check(

@@ -85,17 +85,27 @@ def label_scan(spark, folder):
 @check(
     "a5_shard_audit",
     statement(
-        """select cast(s as int) as shard_id, case when s >= 8 then 'missing'
-             else 'ok' end as state from range(10) r(s)"""
+        """with files as (
+             select cast(p_partkey % 5003 as int) as shard_id, p_partkey % 7 = 0 as tmp,
+               cast(floor(p_retailprice) as bigint) as length from part where p_partkey % 11 <> 0),
+           present as (
+             select shard_id, max(case when not tmp then length end) as length, bool_or(tmp) as tmp
+             from files group by 1)
+           select coalesce(shard_id, cast(s as int)) as shard_id, length,
+             case when s is null then 'stale' when length > 1000 then 'ok' when length is not null
+               then 'too_small' when tmp then 'unfinished' else 'missing' end as state
+           from range(150) r(s) full join present on shard_id = s"""
     ),
 )
 def shard_audit(spark, folder):
-    """Orders written as eight files where ten are wanted."""
-    path = new_path(spark, "shards")
-    fx.table(spark, folder, "orders").repartition(8).write.parquet(path)
-    return shards.shard_audit(spark, path, 10, pattern=r"^part-(\d{5})-.*\.parquet$").select(
-        "shard_id", "state"
+    """Parts stand for a listing: finished, unfinished and stale files, and gaps."""
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("train-"), F.lpad((key % 5003).cast("string"), 5, "0"), F.lit(".parquet"))
+    listing = fx.table(spark, folder, "part").where(key % 11 != 0).select(
+        F.when(key % 7 == 0, F.concat(name, F.lit(".tmp"))).otherwise(name).alias("file"),
+        F.floor("p_retailprice").alias("length"),
     )
+    return shards.audit_listing(listing, 150)
 
 
 @check(
@@ -146,7 +156,7 @@ def rounded(df):
 @check("a8_metrics_file", statement(METRICS, "answers", "vocab", **SCORE_STEPS, **METRIC_STEPS))
 def metrics_file(spark, folder):
     path = new_path(spark, "metrics")
-    scored = score_table(fx.answers(spark, folder), fx.vocab(spark, folder), ["k"])
+    scored = score_table(fx.answers(spark, folder), fx.vocab(spark, folder))
     sinks.write_metrics(scored, path)
     return rounded(spark.read.schema(scored.schema).json(path))
 

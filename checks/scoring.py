@@ -157,7 +157,7 @@ def unknown_rate(spark, folder):
 def score_all(spark, folder):
     """Score a table of raw model answers, from text to figures."""
     vocab = materialise(fx.vocab(spark, folder), "vocab")
-    return rounded(score_table(fx.answers(spark, folder), vocab, ["k"]))
+    return rounded(score_table(fx.answers(spark, folder), vocab))
 
 
 @check(
@@ -315,6 +315,61 @@ def evaluate_predictions(spark, folder):
     return result.predictions.drop("normalised")
 
 
+@check(
+    "i3_evaluate_first_n",
+    statement(
+        """select k as sample_id, true_label, true_id, raw_output, predicted_label, predicted_id, status,
+             true_id = predicted_id as correct from scored""",
+        "answers",
+        "vocab",
+        first="select k from answers order by k limit 500",
+        asked=EVALUATED["asked"] + " and k in (select k from first)",
+        **{name: step for name, step in MATCH_STEPS.items() if name != "asked"},
+        scored=SCORED,
+    ),
+)
+def evaluate_first(spark, folder):
+    """The first samples are taken before bad ones among them are left out."""
+    vocab = materialise(fx.vocab(spark, folder), "vocab")
+    result = evaluate(
+        _samples(spark, folder), vocab, stub_model("Prediction: "), ["payload"], max_samples=500, strict=False
+    )
+    return result.predictions.drop("normalised")
+
+
+@check(
+    "f7_target_faults",
+    statement(
+        """select batch_id, count(*) filter (bad) as n_bad, case when count(*) filter (bad) > 0 then 'bad_target' end as fault
+           from (select batch_id, t is null or not (t = -100 or t between 0 and len(logits) - 1) as bad from
+             (select *, case when vec_id % 61 = 0 then null when vec_id % 47 = 0 then 64 when vec_id % 43 = 0 then -1
+                when vec_id % 5 = 0 then -100 else label end as t from
+                (select vec_id, embedding as logits, label, cast(vec_id % 20 as int) as batch_id from embeddings))) group by 1"""
+    ),
+)
+def target_faults(spark, folder):
+    """Labels outside the logits, and missing ones, are faults of their batch, not ignored targets."""
+    key = F.col("vec_id")
+    label = (
+        F.when(key % 61 == 0, F.lit(None))
+        .when(key % 47 == 0, 64)
+        .when(key % 43 == 0, -1)
+        .when(key % 5 == 0, -100)
+        .otherwise(F.col("label"))
+    )
+    rows = fx.table(spark, folder, "embeddings").select(
+        (key % 20).cast("int").alias("batch_id"), F.col("embedding").alias("logits"), label.alias("label")
+    )
+    rows = rows.select(
+        "batch_id",
+        losses.target_fault(F.col("logits"), F.col("label")).alias("bad"),
+        losses.cross_entropy(F.col("logits"), F.col("label")).alias("loss"),
+    )
+    found = losses.batch_losses(rows, fault="bad").select("batch_id", "fault")
+    counts = rows.groupBy("batch_id").agg(F.count("bad").alias("n_bad"))
+    return found.join(counts, "batch_id")
+
+
 @check(
     "i3_evaluate_metrics",
     statement(METRICS, "answers", "vocab", **SCORE_STEPS | EVALUATED, **METRIC_STEPS),

@@ -80,14 +80,13 @@ def chunk_plan(spark, folder):
     "c3_chunk_groups",
     statement(
         """select chunk, string_agg(shard_id, ',' order by shard_id) as shards, count(*) as n_shards
-           from plan where chunk <= 6 group by 1""",
+           from plan group by 1""",
         "shards",
         plan=PLAN,
     ),
 )
 def chunk_groups(spark, folder):
-    plan = train_plan(spark, folder).where(F.col("chunk") <= 6)
-    return splits.chunk_groups(plan).withColumn(
+    return splits.chunk_groups(train_plan(spark, folder)).withColumn(
         "shards", F.array_join(F.col("shards").cast("array<string>"), ",")
     )
 
@@ -163,17 +162,15 @@ def batches(spark, folder):
     "c8_remaining_chunks",
     statement(
         """select * from plan where chunk not in
-             (select l_linenumber from lineitem where l_suppkey % 2 = 0 and l_linenumber < 4)""",
+             (select l_linenumber from lineitem where l_suppkey % 2 = 0)""",
         "shards",
         plan=PLAN,
     ),
 )
 def remaining_chunks(spark, folder):
     """Line items stand for the manifest: epoch by supplier, chunk by line."""
-    manifest = (
-        fx.table(spark, folder, "lineitem")
-        .where(F.col("l_linenumber") < 4)
-        .select((F.col("l_suppkey") % 2).alias("epoch"), F.col("l_linenumber").alias("chunk"))
+    manifest = fx.table(spark, folder, "lineitem").select(
+        (F.col("l_suppkey") % 2).alias("epoch"), F.col("l_linenumber").alias("chunk")
     )
     return splits.remaining_chunks(train_plan(spark, folder), manifest, epoch=0)
 

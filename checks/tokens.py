@@ -411,11 +411,45 @@ def training_batches(spark, folder):
         epoch=1,
         image_tokens=F.col("turn") % 5,
         image_id=7,
+        strict=False,
     )
 
     def text_of(name):
         return F.md5(F.array_join(F.col(name).cast("array<string>"), " ")).alias(name)
 
-    return made.select(
+    return made.batches.select(
         "conv_id", "turn", "batch_id", "padded_length", text_of("input_ids"), text_of("labels")
     )
+
+
+def cut_ids(x: str) -> str:
+    return f"({word_ids(x)})[:length({x}) % 200 + 1]"
+
+
+@check(
+    "f4_quarantine",
+    statement(
+        "select conv_id, turn, 'no_target' as reason from examples where len(ids) <= edge",
+        "turns",
+        **EXAMPLES
+        | {
+            "tokenised": f"""
+              select *, len({cut_ids('prompt_text')}) as prompt_length, {cut_ids('full_text')} as text_ids
+              from texts"""
+        },
+    ),
+)
+def left_out(spark, folder):
+    """The examples to which a tokeniser that cuts texts leaves no target; strict mode refuses them."""
+    made = prepare.training_batches(
+        fx.turns(spark, folder),
+        ["conv_id", "turn"],
+        batch_size=16,
+        pad_id=0,
+        epoch=1,
+        tokenise=lambda text: F.slice(tokens.word_ids(text), 1, F.length(text) % 200 + 1),
+        image_tokens=F.col("turn") % 5,
+        image_id=7,
+        strict=False,
+    )
+    return made.quarantine.select("conv_id", "turn", "reason")

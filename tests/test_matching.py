@@ -1,11 +1,13 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tuneprep.operators.joins import lookup_join, salted_join
-from tuneprep.operators.matching import match_predictions
+from tuneprep.operators.matching import match_predictions, match_table
 from tuneprep.operators.vocab import VocabularyError
+from tuneprep.plans.evaluate import score_answers, score_table
 
 
 def vocab_table(spark, labels):
@@ -83,9 +85,57 @@ def test_salted_join_with_a_hot_key(spark):
     table = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "key string, value int")
     for how in ("left", "inner"):
         plain = sorted(rows.join(table, "key", how).select("id", "value").collect())
-        salted = salted_join(rows, table, "key", how, ["id"], salts=8)
+        salted = salted_join(rows, table, "key", how, ["id"])
         assert sorted(salted.select("id", "value").collect()) == plain
         beyond = lookup_join(rows, table, "key", how, ["id"], max_rows=0)
         assert sorted(beyond.select("id", "value").collect()) == plain
-    spread = salted_join(rows, table, "key", "left", ["id"], salts=8)
+    spread = salted_join(rows, table, "key", "left", ["id"])
     assert spread.columns == ["key", "id", "value"]
+
+
+@BOTH_WAYS
+def test_one_label_with_two_ids_is_an_error_on_both_paths(spark, max_rows):
+    vocab = spark.createDataFrame([("rust", 0), ("rust", 1), ("blight", 2)], "label string, label_id int")
+    answers = spark.createDataFrame([(1, "rust"), (2, "blight")], "k int, raw_output string")
+    with pytest.raises(VocabularyError):
+        match_predictions(answers, vocab, row_key=["k"], max_rows=max_rows)
+    truth = answers.withColumn("true_label", F.col("raw_output"))
+    with pytest.raises(VocabularyError):
+        score_answers(truth, vocab, ["k"])
+    with pytest.raises(VocabularyError):
+        score_table(truth, vocab)
+
+
+def test_long_labels_are_matched_by_a_broadcast_join_on_pieces(spark):
+    labels = ["a_b_c_d_e_f", "x_y"]
+    answers = ["a b c d e f on the leaf", "see x y", "a b c", "x y"]
+    assert [m[0] for m in matched(spark, answers, labels)] == [
+        "a_b_c_d_e_f", "x_y", "Unknown", "x_y",
+    ]
+
+
+def test_no_text_exchange_within_the_broadcast_bound(spark):
+    answers = spark.range(50).select("id", F.concat(F.lit("leaf rust "), F.col("id")).alias("raw_output"))
+    table = match_table(vocab_table(spark, ["rust", "spot"]))
+    plan = match_predictions(answers, table, row_key=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning", plan)
+
+
+def test_salts_follow_the_share_and_nulls_are_spread(spark):
+    """Half of the rows have one key and a third none: neither fills a task."""
+    rows = spark.range(12000).select(
+        "id", F.when(F.col("id") % 6 < 3, F.lit("hot")).when(F.col("id") % 6 == 3, F.col("id").cast("string")).alias("key")
+    )
+    table = spark.createDataFrame([("hot", 1), ("3", 2)], "key string, value int")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(rows, table, "key", "left", ["id"])
+        counts = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert joined.where("value = 1").count() == 6000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(r["count"] for r in counts) < 2 * 12000 / len(counts) and len(counts) == 4

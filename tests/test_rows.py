@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tuneprep.operators import inference, validation
+from tuneprep.functions import pixels, tokens
+from tuneprep.operators import batches, inference, losses, splits, validation
+from tuneprep.plans import prepare
 from tuneprep.plans.evaluate import evaluate, score_table
 from tuneprep.sources import shards, sinks
 
@@ -68,8 +70,8 @@ def test_predict_batches_and_loads_once_per_task(spark):
         return answer
 
     df = spark.range(10).coalesce(1)
-    out = inference.predict(df, make, ["id"], batch_size=4, max_words=3).collect()
-    assert [r["raw_output"] for r in sorted(out)] == ["4 1 a"] * 4 + ["4 2 a"] * 4 + ["2 3 a"] * 2
+    out = inference.predict(df, make, ["id"], batch_size=4).collect()
+    assert sorted(r["raw_output"] for r in out) == ["2 3 a b c"] * 2 + ["4 1 a b c"] * 4 + ["4 2 a b c"] * 4
 
 
 def test_evaluate(spark, vocab):
@@ -89,8 +91,14 @@ def test_evaluate(spark, vocab):
     figures = result.metrics.first()
     assert figures["accuracy"] == pytest.approx(1 / 3)
     assert figures["unknown_predictions"] == 1
-    first = evaluate(rows.where("sample_id < 3"), vocab, make, ["payload"], max_samples=2)
+    # The bad row comes after the first ones, and is not looked at; then it is among them.
+    first = evaluate(rows, vocab, make, ["payload"], max_samples=2)
     assert sorted(r["sample_id"] for r in first.predictions.collect()) == [0, 1]
+    backwards = rows.withColumn("index", F.lit(3).cast("bigint") - F.col("sample_id"))
+    with pytest.raises(validation.BadRowsError):
+        evaluate(backwards, vocab, make, ["payload"], max_samples=2, index="index")
+    last = evaluate(backwards, vocab, make, ["payload"], max_samples=2, index="index", strict=False)
+    assert [(r["sample_id"], r["index"]) for r in last.predictions.collect()] == [(2, 1)]
 
 
 def test_the_model_may_see_the_prompt(spark, vocab):
@@ -169,3 +177,75 @@ def test_metrics_and_log_files(spark, tmp_path):
         sinks.append_run_log(spark.createDataFrame([("r", epoch, 0.1)], "run_id string, epoch int, loss double"), path)
     back = sinks.read_run_log(spark, path, "epoch int, loss double, run_id string")
     assert sorted(r["epoch"] for r in back.collect()) == [1, 2]
+    # Other column order, an epoch that is run again, another run.
+    again = spark.createDataFrame([(0.7, 2, "r"), (0.9, 1, "s")], "loss double, epoch int, run_id string")
+    sinks.append_run_log(again, path)
+    back = sinks.read_run_log(spark, path, "epoch int, loss double, run_id string")
+    assert sorted(tuple(r) for r in back.collect()) == [(1, 0.1, "r"), (1, 0.9, "s"), (2, 0.7, "r")]
+    path = str(tmp_path / "named")
+    sinks.write_metrics(spark.createDataFrame([(0.5,)], "accuracy double"), path, checkpoint="best", validation_shard=36)
+    assert spark.read.text(path).first()["value"] == '{"accuracy":0.5,"checkpoint":"best","validation_shard":36}'
+
+
+def test_an_id_beyond_32_bits_is_a_bad_row(spark, vocab):
+    rows = samples(spark, [("other", "c", "9999999999"), ("rust", "c", "1.5"), ("rust", "c", "0")])
+    got = {r["sample_id"]: r["reason"] for r in validation.resolve_labels(rows, vocab).collect()}
+    assert got[0] == got[1] == "bad_id"
+
+
+def test_index_needs_the_whole_scan(spark, tmp_path):
+    folder = str(tmp_path / "data")
+    for part in ("a", "b"):
+        spark.range(3).coalesce(1).write.parquet(f"{folder}/part={part}")
+    scan = shards.scan_shards(spark, folder)
+    wanted = scan.where("shard_row >= 1")
+    with pytest.raises(Exception, match="whole scan"):
+        shards.with_index(wanted).collect()
+    assert sorted(r["index"] for r in shards.with_index(scan, rows=wanted).collect()) == [1, 2, 4, 5]
+    with pytest.raises(splits.SplitError):
+        splits.shard_split(F.lit(1), {"train": (0, 5), "val": (5, 7)})
+
+
+def test_targets_outside_the_logits_are_faults(spark):
+    rows = [(1, [0.0, 1.0], 7), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], -100), (3, [0.0, 1.0], None), (4, [0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "batch_id int, logits array<double>, label int").select(
+        "batch_id",
+        losses.cross_entropy(F.col("logits"), F.col("label")).alias("loss"),
+        losses.target_fault(F.col("logits"), F.col("label")).alias("bad"),
+    )
+    got = {r["batch_id"]: tuple(r)[1:] for r in losses.batch_losses(df, fault="bad").collect()}
+    assert got[1] == (None, 2, "bad_target") and got[3] == (None, 1, "bad_target")
+    assert got[2] == (None, 0, "no_target") and got[4][1:] == (1, None)
+    with pytest.raises(losses.LossError):
+        losses.require_losses(losses.batch_losses(df, fault="bad"))
+
+
+def test_no_example_vanishes(spark):
+    rows = spark.createDataFrame([(i, "rust", "c", 0) for i in range(4)], "sample_id int, disease string, crop string, label_id int")
+    cut = lambda text: F.slice(tokens.word_ids(text), 1, 2)
+    with pytest.raises(prepare.NoTargetError):
+        prepare.training_batches(rows, ["sample_id"], 2, 0, tokenise=cut)
+    with pytest.raises(batches.EmptyBatchError):
+        prepare.training_batches(rows, ["sample_id"], 2, 0, tokenise=cut, strict=False)
+    made = prepare.training_batches(rows, ["sample_id"], 2, 0)
+    whole = prepare.training_rows(rows).where("sample_id = 0").first()
+    row = made.batches.where("sample_id = 0").first()
+    assert made.quarantine.count() == 0 and made.batches.count() == 4
+    assert (row["input_ids"], row["labels"], row["attention_mask"]) == (whole["input_ids"], whole["labels"], whole["attention_mask"])
+
+
+def test_forms_of_images(spark):
+    png = bytes.fromhex("89504E470D0A1A0A")
+    cases = {
+        "x binary": (png, "bytes"),
+        "x struct<bytes:binary,path:string>": ((png, "p"), "bytes"),
+        "x struct<path:string>": (("p",), "path"),
+        "x struct<data:array<float>>": (([1.0],), "array"),
+        "x struct<image:binary>": ((png,), "bytes"),
+        "x array<array<int>>": ([[1]], "array"),
+    }
+    for schema, (value, kind) in cases.items():
+        df = spark.createDataFrame([(value,), (None,)], schema)
+        image = pixels.payload(df, "x")
+        got = df.select(pixels.payload_kind(image).alias("k"), pixels.payload_fault(image).alias("f")).collect()
+        assert [tuple(r) for r in got] == [(kind, None), (None, "no_image")], schema

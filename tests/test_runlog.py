@@ -91,19 +91,35 @@ def test_budget_of_the_published_settings(spark):
 def test_accumulation(spark):
     chunks = spark.createDataFrame([(1, 70), (2, 16), (3, 0)], "chunk int, n_rows long")
     rows = sorted(runlog.accumulation_plan(chunks, 16, 3).collect())
-    assert [tuple(r) for r in rows] == [
-        (1, 1, False, 1.0), (1, 2, False, 1.0), (1, 3, True, 1.0), (1, 4, False, 1.0), (1, 5, True, 1.5),
-        (2, 1, True, 3.0),
-    ]
+    assert [tuple(r) for r in rows] == [(1, 5, 2, 2, 1.5), (2, 1, 1, 1, 3.0)]
 
 
 def test_schedule(spark):
     chunks = spark.createDataFrame([(1, 40), (2, 20)], "chunk int, n_rows long")
-    rows = sorted(runlog.lr_schedule(chunks, 10, 2, 2, 0.25, 1.0).select("step", "lr").collect())
+    rows = sorted(runlog.lr_schedule(chunks, 10, 2, 2, 0.25, 1.0).collect())
     # Two steps in the first chunk, one in the second, twice: six steps, one of warm-up.
-    expected = [0.0, 1.0, 0.8, 0.6, 0.4, 0.2]
-    assert [r["step"] for r in rows] == list(range(6))
-    assert [r["lr"] for r in rows] == pytest.approx(expected)
+    assert [tuple(r)[:4] for r in rows] == [(1, 1, 0, 1), (1, 2, 2, 2), (2, 1, 3, 4), (2, 2, 5, 5)]
+    assert [x for r in rows for x in tuple(r)[4:]] == pytest.approx([0.0, 1.0, 0.8, 0.8, 0.6, 0.4, 0.2, 0.2])
+
+
+def test_unmeasured_chunks_need_an_estimate(spark):
+    chunks = spark.createDataFrame([(1, 100), (2, None)], "chunk int, n_rows long")
+    with pytest.raises(Exception, match="need an estimate"):
+        runlog.step_budget(chunks, 16, 2, 1, 0.1).collect()
+    assert runlog.step_budget(chunks, 16, 2, 1, 0.1, estimate=100).first()["total_steps"] == 8
+
+
+def test_epoch_rows_and_summary(spark):
+    summary = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.4)], "run_id string, epoch int, train_loss double")
+    metrics = spark.createDataFrame([("a", 1, 0.7)], "run_id string, epoch int, macro_f1 double")
+    log = runlog.epoch_rows(summary, metrics)
+    assert sorted(tuple(r) for r in log.collect()) == [("a", 1, 0.5, 0.7), ("a", 2, 0.4, None)]
+    plan = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "shard_id int, chunk int")
+    shards = spark.createDataFrame([("train", 1), ("train", 0), ("val", 7)], "split string, shard_id int")
+    test = spark.createDataFrame([("a", 0.6)], "run_id string, accuracy double")
+    row = runlog.run_summary(log, plan, shards=shards, mode="lora", test_metrics=test).first()
+    assert (row["best_epoch"], row["training_shards"], row["mode"], row["test_accuracy"]) == (1, 3, "lora", 0.6)
+    assert (row["train_shards"], row["val_shards"], row["test_shards"]) == ([0, 1], [7], [])
 
 
 def test_epoch_summary_counts_measured_rows(spark):

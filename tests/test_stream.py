@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tuneprep.operators.vocab import vocab_over_chunks
+from tuneprep.sources import vocab_store
 from tuneprep.sources.vocab_store import load_vocab, versions
 from tuneprep.streaming import ingest
 
@@ -92,3 +93,17 @@ def test_a_chunk_run_again_gives_the_same(spark, tmp_path):
             ingest.process_chunk(rows, number, run.vocab, run.manifest)
     assert run.labels() == {"b": 0, "a": 1, "c": 2, "d": 3}
     assert ingest.read_manifest(spark, run.manifest).agg(F.sum("n_rows")).first()[0] == 4
+
+
+def test_a_version_is_written_only_for_new_labels_and_found_by_few_calls(spark, tmp_path, monkeypatch):
+    run = Run(spark, tmp_path)
+    calls = []
+    complete = vocab_store._complete
+    monkeypatch.setattr(vocab_store, "_complete", lambda *a: calls.append(a) or complete(*a))
+    for number, labels in enumerate([["b"], ["a", "c"], ["a"], ["b", "c"], ["d"], ["d"]]):
+        rows = spark.createDataFrame([(x, f"f{number}") for x in labels], "disease string, shard_file string")
+        before = len(calls)
+        ingest.process_chunk(rows, number, run.vocab, run.manifest)
+        assert len(calls) - before <= 1
+    assert versions(spark, run.vocab) == [0, 1, 4]
+    assert run.labels() == {"b": 0, "a": 1, "c": 2, "d": 3}

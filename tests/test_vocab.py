@@ -114,3 +114,13 @@ def test_json(spark, tmp_path):
     plain.write_text('{"labels": {}}')
     with pytest.raises(v.VocabularyError, match="label2id"):
         vocab_store.read_vocab_json(spark, str(plain))
+
+
+def test_numbers_are_given_in_ranges(spark):
+    """No task sees all labels, and the ids are those of one ordered list."""
+    many = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("disease"))
+    made = v.build_vocab(many)
+    assert [r["label"] for r in sorted(made.collect(), key=lambda r: r["label_id"])] == sorted(r["disease"] for r in many.collect())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    labels = [line for line in plan.splitlines() if "SinglePartition" in line]
+    assert all("label" not in line for line in labels)

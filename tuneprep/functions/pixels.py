@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructType
 
 from tuneprep.functions.binding import let
 
@@ -20,10 +21,33 @@ MIN_PIXELS = 12544
 MAX_PIXELS = 25088
 
 
+def payload(df: DataFrame, column: str) -> Column:
+    """Any stored form of an image as one struct of ``bytes``, ``path`` and ``array``.
+
+    The form is read off the schema: raw bytes, an array, a path, or a struct with some of
+    ``bytes``, ``path``, ``array``, ``data`` and ``image``, where the last two hold bytes
+    or an array. Fields that are not there are null.
+    """
+    kind = df.schema[column].dataType
+    image = F.col(column)
+    if isinstance(kind, StructType):
+        held = {f.name: (image[f.name], f.dataType) for f in kind.fields}
+    else:
+        held = {"data": (image, kind)}
+    wanted = {"bytes": BinaryType, "path": StringType, "array": ArrayType}
+    parts, arrays = {}, [t for _, t in held.values() if isinstance(t, ArrayType)]
+    for name, form in wanted.items():
+        fit = [c for n in (name, "data", "image") if n in held for c, t in [held[n]] if isinstance(t, form)]
+        empty = arrays[0] if form is ArrayType and arrays else form(DoubleType()) if form is ArrayType else form()
+        parts[name] = F.coalesce(*fit) if fit else F.lit(None).cast(empty)
+    made = F.struct(*(c.alias(n) for n, c in parts.items()))
+    return F.when(image.isNotNull(), made)
+
+
 def payload_kind(image: Column) -> Column:
     """Which field of the image struct is used: bytes, else path, else array, else null.
 
-    Empty bytes and an empty path count as absent.
+    ``image`` is what ``payload`` gives. Empty bytes and an empty path count as absent.
     """
     return (
         F.when(F.octet_length(image["bytes"]) > 0, F.lit("bytes"))

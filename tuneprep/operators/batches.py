@@ -43,6 +43,27 @@ def collate(df: DataFrame, pad_id: int, batch_col: str = "batch_id") -> DataFram
     )
 
 
+def collate_ids(df: DataFrame, pad_id: int, batch_col: str = "batch_id") -> DataFrame:
+    """``collate`` for examples of which ``input_ids`` and ``boundary`` say all.
+
+    Only these pass the exchange; the attention mask and the labels, which are as long
+    again, are made of them after it.
+    """
+    out = collate(
+        df.withColumn("attention_mask", F.array().cast("array<int>")), pad_id, batch_col
+    )
+    size = F.col("padded_length") - F.col("padding")
+    ignored = F.col("padding") + F.least(F.col("boundary"), size)
+    labels = F.concat(
+        F.array_repeat(F.lit(IGNORE), ignored.cast("int")),
+        F.slice("input_ids", ignored.cast("int") + 1, (F.col("padded_length") - ignored).cast("int")),
+    )
+    mask = F.concat(
+        F.array_repeat(F.lit(0), F.col("padding").cast("int")), F.array_repeat(F.lit(1), size.cast("int"))
+    )
+    return out.withColumns({"attention_mask": mask, "labels": labels})
+
+
 def padding_waste(collated: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """Rows, padded cells and share of padding per batch."""
     cells = F.sum("padded_length")

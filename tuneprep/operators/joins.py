@@ -12,7 +12,8 @@ from tuneprep.session import materialise
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
-SALTS = 64
+# Tasks that the rows without a key, which match nothing, are spread over.
+NULL_SALTS = 1024
 
 
 def size_columns(table: DataFrame) -> list[Column]:
@@ -64,33 +65,43 @@ def salted_join(
     how: str = "left",
     row_key: Sequence[str] = (),
     hot_share: float = HOT_SHARE,
-    salts: int = SALTS,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join in which the rows of a hot key go to ``salts`` tasks.
-
-    At most ``1 / hot_share`` keys can hold that share of the rows, so the list of
-    hot keys is bounded whatever the data and may be broadcast. Only the table
-    rows of hot keys are copied. The salt is a hash of ``row_key``, so a task that
-    is run again gives every row the same salt. ``counts`` (the key and ``_rows``)
-    saves the pass that counts the rows per key, where that is known already.
+    """Shuffle join in which the rows of a hot key go to as many tasks as its share asks for.
+
+    At most ``1 / hot_share`` keys can hold that share of the rows, and they are
+    listed by a hash of the key, so the list is bounded in rows and bytes whatever the
+    data and may be broadcast. Keys that share a hash are salted alike; the join itself
+    compares the keys. A key gets one salt for each ``hot_share`` that it holds; only the
+    table rows of hot keys are copied. Rows with a null key are spread too. The salt is a
+    hash of ``row_key``, so a task that is run again gives every row the same salt. ``counts``
+    (the key and ``_rows``) saves the pass that counts the rows per key, where that is known.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"salted_join supports left and inner joins, not {how!r}")
     if counts is None:
-        keyed = rows.where(F.col(on).isNotNull())
-        counts = keyed.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
-    hot = counts.where(F.col("_rows") >= total * F.lit(hot_share)).select(
-        on, F.lit(True).alias("_hot")
+        counts = rows.where(F.col(on).isNotNull()).select(on, F.lit(1).alias("_rows"))
+    by_hash = counts.groupBy(F.xxhash64(on).alias("_hash")).agg(F.sum("_rows").alias("_rows"))
+    by_hash = materialise(by_hash, "key-counts")
+    total = by_hash.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+    share = F.lit(hot_share) * total
+    hot = by_hash.where(F.col("_rows") >= share).select(
+        "_hash", F.greatest(F.ceil(F.col("_rows") / share), F.lit(2)).cast("int").alias("_salts")
     )
     hot = F.broadcast(materialise(hot, "hot-keys"))
-    spread = F.pmod(F.xxhash64(*(row_key or rows.columns)), F.lit(salts)).cast("int")
-    left = rows.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
+    spread = F.xxhash64(*(row_key or rows.columns))
+    left = rows.withColumn("_hash", F.xxhash64(on)).join(hot, "_hash", "left").withColumn(
+        "_salt",
+        F.when(F.col(on).isNull(), F.pmod(spread, F.lit(NULL_SALTS)))
+        .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
+        .otherwise(F.lit(0))
+        .cast("int"),
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = (
+        table.withColumn("_hash", F.xxhash64(on))
+        .join(hot, "_hash", "left")
+        .withColumn("_salt", F.explode(copies))
+        .drop("_hash", "_salts")
     )
-    right = table.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.drop("_hot").join(right, [on, "_salt"], how).drop("_salt")
+    return left.drop("_hash", "_salts").join(right, [on, "_salt"], how).drop("_salt")

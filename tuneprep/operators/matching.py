@@ -16,7 +16,7 @@ from tuneprep.operators.joins import (
     size_columns,
     within,
 )
-from tuneprep.operators.vocab import VocabularyError, normalised_vocab
+from tuneprep.operators.vocab import VocabularyError, normalised_vocab, require_valid
 from tuneprep.session import materialise
 
 UNKNOWN_LABEL = "Unknown"
@@ -25,7 +25,7 @@ MATCHED = "valid_normalized"
 UNKNOWN = "unknown"
 
 # Longest label, in words, that is looked up by a chain of joins: two per word.
-LOOKUP_WORDS = 12
+LOOKUP_WORDS = 4
 
 
 def _priority(longest: bool) -> Column:
@@ -48,8 +48,13 @@ class MatchTable:
 
 
 def match_table(vocab: DataFrame) -> MatchTable:
-    """Normalise a vocabulary; raise if two labels cannot be told apart any more."""
+    """Normalise a valid vocabulary; raise if two labels cannot be told apart any more.
+
+    An invalid one, such as a label with two ids, is an error here, so that all ways of
+    joining give the same rows.
+    """
     forms = materialise(normalised_vocab(vocab), "vocab-forms")
+    require_valid(forms.select("label", "label_id"))
     measured = forms.agg(
         *size_columns(forms),
         F.max("fault").alias("fault"),
@@ -81,17 +86,18 @@ def match_predictions(
     the test an equi join.
 
     A vocabulary within the broadcast bound is looked up once per prefix and suffix
-    length, in one stage without a shuffle. A larger one is joined with the
-    distinct answers and the result is joined back.
+    length, in one stage without a shuffle. A larger one, or one with longer labels, is
+    joined with the distinct answers and the result is joined back.
     """
     table = vocab if isinstance(vocab, MatchTable) else match_table(vocab)
     entries = table.forms.select("norm", _priority(longest).alias("entry"))
     most = table.words if containment else 0
-    if within(table.measured, max_rows, max_bytes) and most <= LOOKUP_WORDS:
+    small = within(table.measured, max_rows, max_bytes)
+    if small and most <= LOOKUP_WORDS:
         answers = predictions.withColumn("normalised", normalise_label(F.col(raw_col)))
         matched = _by_lookup(answers, entries, most)
     else:
-        matched = _by_shuffle(predictions, raw_col, entries, most, row_key)
+        matched = _by_shuffle(predictions, raw_col, entries, most, row_key, small)
     return matched.select(
         *predictions.columns,
         "normalised",
@@ -125,8 +131,14 @@ def _by_lookup(answers: DataFrame, entries: DataFrame, words: int) -> DataFrame:
 
 
 def _by_shuffle(
-    predictions: DataFrame, raw_col: str, entries: DataFrame, words: int, row_key: Sequence[str]
+    predictions: DataFrame,
+    raw_col: str,
+    entries: DataFrame,
+    words: int,
+    row_key: Sequence[str],
+    small: bool,
 ) -> DataFrame:
+    """Match the distinct answers by an equi join on their pieces; ``small`` entries are broadcast."""
     keyed = predictions.withColumn("_text", F.coalesce(F.col(raw_col), F.lit("")))
     # Map-side combine leaves one row per distinct answer, however often it occurs;
     # only these are normalised and matched, and their counts name the hot ones.
@@ -147,9 +159,12 @@ def _by_shuffle(
     distinct = texts.select("normalised").where(F.col("normalised") != "").distinct()
     candidates = distinct.select("normalised", F.explode(pieces).alias("norm"))
     part = (F.col("norm") != F.col("normalised")).alias("part")
+    if small:
+        pieces_found = candidates.join(F.broadcast(entries), "norm")
+    else:
+        pieces_found = salted_join(candidates, entries, "norm", "inner", ["normalised"])
     found = (
-        salted_join(candidates, entries, "norm", "inner", ["normalised"])
-        .groupBy("normalised")
+        pieces_found.groupBy("normalised")
         .agg(F.min(F.struct(part, "entry")).alias("m"))
         .select("normalised", F.col("m.entry").alias("_match"))
     )

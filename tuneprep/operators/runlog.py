@@ -178,25 +178,19 @@ def chunk_steps(chunks: DataFrame, batch_size: int, accumulate: int) -> DataFram
 
 
 def accumulation_plan(chunks: DataFrame, batch_size: int, accumulate: int) -> DataFrame:
-    """One row per batch: does it end a step, and how is its gradient scaled.
+    """Per chunk: its batches and steps, and the batches and gradient scale of its last step.
 
-    A step ends every ``accumulate`` batches and at the end of a chunk; a short
-    last group is scaled up. Chunks are spread over the tasks before the batches
-    are listed.
+    A step ends every ``accumulate`` batches and at the end of a chunk; a short last
+    group is scaled up. All other steps have ``accumulate`` batches and scale 1.
     """
     sized = chunk_steps(chunks, batch_size, accumulate).where(F.col("n_batches") > 0)
-    listed = sized.repartition("chunk").select(
-        "chunk", "n_batches", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_batches")).alias("batch")
-    )
-    left_over = F.col("batch") % F.lit(accumulate)
-    steps = (left_over == 0) | (F.col("batch") == F.col("n_batches"))
-    return listed.select(
+    last = F.col("n_batches") - (F.col("n_steps") - 1) * accumulate
+    return sized.select(
         "chunk",
-        "batch",
-        steps.alias("should_step"),
-        F.when(steps & (left_over != 0), F.lit(float(accumulate)) / left_over)
-        .otherwise(F.lit(1.0))
-        .alias("scale"),
+        "n_batches",
+        "n_steps",
+        last.alias("last_batches"),
+        (F.lit(float(accumulate)) / last).alias("last_scale"),
     )
 
 
@@ -210,29 +204,26 @@ def step_budget(
 ) -> DataFrame:
     """Optimizer steps of the whole run, at least 1, and how many of them warm up.
 
-    Chunks that were not measured (null ``n_rows``) count ``estimate`` rows.
+    Chunks that were not measured (null ``n_rows``) count ``estimate`` rows; without
+    an estimate they are an error, as the sum would leave them out.
     """
     known = chunks if estimate is None else chunks.withColumn(
         "n_rows", F.coalesce("n_rows", F.lit(estimate))
     )
-    per_epoch = F.coalesce(F.sum("n_steps"), F.lit(0))
-    total = F.greatest(F.lit(1), per_epoch * F.lit(epochs)).cast("bigint")
+    unmeasured = F.raise_error(F.lit("chunks without a row count need an estimate"))
+    per_epoch = F.when(F.count_if(F.col("n_rows").isNull()) > 0, unmeasured.cast("bigint")).otherwise(
+        F.coalesce(F.sum("n_steps"), F.lit(0))
+    )
     return (
         chunk_steps(known, batch_size, accumulate)
-        .agg(per_epoch.cast("bigint").alias("steps_per_epoch"), total.alias("total_steps"))
+        .agg(per_epoch.cast("bigint").alias("steps_per_epoch"))
+        .withColumn("total_steps", F.greatest(F.lit(1), F.col("steps_per_epoch") * epochs).cast("bigint"))
         .withColumn(
             "warmup_steps", F.floor(F.col("total_steps") * F.lit(float(warmup_ratio))).cast("bigint")
         )
     )
 
 
-def learning_rate(step: Column, total: Column, warmup: Column, rate: float) -> Column:
-    """Linear warm-up to ``rate``, then linear decay to 0."""
-    rising = step / F.greatest(warmup, F.lit(1))
-    falling = F.greatest(F.lit(0.0), (total - step) / F.greatest(total - warmup, F.lit(1)))
-    return F.lit(float(rate)) * F.when(step < warmup, rising).otherwise(falling)
-
-
 def lr_schedule(
     chunks: DataFrame,
     batch_size: int,
@@ -241,10 +232,9 @@ def lr_schedule(
     warmup_ratio: float,
     rate: float,
 ) -> DataFrame:
-    """The learning rate of every optimizer step of the run.
+    """First and last step of each chunk of each epoch, and the learning rate at both.
 
-    Steps are listed per epoch and chunk, so the list grows with the chunks and is
-    made by as many tasks.
+    The rate rises linearly to ``rate`` during the warm-up, then falls linearly to 0.
     """
     sized = chunk_steps(chunks, batch_size, accumulate)
     # One row per chunk file group: the window runs over the plan, not over data.
@@ -255,28 +245,70 @@ def lr_schedule(
     total = budget.select("total_steps").scalar()
     warmup = budget.select("warmup_steps").scalar()
     per_epoch = budget.select("steps_per_epoch").scalar()
-    steps = (
+
+    def at(step: Column) -> Column:
+        rising = step / F.greatest(warmup, F.lit(1))
+        falling = F.greatest(F.lit(0.0), (total - step) / F.greatest(total - warmup, F.lit(1)))
+        return F.lit(float(rate)) * F.when(step < warmup, rising).otherwise(falling)
+
+    return (
         sized.withColumn("_before", before)
         .where(F.col("n_steps") > 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-        .repartition("epoch", "chunk")
-        .withColumn("_local", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_steps") - 1)))
+        .withColumn("first_step", (F.col("epoch") - 1) * per_epoch + F.col("_before"))
+        .withColumn("last_step", F.col("first_step") + F.col("n_steps") - 1)
         .select(
             "epoch",
             "chunk",
-            ((F.col("epoch") - 1) * per_epoch + F.col("_before") + F.col("_local")).alias("step"),
+            "first_step",
+            "last_step",
+            at(F.col("first_step")).alias("first_lr"),
+            at(F.col("last_step")).alias("last_lr"),
         )
     )
-    return steps.withColumn("lr", learning_rate(F.col("step"), total, warmup, rate))
 
 
-def run_summary(log: DataFrame, plan: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Best epoch and score of each run, with the chunk and shard counts of the plan."""
+def epoch_rows(
+    summary: DataFrame, metrics: DataFrame, by: Sequence[str] = ("run_id", "epoch")
+) -> DataFrame:
+    """The rows of the run log: the training summary of each epoch with its validation metrics.
+
+    An epoch that was not validated keeps its row, with null metrics.
+    """
+    return summary.join(metrics, list(by), "left")
+
+
+def run_summary(
+    log: DataFrame,
+    plan: DataFrame,
+    by: Sequence[str] = ("run_id",),
+    shards: DataFrame | None = None,
+    mode: str | None = None,
+    test_metrics: DataFrame | None = None,
+) -> DataFrame:
+    """Best epoch and score of each run, with the chunk and shard counts of the plan.
+
+    ``shards`` (``split``, ``shard_id``) adds the shard lists of the splits ``train``,
+    ``val`` and ``test``, ``mode`` a column of that name, and ``test_metrics`` (keyed by
+    ``by``) the figures of the final test as ``test_`` columns. Shard lists are lists of files.
+    """
     shape = plan.agg(
         F.count(F.lit(1)).alias("n_shards"), F.count_distinct("chunk").alias("chunks_per_epoch")
     )
-    return best_epoch(log, by).select(
+    out = best_epoch(log, by).select(
         "*",
         shape.select("chunks_per_epoch").scalar().alias("chunks_per_epoch"),
         shape.select("n_shards").scalar().alias("training_shards"),
     )
+    if shards is not None:
+        for name in ("train", "val", "test"):
+            listed = shards.where(F.col("split") == name).agg(
+                F.array_sort(F.collect_list("shard_id")).alias("s")
+            )
+            out = out.withColumn(f"{name}_shards", listed.scalar())
+    if mode is not None:
+        out = out.withColumn("mode", F.lit(mode))
+    if test_metrics is not None:
+        figures = {c: f"test_{c}" for c in test_metrics.columns if c not in by}
+        out = out.join(test_metrics.withColumnsRenamed(figures), list(by), "left")
+    return out

@@ -19,9 +19,10 @@ class SplitError(ValueError):
 
 
 def shard_split(shard: Column, ranges: Mapping[str, tuple[int, int]] = SHARD_SPLITS) -> Column:
-    """The split a shard belongs to; null outside all ranges."""
+    """The split a shard belongs to; null outside all ranges. Ranges must not overlap."""
     if not ranges:
         raise SplitError("no split ranges given")
+    check_ranges(ranges)
     out = F.lit(None).cast("string")
     for name, (first, last) in ranges.items():
         out = F.when(shard.between(first, last), F.lit(name)).otherwise(out)

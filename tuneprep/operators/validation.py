@@ -40,7 +40,8 @@ def resolve_labels(
     """Check ``disease`` and ``label_id`` of every row against the vocabulary.
 
     Adds ``reason`` (null for good rows) and replaces ``disease``, ``crop`` and
-    ``label_id`` by their cleaned values. A given id is kept if its label is not in
+    ``label_id`` by their cleaned values. An id that is no whole number of 32 bits is
+    ``bad_id``. A given id is kept if its label is not in
     the vocabulary; ``id_source`` tells such rows apart (``given``, ``checked``,
     ``vocabulary``).
     """
@@ -49,7 +50,7 @@ def resolve_labels(
     )
     checked = samples.withColumn("_label", strip(F.col("disease").cast("string")))
     joined = lookup_join(checked, table, "_label", "left", row_key)
-    given, known = F.expr("try_cast(label_id as bigint)"), F.col("_vocab_id")
+    given, known = F.expr("try_cast(label_id as int)"), F.col("_vocab_id")
     has_id = F.col("label_id").isNotNull()
     reason = (
         F.coalesce(

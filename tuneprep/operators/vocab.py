@@ -1,17 +1,20 @@
 """The label vocabulary: a table ``(label, label_id)`` whose ids never change.
 
-It holds one row per class of the classifier. The only windows without a
-partition in this module run over such class tables, after ``distinct``.
+It holds one row per class of the classifier. The only window without a partition
+in this module runs over the ranges that new labels are numbered in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import clean_label, normalise_label
 from tuneprep.operators.ordering import hash_cut, seeded_hash
+from tuneprep.session import materialise
 
 PREVIEW = 50
 
@@ -34,21 +37,40 @@ def distinct_labels(df: DataFrame, label_col: str) -> DataFrame:
     return label_column(df, label_col).distinct()
 
 
-def _number(*order: str) -> Column:
-    return F.row_number().over(W.orderBy(*order))
+def _numbered(labels: DataFrame, order: Sequence[str], first: Column | int = 0) -> DataFrame:
+    """``label`` and ``label_id``: numbers from ``first`` on in the given order.
+
+    The labels are written down in ranges of the order. A number is the count of the
+    labels in earlier ranges plus the place in its own, so no task sees all labels;
+    only one row per range is ordered in one place.
+    """
+    ranged = labels.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "label-ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    start = first if isinstance(first, Column) else F.lit(first)
+    return ranged.join(before, "_range").select(
+        "label", (start + F.col("_before") + place).cast("int").alias("label_id")
+    )
 
 
 def build_vocab(df: DataFrame, label_col: str = "disease") -> DataFrame:
     """Distinct labels in code-point order, numbered from 0."""
-    return distinct_labels(df, label_col).select(
-        "label", (_number("label") - 1).cast("int").alias("label_id")
-    )
+    return _numbered(distinct_labels(df, label_col), ["label"])
 
 
 def build_vocab_from_sample(
-    df: DataFrame, key: str, label_col: str = "disease", n: int = 5000, seed: int = 42
+    df: DataFrame, key: str, label_col: str = "disease", n: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """The vocabulary of ``n`` rows taken in seeded order (all rows if fewer)."""
+    """The vocabulary of all rows, or of ``n`` rows taken in seeded order.
+
+    A bound leaves out labels, whose rows are later unknown; give one only where the
+    source has no end.
+    """
+    if n is None:
+        return build_vocab(df, label_col)
     hashed = df.select(seeded_hash(seed, key).alias("_h"), label_col)
     return build_vocab(hashed.where(F.col("_h") <= hash_cut(hashed, "_h", n=n)), label_col)
 
@@ -73,9 +95,7 @@ def extend_vocab(
     )
     fresh = spelled.join(vocab.select("label"), "label", "left_anti")
     last = vocab.agg(F.coalesce(F.max("label_id"), F.lit(-1))).scalar()
-    added = fresh.select(
-        "label", (last + _number(order_by)).cast("int").alias("label_id")
-    )
+    added = _numbered(fresh, [order_by], last + 1)
     return vocab.select("label", "label_id").unionByName(added)
 
 
@@ -94,14 +114,10 @@ def vocab_over_chunks(
         .agg(F.min("chunk").alias("chunk"))
     )
     if vocab is None:
-        return first.select(
-            "label", (_number("chunk", "label") - 1).cast("int").alias("label_id")
-        )
+        return _numbered(first, ["chunk", "label"])
     fresh = first.join(vocab.select("label"), "label", "left_anti")
     last = vocab.agg(F.coalesce(F.max("label_id"), F.lit(-1))).scalar()
-    added = fresh.select(
-        "label", (last + _number("chunk", "label")).cast("int").alias("label_id")
-    )
+    added = _numbered(fresh, ["chunk", "label"], last + 1)
     return vocab.select("label", "label_id").unionByName(added)
 
 
@@ -214,12 +230,12 @@ def inverse_vocab(vocab: DataFrame) -> DataFrame:
 def normalised_vocab(vocab: DataFrame) -> DataFrame:
     """Vocabulary with the normalised form of each label.
 
-    ``fault`` is null, ``empty_after_normalise``, or ``collision`` where two labels
-    share a form.
+    ``fault`` is null, ``empty_after_normalise``, or ``collision`` where two entries
+    share a form, be they two labels or one label with two ids.
     """
     forms = vocab.select("label", "label_id", normalise_label(F.col("label")).alias("norm"))
     shared = W.partitionBy("norm")
-    two = F.min("label").over(shared) != F.max("label").over(shared)
+    two = F.count(F.lit(1)).over(shared) > 1
     fault = F.when(F.col("norm") == "", F.lit("empty_after_normalise")).when(
         two, F.lit("collision")
     )

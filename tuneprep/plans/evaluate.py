@@ -20,6 +20,10 @@ from tuneprep.operators.vocab import require_valid
 from tuneprep.session import materialise
 
 
+# Share of different answers up to which equal ones are counted before they are matched.
+REPEATED = 0.25
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """``predictions`` has one row per answer, ``metrics`` one row."""
@@ -34,30 +38,48 @@ def score_answers(
     row_key: Sequence[str],
     raw_col: str = "raw_output",
     longest: bool = False,
+    containment: bool = True,
 ) -> DataFrame:
-    """Match answers and look up the id of ``true_label``."""
+    """Match answers and look up the id of ``true_label``; an invalid vocabulary is an error."""
+    vocab = require_valid(materialise(vocab.select("label", "label_id"), "vocab"))
     truth = vocab.select(F.col("label").alias("true_label"), F.col("label_id").alias("true_id"))
     stripped = answers.withColumn("true_label", strip(F.col("true_label")))
     known = lookup_join(stripped, truth, "true_label", "left", row_key)
-    return match_predictions(known, vocab, raw_col, row_key, longest=longest)
+    return match_predictions(known, vocab, raw_col, row_key, containment, longest)
 
 
 def score_table(
-    answers: DataFrame, vocab: DataFrame, row_key: Sequence[str] = (), raw_col: str = "raw_output"
+    answers: DataFrame,
+    vocab: DataFrame,
+    raw_col: str = "raw_output",
+    longest: bool = False,
+    containment: bool = True,
 ) -> DataFrame:
     """The metrics of a table of ``true_label`` and raw answers, as one row.
 
-    Equal answers to equal labels are counted first, in the map tasks; the text
-    work and all joins see each such pair once. Which rows they came from does not
-    matter to the figures, so ``row_key`` is not needed.
+    Which rows the answers came from does not matter to the figures.
     """
+    vocab = require_valid(materialise(vocab.select("label", "label_id"), "vocab"))
     grouped = _distinct_answers(answers.withColumnRenamed(raw_col, "raw_output"), "true_label")
-    scored = score_answers(grouped, vocab, ["true_label", "raw_output"])
+    scored = score_answers(grouped, vocab, ["true_label", "raw_output"], "raw_output", longest, containment)
     return _metrics(scored, vocab)
 
 
 def _distinct_answers(answers: DataFrame, truth: str) -> DataFrame:
-    return answers.groupBy(truth, "raw_output").agg(F.count(F.lit(1)).alias("n"))
+    """Answers with ``n``, the rows that each stands for.
+
+    Where most answers repeat, equal ones to equal labels are counted in the map tasks
+    and the text work and all joins see each pair once. Where most differ, grouping
+    would only move all text, so every row stands for itself. The share is estimated
+    from hashes; it decides about the plan, not about the result.
+    """
+    pairs = answers.select(truth, "raw_output")
+    seen = pairs.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(truth, "raw_output")).alias("kinds")
+    ).first()
+    if seen["kinds"] > REPEATED * seen["n"]:
+        return pairs.withColumn("n", F.lit(1).cast("bigint"))
+    return pairs.groupBy(truth, "raw_output").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _metrics(scored: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -79,31 +101,36 @@ def evaluate(
     max_samples: int | None = None,
     strict: bool = True,
     batch_size: int = 64,
-    max_words: int | None = None,
+    longest: bool = False,
+    containment: bool = True,
+    index: str | None = None,
     template: ChatTemplate = ChatTemplate(),
 ) -> Evaluation:
     """Check samples, ask the model, match its answers and score them.
 
     The model sees only ``inputs``, columns of the samples or the ``prompt_text``
     made here; the true label must not be among them. In
-    strict mode a bad row is an error, else it is left out. ``max_samples`` keeps
-    the first rows by ``row_key``. The answers, the costly part, are written to the
-    shared folder once.
+    strict mode a bad row is an error, else it is left out. ``max_samples`` takes the
+    first samples by ``index`` (the column that ``with_index`` adds) or else by
+    ``row_key``, before they are checked: a bad row among them counts, one after them
+    does not. The answers, the costly part, are written to the shared folder once.
+    ``predictions`` keeps ``row_key`` and ``index``.
     """
     if {"disease", "label_id", "true_label"} & set(inputs):
         raise ValueError("the model must not see the answer")
-    checked = resolve_labels(samples, require_valid(vocab), row_key)
+    vocab = require_valid(materialise(vocab.select("label", "label_id"), "vocab"))
+    kept = list(dict.fromkeys([*row_key, *([index] if index else [])]))
+    samples = first_by_key(samples, [index] if index else row_key, max_samples)
+    checked = resolve_labels(samples, vocab, row_key)
     rows = require_good(checked) if strict else good_rows(checked)
-    if max_samples is not None:
-        rows = first_by_key(rows, row_key, max_samples)
     prompt = render(conversation(F.col("crop")), template, open_turn=True)
     asked = predict(
         rows.withColumn("prompt_text", prompt), make_model, inputs,
-        batch_size=batch_size, max_words=max_words,
+        batch_size=batch_size,
     )
     answers = materialise(
         asked.select(
-            *row_key,
+            *kept,
             F.col("disease").alias("true_label"),
             F.col("label_id").alias("true_id"),
             "raw_output",
@@ -111,9 +138,11 @@ def evaluate(
         "answers",
     )
     table = match_table(vocab)
-    predictions = match_predictions(answers, table, "raw_output", row_key).withColumn(
-        "correct", F.col("true_id") == F.col("predicted_id")
-    )
+    predictions = match_predictions(
+        answers, table, "raw_output", row_key, containment, longest
+    ).withColumn("correct", F.col("true_id") == F.col("predicted_id"))
     grouped = _distinct_answers(answers, "true_id")
-    matched = match_predictions(grouped, table, "raw_output", ["true_id", "raw_output"])
+    matched = match_predictions(
+        grouped, table, "raw_output", ["true_id", "raw_output"], containment, longest
+    )
     return Evaluation(predictions, _metrics(matched, vocab))

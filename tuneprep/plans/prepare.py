@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.functions.chat import ChatTemplate, conversation, render
 from tuneprep.functions.tokens import NO_TARGET, boundary, mask_prompt, word_ids
-from tuneprep.operators.batches import collate
+from tuneprep.operators.batches import collate_ids, require_batches
 from tuneprep.operators.splits import assign_batches, shuffled
+from tuneprep.session import materialise
 
 
 def generation_rows(
@@ -57,6 +59,18 @@ def training_rows(
     )
 
 
+class NoTargetError(ValueError):
+    """Strict mode met examples without a token to learn."""
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """``batches`` has the padded examples, ``quarantine`` the left-out ones with their reason."""
+
+    batches: DataFrame
+    quarantine: DataFrame
+
+
 def training_batches(
     checked: DataFrame,
     key: Sequence[str],
@@ -68,14 +82,23 @@ def training_batches(
     tokenise: Callable[[Column], Column] = word_ids,
     image_tokens: Column | None = None,
     image_id: int = 0,
-) -> DataFrame:
+    strict: bool = True,
+) -> Prepared:
     """Checked samples as token examples in padded batches, in the epoch's seeded order.
 
     Places are given to the samples before they become tokens, so the first
-    shuffle moves text and the tokenising is spread evenly over the tasks.
+    shuffle moves text and the tokenising is spread evenly over the tasks. An example
+    without a target is an error in strict mode, else it is quarantined; a batch
+    without a valid example is always an error. The examples are written once, as ids
+    and boundaries.
     """
     placed = assign_batches(shuffled(checked, key, seed, epoch), batch_size)
     examples = training_rows(
         placed, template, [*key, "batch_id"], tokenise, image_tokens, image_id
     )
-    return collate(examples, pad_id)
+    examples = materialise(examples.drop("attention_mask", "labels"), "examples")
+    left_out = examples.where(F.col("reason").isNotNull())
+    if strict and (shown := left_out.select(*key).take(5)):
+        raise NoTargetError(f"examples without a target: {[tuple(r) for r in shown]}")
+    require_batches(examples)
+    return Prepared(collate_ids(examples, pad_id), left_out)

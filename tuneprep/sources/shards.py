@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -21,20 +22,28 @@ def scan_shards(
 ) -> DataFrame:
     """All ``*.parquet`` files of a folder, united by column name.
 
-    Adds ``shard_file`` and ``shard_row``, the row's place in its file. A given
-    schema saves the pass over the file footers that merging them needs.
+    Adds ``shard_file``, the file's path below the folder, and ``shard_row``, the
+    row's place in its file. A given schema saves the pass over the file footers that
+    merging them needs.
     """
     reader = spark.read.option("pathGlobFilter", "*.parquet")
     reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     try:
         df = reader.parquet(folder)
     except AnalysisException as error:
-        raise FileNotFoundError(f"no parquet files in {folder}") from error
-    if schema is not None and not df.inputFiles():
-        raise FileNotFoundError(f"no parquet files in {folder}")
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise FileNotFoundError(f"no parquet files in {folder}") from error
+        raise
+    if schema is not None:
+        # The listing alone, one row of it; no file is opened and no list reaches the driver's Python.
+        listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+        if listing.select("path").isEmpty():
+            raise FileNotFoundError(f"no parquet files in {folder}")
+    base = re.escape(folder.rstrip("/").rpartition("/")[2])
+    below = F.regexp_extract("_metadata.file_path", f"/{base}/(.+)$", 1)
     return df.select(
         "*",
-        F.col("_metadata.file_name").alias("shard_file"),
+        F.coalesce(F.nullif(below, F.lit("")), F.col("_metadata.file_name")).alias("shard_file"),
         F.col("_metadata.row_index").alias("shard_row"),
     )
 
@@ -44,13 +53,18 @@ def shard_number(file_name: Column, pattern: str = SHARD_PATTERN) -> Column:
     return F.nullif(F.regexp_extract(file_name, pattern, 1), F.lit("")).cast("int")
 
 
-def with_index(df: DataFrame, index: str = "index") -> DataFrame:
+def with_index(scan: DataFrame, index: str = "index", rows: DataFrame | None = None) -> DataFrame:
     """Number the rows from 0 through all files in name order, as read.
 
     The place of a row is the number of rows in earlier files plus its place in
-    its own, so no row is moved: only the row counts per file are ordered.
+    its own, so no row is moved: only the row counts per file are ordered. ``scan`` is
+    the whole scan, as its counts give the numbers; a filtered one is an error. ``rows``
+    are the rows of it that are wanted, if not all.
     """
-    files = df.groupBy("shard_file").agg(F.count(F.lit(1)).alias("_rows"))
+    df = scan if rows is None else rows
+    partly = F.raise_error(F.lit("with_index needs the whole scan; give filtered rows as rows"))
+    counts = F.when(F.max("shard_row") + 1 != F.count(F.lit(1)), partly.cast("bigint")).otherwise(F.count(F.lit(1)))
+    files = scan.groupBy("shard_file").agg(counts.alias("_rows"))
     earlier = W.orderBy("shard_file").rowsBetween(W.unboundedPreceding, -1)
     offsets = files.select(
         "shard_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
@@ -101,17 +115,28 @@ def shard_audit(
     smallest: int = SMALLEST_FILE,
     pattern: str = SHARD_PATTERN,
 ) -> DataFrame:
-    """State of the shard files of a folder; nothing is read or deleted.
-
-    Every wanted shard is ``ok``, ``too_small``, ``unfinished`` (only a ``.tmp``
-    file) or ``missing``; files of other shards are ``stale``.
-    """
+    """State of the shard files of a folder; nothing is read or deleted."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(folder)
         .select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
     )
+    return audit_listing(listing, total, wanted, smallest, pattern)
+
+
+def audit_listing(
+    listing: DataFrame,
+    total: int,
+    wanted: Sequence[int] | None = None,
+    smallest: int = SMALLEST_FILE,
+    pattern: str = SHARD_PATTERN,
+) -> DataFrame:
+    """State of the shards in a list of files (``file``, ``length``), however it was made.
+
+    Every wanted shard is ``ok``, ``too_small``, ``unfinished`` (only a ``.tmp``
+    file) or ``missing``; files of other shards are ``stale``.
+    """
     finished = F.regexp_replace("file", r"\.tmp$", "")
     files = listing.select(
         shard_number(finished, pattern).alias("shard_id"),
@@ -121,7 +146,7 @@ def shard_audit(
     present = files.groupBy("shard_id").agg(
         F.max("length").alias("length"), F.bool_or("tmp").alias("tmp")
     )
-    plan = spark.range(total).select(F.col("id").cast("int").alias("shard_id"))
+    plan = listing.sparkSession.range(total).select(F.col("id").cast("int").alias("shard_id"))
     if wanted is not None:
         plan = plan.where(F.col("shard_id").isin(list(wanted)))
     plan = plan.withColumn("_wanted", F.lit(True))

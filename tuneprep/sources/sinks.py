@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tuneprep.session import materialise
 
 PREDICTION_SCHEMA = (
     "index bigint, true_label string, true_id int, predicted_label string, predicted_id int, "
@@ -47,15 +51,63 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.na.fill("", ["raw_model_output"])
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Metrics (one row) or debug rows as JSON, nulls included."""
-    metrics.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_metrics(
+    metrics: DataFrame,
+    path: str,
+    checkpoint: str | None = None,
+    validation_shard: int | str | None = None,
+) -> None:
+    """Metrics (one row) or debug rows as JSON, nulls included.
+
+    ``checkpoint`` and ``validation_shard`` say what was evaluated on what, so that two
+    files can be told apart.
+    """
+    about = {"checkpoint": checkpoint, "validation_shard": validation_shard}
+    record = metrics.withColumns({k: F.lit(v) for k, v in about.items() if v is not None})
+    record.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+_LOG_KEYS = ["run_id", "epoch"]
+
+
+def _log_columns(names: list[str]) -> list[str]:
+    """The order of the columns of a log file, whatever the order of the frame."""
+    return sorted(set(names) - set(_LOG_KEYS)) + _LOG_KEYS
+
+
+def _log_reader(spark: SparkSession, schema: StructType):
+    """Reads log files by the names in their headers; other columns are an error, not shifted values."""
+    reader = spark.read.schema(schema).option("header", True)
+    return reader.option("enforceSchema", False).option("mode", "FAILFAST")
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:
-    """Add epoch rows to the log; a resumed run keeps its earlier epochs."""
-    rows.write.mode("append").partitionBy("run_id").option("header", True).csv(path)
+    """Add epoch rows to the log; a resumed run keeps its earlier epochs, one that is run again replaces its own.
+
+    Only the files of the runs that the rows belong to are written anew.
+    """
+    spark, new = rows.sparkSession, rows.select(*_log_columns(rows.columns))
+    try:
+        old = _log_reader(spark, new.schema).csv(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = new
+    else:
+        kept = old.join(new.select("run_id").distinct(), "run_id", "left_semi")
+        kept = kept.join(new.select(*_LOG_KEYS), _LOG_KEYS, "left_anti")
+        merged = materialise(new.unionByName(kept), "run-log")
+    (
+        merged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("header", True)
+        .partitionBy("run_id")
+        .csv(path)
+    )
 
 
 def read_run_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """The log in the columns of the schema."""
+    fields = {f.name: f for f in StructType.fromDDL(schema).fields}
+    stored = StructType([fields[c] for c in _log_columns(list(fields))])
+    return _log_reader(spark, stored).csv(path).select(*fields)

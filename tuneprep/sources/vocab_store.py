@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneprep.operators.joins import fits_broadcast
 from tuneprep.operators.vocab import VocabularyError, build_vocab, require_valid
 from tuneprep.session import materialise
 
@@ -30,12 +29,16 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _started(spark: SparkSession, path: str) -> list[int]:
+    """Versions that have a folder, the newest first; one listing."""
+    found = [re.fullmatch(r"version=(\d+)", name) for name in _folders(spark, path)]
+    return sorted((int(m.group(1)) for m in found if m), reverse=True)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions that were written to the end, in order."""
-    found = [re.fullmatch(r"version=(\d+)", name) for name in _folders(spark, path)]
-    return sorted(
-        int(m.group(1)) for m in found if m and _complete(spark, f"{path}/{m.group(0)}")
-    )
+    started = _started(spark, path)
+    return sorted(v for v in started if _complete(spark, f"{path}/version={v}"))
 
 
 def save_vocab(vocab: DataFrame, path: str, version: int) -> DataFrame:
@@ -51,13 +54,16 @@ def save_vocab(vocab: DataFrame, path: str, version: int) -> DataFrame:
 def load_vocab(
     spark: SparkSession, path: str, version: int | None = None, before: int | None = None
 ) -> DataFrame | None:
-    """A version (the last one by default, or the last before a number); None if absent."""
-    known = [v for v in versions(spark, path) if before is None or v < before]
-    if version is None:
-        if not known:
-            return None
-        version = known[-1]
-    elif version not in known:
+    """A version (the last one by default, or the last before a number); None if absent.
+
+    Folders are looked at from the newest down until one is complete, so the number of
+    calls does not grow with the versions.
+    """
+    for found in _started(spark, path) if version is None else [version]:
+        if (before is None or found < before) and _complete(spark, f"{path}/version={found}"):
+            version = found
+            break
+    else:
         return None
     return require_valid(spark.read.schema(_SCHEMA).parquet(f"{path}/version={version}"))
 
@@ -71,11 +77,9 @@ def load_or_create_vocab(df: DataFrame, path: str, label_col: str = "disease") -
 def vocab_to_json(vocab: DataFrame) -> DataFrame:
     """One row, one column ``value``: ``{"label2id": {..}, "id2label": {..}}``.
 
-    A JSON document is one object, so this is for vocabularies within the broadcast
-    bound; larger ones are exchanged as Parquet.
+    The document is one object and so one row, made in one task, whatever the size: an
+    exchange format for the classes of a classifier. The table itself is the Parquet version.
     """
-    if not fits_broadcast(vocab):
-        raise VocabularyError("vocabulary too large for one JSON document; use the Parquet table")
     ordered = F.array_sort(F.collect_list(F.struct("label_id", "label")))
     return (
         require_valid(vocab)

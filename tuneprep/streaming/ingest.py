@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tuneprep.operators.vocab import build_vocab, distinct_labels, extend_vocab, require_labels
+from tuneprep.operators.vocab import (
+    build_vocab,
+    distinct_labels,
+    extend_vocab,
+    missing_labels,
+    require_labels,
+)
 from tuneprep.session import materialise
 from tuneprep.sources.vocab_store import load_vocab, save_vocab
 
@@ -51,8 +57,13 @@ def process_chunk(
     # The chunk is read once for its labels; the rest works on the distinct ones.
     labels = materialise(distinct_labels(chunk, label_col), "chunk-labels")
     known = load_vocab(spark, vocab_path, before=chunk_id)
-    grown = build_vocab(labels, "label") if known is None else extend_vocab(known, labels, "label")
-    vocab = save_vocab(grown, vocab_path, chunk_id)
+    if known is None:
+        vocab = save_vocab(build_vocab(labels, "label"), vocab_path, chunk_id)
+    elif missing_labels(known, labels, "label").isEmpty():
+        # A version is written only when labels are added.
+        vocab = known
+    else:
+        vocab = save_vocab(extend_vocab(known, labels, "label"), vocab_path, chunk_id)
     n_labels = require_labels(vocab, labels, "label")
     if work is not None:
         work(chunk, vocab, chunk_id)

@@ -40,6 +40,8 @@ ROUNDS = 3
 ROOM = 0
 # Passes of the local search over the underfull bins of a group, at most.
 PASSES = 12
+# Exchanges weighed for one bin before the best of them is made; the next pass weighs others.
+LOOKED = 256
 
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,14 +177,14 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passe
             given = tokens(back)
             at = bisect_right(sums, given + room) - 1
             looked = 0
-            while at >= 0 and sums[at] - given > most and looked < 24:
+            while at >= 0 and sums[at] - given > most and looked < LOOKED:
                 d = sums[at] - given
                 for rows, a in holders[sums[at]].items():
                     looked += 1
                     if a != b and fill[b] + d > fill[a] and not (back and len(rows) == 1 and d == 0):
                         best, most = (a, rows, back), d
                         break
-                    if looked >= 24:
+                    if looked >= LOOKED:
                         break
                 at -= 1
             if most == room:

@@ -44,28 +44,24 @@ SLACK = 1e-9
 class Tree:
     """A cover tree over unit vectors (rows), with rows reordered so that the descendants of a node are neighbours.
 
-    levels[i] holds the nodes of a level as arrays: centre (a place in vectors), begin and
-    end (its descendants), reach (distance of the farthest), first and last (its children in levels[i + 1]).
+    owners: for each level the row of the centre that each row belongs to. levels[i]
+    holds the nodes of a level as arrays: centre (a place in vectors), begin and end
+    (its descendants), reach (distance of the farthest), first and last (its children in levels[i + 1]).
     """
 
-    def __init__(self, vectors: np.ndarray, finest: float = FINEST):
-        parents, centres, radius = [np.zeros(len(vectors), np.int64)], [np.zeros(1, np.int64)], 2.0
-        while radius > finest:
-            radius /= 2
-            chosen, owner = self._covered(vectors, radius, parents[-1], centres[-1])
-            centres.append(chosen)
-            parents.append(owner)
+    def __init__(self, vectors: np.ndarray, owners: np.ndarray):
         # Rows in the order of their node at each level; a node's rows are then neighbours at all levels.
-        self.order = np.lexsort(parents[::-1])
+        self.order = np.lexsort(owners[::-1])
         self.vectors = np.ascontiguousarray(vectors[self.order])
+        self.rough = self.vectors.astype(np.float32)
         place = np.empty(len(vectors), np.int64)
         place[self.order] = np.arange(len(vectors))
         self.levels = []
-        for owner, chosen in zip(parents, centres, strict=True):
+        for owner in owners:
             owner = owner[self.order]
             begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            centre = place[chosen[owner[begin]]]
-            reach = np.maximum.reduceat(self._distance(np.repeat(centre, np.diff(np.append(begin, len(owner))))), begin)
+            centre = place[owner[begin]]
+            reach = np.maximum.reduceat(self._distance(place[owner]), begin)
             self.levels.append({"centre": centre, "begin": begin, "end": np.append(begin[1:], len(owner)), "reach": reach})
         for level, below in zip(self.levels, [*self.levels[1:], None], strict=True):
             starts = np.arange(len(vectors)) if below is None else below["begin"]
@@ -76,44 +72,54 @@ class Tree:
         """The distance of each vector from the vector at a place."""
         return np.sqrt(np.maximum(0, ((self.vectors - self.vectors[centre]) ** 2).sum(1)))
 
-    @staticmethod
-    def _covered(vectors: np.ndarray, radius: float, parent: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Centres of a level, those of the level above first, and the centre of each row among them.
-
-        A row belongs to a centre below its own node, so that levels are nested. In
-        each round the first uncovered rows are candidates; among them a greedy pass
-        keeps those that no earlier one covers, and the kept ones cover other rows.
-        """
-        near = 1 - radius * radius / 2
-        owner = np.full(len(vectors), -1)
-        chosen: list[int] = []
-        best = np.full(len(vectors), -np.inf)
-
-        def cover(candidates: np.ndarray) -> None:
-            number = np.arange(len(chosen), len(chosen) + len(candidates))
-            chosen.extend(candidates.tolist())
-            for at in range(0, len(vectors), 1024):
-                rows = slice(at, at + 1024)
-                cosine = vectors[rows] @ vectors[candidates].T
-                cosine[parent[rows][:, None] != parent[candidates][None, :]] = -np.inf
-                top = cosine.argmax(1)
-                value = cosine[np.arange(len(top)), top]
-                better = (value >= near) & (value > best[rows])
-                owner[rows] = np.where(better, number[top], owner[rows])
-                best[rows] = np.where(better, value, best[rows])
-            owner[candidates] = number
-            best[candidates] = np.inf
-
-        cover(upper)
-        while len(left := np.flatnonzero(owner < 0)):
-            left = left[:512]
-            cosine = vectors[left] @ vectors[left].T
-            close = (cosine >= near) & (parent[left][:, None] == parent[left][None, :])
-            kept = np.zeros(len(left), bool)
-            for i in range(len(left)):
-                kept[i] = not (close[i, :i] & kept[:i]).any()
-            cover(left[kept])
-        return np.array(chosen), owner
+
+def owners(vectors: np.ndarray, finest: float = FINEST) -> np.ndarray:
+    """For each level, of radius 2, 1, 1/2 and so on, the row of the centre that each row belongs to."""
+    found, radius = [np.zeros(len(vectors), np.int64)], 2.0
+    while radius > finest:
+        radius /= 2
+        found.append(_covered(vectors, radius, found[-1]))
+    return np.stack(found)
+
+
+def _covered(vectors: np.ndarray, radius: float, parent: np.ndarray) -> np.ndarray:
+    """The centre of each row at a level. Centres of the level above stay centres.
+
+    A row belongs to a centre below its own node, so that levels are nested. Rows
+    alone in their node are done. In each round the first uncovered rows are
+    candidates; among them a greedy pass keeps those that no earlier one covers, and
+    the kept ones cover other rows.
+    """
+    near = 1 - radius * radius / 2
+    owner = np.where(np.bincount(parent, minlength=len(parent))[parent] == 1, np.arange(len(parent)), -1)
+    rows = np.flatnonzero(owner < 0)
+    best = np.full(len(parent), -np.inf)
+
+    def cover(candidates: np.ndarray) -> None:
+        for at in range(0, len(rows), 1024):
+            some = rows[at : at + 1024]
+            cosine = vectors[some] @ vectors[candidates].T
+            cosine[parent[some][:, None] != parent[candidates][None, :]] = -np.inf
+            top = cosine.argmax(1)
+            value = cosine[np.arange(len(top)), top]
+            better = (value >= near) & (value > best[some])
+            owner[some] = np.where(better, candidates[top], owner[some])
+            best[some] = np.where(better, value, best[some])
+        owner[candidates] = candidates
+        best[candidates] = np.inf
+
+    upper = np.unique(parent[rows])
+    for at in range(0, len(upper), 512):
+        cover(upper[at : at + 512])
+    while len(left := rows[owner[rows] < 0]):
+        left = left[:512]
+        cosine = vectors[left] @ vectors[left].T
+        close = (cosine >= near) & (parent[left][:, None] == parent[left][None, :])
+        kept = np.zeros(len(left), bool)
+        for i in range(len(left)):
+            kept[i] = not (close[i, :i] & kept[:i]).any()
+        cover(left[kept])
+    return owner
 
 
 def _children(level: dict, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +155,29 @@ def traverse(one: Tree, two: Tree, threshold: float, same: bool) -> tuple[np.nda
     singles: list[tuple[np.ndarray, np.ndarray]] = []
     wholes: list[tuple[int, int, int, int]] = []
     depth = len(one.levels)
-    # The root pair is split at once, in tiles: all pairs of nodes of the first level below it.
-    top = min(1, depth - 1)
+    # The root pair is split at once, in tiles, into all pairs of nodes of a level: the last one that has not many more
+    # nodes than the first below the root, as such levels prune little. Nodes of one vector, most of them in
+    # scattered data, share one bound; the bound of a tile is loose, in single precision.
+    nodes = [len(x["centre"]) + len(y["centre"]) for x, y in zip(one.levels, two.levels, strict=True)]
+    top = max(i for i in range(depth) if nodes[i] <= 2 * nodes[min(1, depth - 1)])
     a, b = one.levels[top], two.levels[top]
     stack: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(a["centre"]), 512):
-        rows = slice(at, at + 512)
-        cosine = one.vectors[a["centre"][rows]] @ two.vectors[b["centre"]].T
-        bound = far + SLACK + a["reach"][rows][:, None] + b["reach"][None, :]
-        keep = cosine >= 1 - bound * bound / 2 - SLACK
-        if same:
-            keep &= np.arange(len(b["centre"]))[None, :] >= np.arange(len(a["centre"]))[rows][:, None]
-        i, j = np.nonzero(keep)
-        if len(i):
-            stack.append((top, i + at, j))
+    kinds_a, kinds_b = ([np.flatnonzero(x["reach"] == 0), np.flatnonzero(x["reach"] > 0)] for x in (a, b))
+    for rows_b in kinds_b:
+        towards = two.rough[b["centre"][rows_b]].T
+        for rows_a in kinds_a:
+            if not len(rows_a) or not len(rows_b):
+                continue
+            for at in range(0, len(rows_a), 512):
+                rows = rows_a[at : at + 512]
+                cosine = one.rough[a["centre"][rows]] @ towards
+                bound = min(2.0, far + a["reach"][rows].max() + b["reach"][rows_b].max())
+                i, j = np.nonzero(cosine >= 1 - bound * bound / 2 - 1e-4)
+                i, j = rows[i], rows_b[j]
+                if same:
+                    i, j = i[j >= i], j[j >= i]
+                if len(i):
+                    stack.append((top, i, j))
     while stack:
         depth_now, i, j = stack.pop()
         if len(i) > STEP:
@@ -207,13 +222,19 @@ def _unit(block: pd.DataFrame) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
+def _planted(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block with the owners that make it a cover tree, as places in the order of class."""
+    rows = rows.sort_values("class", ignore_index=True)
+    return rows.assign(owners=list(owners(_unit(rows)).T.astype(np.int32)))
+
+
 def _compared(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(class, n_links, linked): of the vectors of a pair of blocks, or of one block with itself."""
     blocks = [block.sort_values("class", ignore_index=True) for _, block in rows.groupby("block", sort=True)]
     same = bool(rows["alone"].iloc[0])
-    trees = [Tree(_unit(b)) for b in blocks]
     if not same and len(blocks) < 2:
         return pd.DataFrame({"class": [], "n_links": [], "linked": []})
+    trees = [Tree(_unit(b), np.stack(b["owners"].to_list()).T.astype(np.int64)) for b in blocks]
     one, two = trees[0], trees[-1]
     singles, wholes = traverse(one, two, threshold, same)
     names = [b["class"].to_numpy()[t.order] for b, t in zip(blocks, trees, strict=True)]
@@ -260,14 +281,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     classes = materialise(classes.withColumn("dimension", F.size("vector")), "classes")
     groups = classes.groupBy("dimension").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = classes.join(F.broadcast(groups), "dimension").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    columns = "dimension int, class bigint, weight bigint, vector array<double>, block bigint, blocks bigint"
+    dealt = dealt.select("dimension", "class", "weight", "vector", "block", "blocks")
+    # Each block becomes a tree once.
+    dealt = materialise(dealt.groupBy("dimension", "block").applyInPandas(_planted, columns + ", owners array<int>"), "trees")
     # Block i meets itself and each other block once: the pair is named by both numbers.
     partners = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    met = dealt.select("dimension", "block", "class", "weight", "vector", partners.alias("other")).select(
+    met = dealt.select("dimension", "block", "class", "weight", "vector", "owners", partners.alias("other")).select(
         "dimension",
         "block",
         "class",
         "weight",
         "vector",
+        "owners",
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
         (F.col("block") == F.col("other")).alias("alone"),

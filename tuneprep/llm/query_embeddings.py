@@ -11,7 +11,7 @@ from tuneprep.llm.registry import query, table
 SQL = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
-), u as (
+), u as materialized (
   select vec_id, e from v
   where e is not null and len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0
     and len([x for x in e if x <> 0]) > 0

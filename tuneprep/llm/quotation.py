@@ -117,10 +117,11 @@ def link(messages: DataFrame) -> DataFrame:
         _passages(F.col("lines")).alias("passages"),
     )
     cut = materialise(cut, "messages")
-    passages = cut.where("conversation is not null and turn is not null").select("row", "conversation", "turn", F.explode("passages").alias("p"))
+    passages = cut.select("row", "conversation", "turn", F.explode("passages").alias("p"))
     passages = passages.select("row", "conversation", "turn", "p.level", F.sha2(F.col("p.words").cast("binary"), 256).alias("hash"))
     # The first message that has a passage is its origin: one row for each passage, combined before the shuffle.
-    origins = passages.where("level = 0").groupBy("conversation", "hash").agg(F.min("turn").alias("origin"))
+    known = passages.where("level = 0 and conversation is not null and turn is not null")
+    origins = known.groupBy("conversation", "hash").agg(F.min("turn").alias("origin"))
     quotes = passages.where("level > 0").select("row", "conversation", "turn", "level", "hash")
     found = quotes.join(origins, ["conversation", "hash"], "left")
     sound = F.when(F.col("origin") < F.col("turn"), F.col("origin"))

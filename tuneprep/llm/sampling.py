@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tuneprep.operators.joins import fits_broadcast
+from tuneprep.session import materialise
+
 
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of an id as text, modulo a divisor; null ids give null."""
@@ -15,11 +18,19 @@ def remainder(doc_id: str, divisor: int) -> Column:
 def sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """The per_label rows of each label that come first in the order of a hash of their key.
 
-    Labels are counted first, so that only rows whose hash is low enough to be among
-    the first, about twice as many as are wanted, are shuffled, however many there are.
+    Only labels and keys are ordered, and of these only the ones whose hash is low
+    enough to be among the first, about twice as many as are wanted; so neither the
+    number of rows nor their width matters. Rows that share a key are ranked after that.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_count"))
+    narrow = rows.select(label, key)
+    counts = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_count"))
     place = F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))
-    near = rows.join(counts, label).where(place * F.col("_count") <= 2 * per_label + 100)
+    near = narrow.join(counts, label).where(place * F.col("_count") <= 2 * per_label + 100)
     order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank", "_count")
+
+    def first(df: DataFrame) -> DataFrame:
+        return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+
+    chosen = materialise(first(near).select(label, key).distinct(), "sample")
+    chosen = F.broadcast(chosen) if fits_broadcast(chosen) else chosen
+    return first(rows.join(chosen, [label, key], "left_semi"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.words import Words, byte_class, lists, ranges, shingles
+from tuneprep.llm.words import Words, byte_class, lists, ranges, shingles, slices
 from tuneprep.session import materialise
 
 WINDOW = 10
@@ -94,7 +94,7 @@ def _marked(batches: Iterator[pa.RecordBatch], kind: str, window: int, gram: int
     cut = Words(WORD_BYTES)
     reach = (window - gram, window)
     none = _NO_WORD[kind]
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         hashes, offsets = cut(batch.column(1))
         counts = np.diff(offsets)
         places, found = _fingerprints(hashes, offsets, window, gram)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tuneprep.llm.sampling import sample
-from tuneprep.llm.words import text_bytes
+from tuneprep.llm.words import slices, text_bytes
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -248,7 +248,7 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
 
 
 def _predicted(net: Network, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, text)):
         data, offsets = text_bytes(batch.column(text))
         letter = _has_letter(batch.column(text), data, offsets)
         if net.languages:

@@ -10,7 +10,7 @@ from tuneprep.llm.registry import query, table
 
 SQL = r"""
 with recursive w as (
-  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+') as ws from documents
 ), s as (
   select distinct doc_id, array_to_string(ws[i + 1:i + 3], ' ') as g

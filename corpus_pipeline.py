@@ -21,12 +21,13 @@ from tuneprep.llm import language, secret_scan
 from tuneprep.llm.decontamination import contaminated
 from tuneprep.llm.jaccard import similar
 from tuneprep.llm.packing import pack, pieces
+from tuneprep.llm.registry import small_batches
 from tuneprep.llm.sampling import remainder
 from tuneprep.operators.joins import fits_broadcast
 from tuneprep.session import materialise
 
-# A document whose most likely language has less than this goes, and one without letters.
-LEAST_LANGUAGE_SCORE = 0.3
+# A document goes whose most likely language is less than so many times as likely as by chance, and one without letters.
+ABOVE_CHANCE = 1.1
 
 # Language and tokenisation have no SQL form.
 ORACLE_SQL = None
@@ -43,16 +44,18 @@ def _without(docs: DataFrame, ids: DataFrame, nulls: bool) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network recognises; it learns from those that carry a language."""
+    small_batches(spark)
     known = docs.select(F.col("doc_id").alias("id"), "text", "lang")
     net = language.fit(known.where(remainder("id", 4) != 2))
     plain = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
     found = language.identify(docs.withColumnsRenamed(plain), net)
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") * len(net.languages) >= (ABOVE_CHANCE if len(net.languages) > 1 else 0)))
     return kept.select(*(F.col(plain.get(c, c)).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    small_batches(spark)
     found = similar(docs.select(F.col("doc_id").alias("id"), "text")).where("id is not null")
     by_id = materialise(
         found.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.col("id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")),
@@ -69,6 +72,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
     found = contaminated(docs.select(F.col("doc_id").alias("id"), "text"), items)
     hit = materialise(found.where("n_hit > 0").select(F.col("id").alias("doc_id")).distinct(), "contaminated")
@@ -82,6 +86,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, each with its sequence and its place there."""
+    small_batches(spark)
     cut = pieces(docs.select(F.col("doc_id").alias("id"), "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return pack(cut).withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
 

@@ -28,6 +28,8 @@ from tuneprep.session import materialise
 
 # A document goes whose most likely language is less than so many times as likely as by chance, and one without letters.
 ABOVE_CHANCE = 1.1
+# Near copies: sets of so many words in a row, and the least similarity in percent.
+SHINGLE, SIMILAR = 5, 80
 
 # Language and tokenisation have no SQL form.
 ORACLE_SQL = None
@@ -56,7 +58,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     small_batches(spark)
-    found = similar(docs.select(F.col("doc_id").alias("id"), "text")).where("id is not null")
+    found = similar(docs.select(F.col("doc_id").alias("id"), "text"), n=SHINGLE, percent=SIMILAR).where("id is not null")
     by_id = materialise(
         found.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.col("id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")),
         "by_id",

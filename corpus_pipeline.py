@@ -4,17 +4,16 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 run() writes each result to the shared folder and reads it again. All stages but the
 last return the columns of documents, whatever they are besides doc_id and text.
 
-Defined cases, besides those of the operators. Rows that share a doc_id are one
-document: it stays if any of its rows is the one that stays of its group, and goes
-if any is contaminated; equal texts of one doc_id stay once. Rows with a null
-doc_id are no copies of anything; they go together if one of them is contaminated.
+Defined cases, besides those of the operators. Stages decide on rows, not on doc_ids,
+by a key that they write beside each row: of a group of near copies the row with the
+smallest doc_id stays (null ids come last; of one id the row with the smallest
+hash), and a contaminated row goes alone, whatever other rows share its doc_id.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tuneprep.llm import language, secret_scan
@@ -35,13 +34,19 @@ SHINGLE, SIMILAR = 5, 80
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame, nulls: bool) -> DataFrame:
-    """docs without the rows of some ids (column doc_id, each once). The ids are broadcast only if they are few."""
-    ids = ids.select(F.col("doc_id").alias("_gone"))
-    if fits_broadcast(ids):
-        ids = F.broadcast(ids)
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) if nulls else F.col("doc_id") == F.col("_gone")
-    return docs.join(ids, same, "left_anti")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, and the name of its column. The keys are written, so that all jobs see the same."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows without some of their keys (column gone, each once), and without the key. The keys are broadcast only if they are few."""
+    if fits_broadcast(gone):
+        gone = F.broadcast(gone)
+    return rows.join(gone, F.col(key) == F.col("gone"), "left_anti").drop(key)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,27 +63,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     small_batches(spark)
-    found = similar(docs.select(F.col("doc_id").alias("id"), "text"), n=SHINGLE, percent=SIMILAR).where("id is not null")
-    by_id = materialise(
-        found.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.col("id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")),
-        "by_id",
-    )
-    kept = _without(docs, by_id.where("not stays").select("doc_id"), nulls=False)
-    repeated = by_id.where("stays and n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    order = W.partitionBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).orderBy(F.xxhash64(*docs.columns))
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1")
-    return _without(kept, repeated, nulls=False).unionByName(again.select(*docs.columns))
+    rows, key = _keyed(docs)
+    # The smallest of these in a group is the row that stays.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(key).alias("key"))
+    found = similar(rows.select(order.alias("id"), "text"), n=SHINGLE, percent=SIMILAR)
+    gone = found.where(F.col("id")["key"] != F.col("component_id")["key"]).select(F.col("id")["key"].alias("gone"))
+    return _without(rows, key, materialise(gone, "copies"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
-    found = contaminated(docs.select(F.col("doc_id").alias("id"), "text"), items)
-    hit = materialise(found.where("n_hit > 0").select(F.col("id").alias("doc_id")).distinct(), "contaminated")
-    return _without(docs, hit, nulls=True)
+    rows, key = _keyed(docs)
+    found = contaminated(rows.select(F.col(key).alias("id"), "text"), items)
+    return _without(rows, key, materialise(found.where("n_hit > 0").select(F.col("id").alias("gone")), "contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,28 @@ def test_near_copies_with_several_edits(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3, 4]
 
 
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    """A stage decides on each row: no clean document goes with a row of its id, and no copy stays with one."""
+    passage = " ".join(f"word{i}" for i in range(14))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = [" ".join(f"{k}{i}" for i in range(100)) for k in "abcdef"]
+    schema = "doc_id long, text string, _row int"
+
+    def left(stage, rows):
+        out = stage(spark, spark.createDataFrame([(*r, 5) for r in rows], schema), str(tmp_path))
+        assert out.columns == ["doc_id", "text", "_row"]
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    clean = [(None, text[0]), (None, text[1]), (7, text[2]), (8, text[3])]
+    dirty = [(None, text[4] + " " + passage), (7, text[5] + " " + passage)]
+    assert left(corpus_pipeline.decontaminate, clean + dirty) == sorted(clean, key=str)
+    near = text[0].replace("a50 ", "changed ")
+    # Copies: two with null ids of one text; a near copy under an id that another text has; null ids beside an id.
+    rows = [(None, text[1]), (None, text[1]), (3, text[0]), (5, near), (5, text[2]), (None, text[2]), (6, text[3]), (6, text[3]), (6, text[4])]
+    kept = [(None, text[1]), (3, text[0]), (5, text[2]), (6, text[3]), (6, text[4])]
+    assert left(corpus_pipeline.drop_near_duplicates, rows) == sorted(kept, key=str)
+
+
 def test_run(spark, corpus):
     folder, rows = corpus
     out = corpus_pipeline.run(spark, folder).collect()

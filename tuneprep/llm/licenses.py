@@ -1,9 +1,12 @@
 """Licence scans by sentence rules, in built-in functions only.
 
-A text is cut into sentences at line ends and after full stops, question and
-exclamation marks before white space. Sentences are normalised (A-Z in lower case, every run of
-other characters than letters and digits one space) and mapped to the identifiers of
-known licence sentences. The identifiers of a text, in order, are matched against
+A text can break at line ends and after full stops, question and exclamation marks
+and semicolons before white space, and before a URL; not after a colon inside a line, as in the SQL of the query. It is normalised (A-Z in lower case, every run of
+other characters than letters and digits one space, lines of comment marks are empty lines, the
+number or letter of a point of a list ends at a break) and searched for known licence sentences that begin and end at a break.
+Between words of a sentence the text may break (a wrapped notice), but not at the end of another
+sentence or at an empty line. Of sentences that begin at one place the longest is taken, and the search goes on behind
+it. The identifiers of a text, in order, are matched against
 the rules: a rule is a licence and the sentences that show it, in this order, with
 other known sentences allowed between them. All of it is one projection of each row.
 
@@ -14,6 +17,8 @@ given; licences are listed in the order of the rules. Repeated rows are scanned
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,23 +96,61 @@ RULES = [
 ]
 # A licence that a later one holds word for word is not given beside it.
 IMPLIED = {"BSD-2-Clause": "BSD-3-Clause"}
-# Every known sentence has one of these; other texts are not cut.
-HINT = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|[Ww][Aa][Rr][Rr][Aa][Nn][Tt]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss][Ii][Oo][Nn]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK, OTHER = r"([.!?])[ \t\r\f\n]+", r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text."""
-    parts = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n")
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), OTHER, " ")))
+# Ends of sentences and paragraphs, and weaker breaks, in the normalised text.
+HARD, SOFT = "\u0001", "\u0002"
+WORD = OTHER.removeprefix("[^").removesuffix("]+")
+# A line without a word: an empty one, or one of comment marks.
+EMPTY = rf"\n[^A-Z{WORD}\n]*\n"
+# The start of a line: other characters than words, a comment mark made of letters, the number or letter of a point of a list.
+POINT = rf"(?m)^[^A-Z{WORD}\n]*(?:(?:[Rr][Ee][Mm]|dnl)(?=[ \t])[^A-Z{WORD}\n]*)?(?:(?:[0-9]{{1,2}}|[A-Za-z])[.)](?=[ \t]))?"
+WEAK = r";(?=[ \t\f\n])|\n|[ \t](?=[Hh][Tt][Tt][Pp][Ss]?://)"
+
+
+def broken(text: Column) -> Column:
+    """The normalised text: words with a space, HARD or SOFT between, and HARD at both ends."""
+    lines = F.regexp_replace(F.regexp_replace(text, f"[{HARD}{SOFT}]", " "), "\r\n?", "\n")
+    marked = F.regexp_replace(F.regexp_replace(lines, POINT, SOFT), EMPTY, HARD)
+    marked = F.regexp_replace(F.regexp_replace(marked, BREAK, f"$1{HARD}"), WEAK, SOFT)
+    words = F.regexp_replace(F.translate(marked, UPPER, LOWER), f"[^{WORD}{HARD}{SOFT}]+", " ")
+    # Of several breaks between two words the strongest holds; a run is looked at from its start only.
+    words = F.regexp_replace(words, f"(?<![ {HARD}{SOFT}])[ {SOFT}]*+{HARD}[ {HARD}{SOFT}]*+", HARD)
+    words = F.regexp_replace(words, f"(?<![ {SOFT}]) *+{SOFT}[ {SOFT}]*+", SOFT)
+    return F.concat(F.lit(HARD), F.trim(words), F.lit(HARD))
+
+
+def sentence_pattern(known: dict[str, str]) -> str:
+    """A pattern over broken() text that the known sentences fit, the longest first."""
+    one = [f"[ {SOFT}]".join(s.split(" ")) for s in sorted(known, key=len, reverse=True)]
+    return f"(?<=[{HARD}{SOFT}])(?:{'|'.join(one)})(?=[{HARD}{SOFT}])"
+
+
+def hint(known: dict[str, str]) -> str:
+    """A pattern that every text with a known sentence fits; other texts are not searched. It has a word of each sentence, long words first."""
+    left, words = list(known), []
+    while left:
+        counts: dict[str, int] = {}
+        for sentence in left:
+            for w in set(sentence.split(" ")):
+                counts[w] = counts.get(w, 0) + 1
+        words.append(max(counts, key=lambda w: (len(w) > 6, counts[w], len(w), w)))
+        left = [sentence for sentence in left if words[-1] not in sentence]
+    return "|".join("".join(f"[{c.upper()}{c}]" if c in LOWER else c for c in w) for w in words)
 
 
 def identifiers(text: Column, known: dict[str, str]) -> Column:
     """The identifiers of the known sentences of a text, in order."""
+    # A text has no sentence that is not normalised.
+    known = {s: i for s, i in known.items() if re.fullmatch("[a-z0-9\x80-\U0010ffff]+(?: [a-z0-9\x80-\U0010ffff]+)*", s)}
+    if not known:
+        return F.array().cast("array<string>")
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    found = F.filter(F.transform(sentences(text), lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(broken(text), F.lit(sentence_pattern(known)), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, SOFT, " ")))
+    return F.when(text.rlike(hint(known)), ids).otherwise(F.array().cast("array<string>"))
 
 
 def rule_pattern(sequence: list[str]) -> str:

@@ -91,6 +91,15 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a [SECRET] b", 2: None, 3: "plain", 4: "[SECRET]"}
 
 
+def test_the_rest_of_a_run_beside_a_base_span(spark):
+    key, hexes, access = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzEXAMPLE4KEY", "0123456789abcdef01234567", "AKIA" + "IOSFODNN7EXAMPLE"
+    texts = [f"é {access}/{key} b", f"{hexes}-{key}", f"{key}_{hexes}/{key}", f"{hexes}-short1", f"token={hexes} {access}", f"{hexes} {key}"]
+    out = S.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r["text"] for r in sorted(out.collect())]
+    assert not any(key[:8] in t or key[-8:] in t for t in got)
+    assert got == ["é [SECRET][SECRET] b", "[SECRET][SECRET]", "[SECRET][SECRET][SECRET]", "[SECRET]-short1", "[SECRET] [SECRET]", "[SECRET] [SECRET]"]
+
+
 def test_no_python_on_the_main_path(spark, folder):
     plan = QUERIES["op8_secret_scan"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

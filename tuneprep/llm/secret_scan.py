@@ -9,7 +9,8 @@ base64 or url-safe base64) with a digit and a letter. A window of WINDOW
 characters moves along it; when one enters and one leaves, the sum of c log2 c over
 the counts c changes by the two counts concerned only. A candidate whose largest
 window entropy reaches the threshold of its class is a span of kind ``entropy``,
-unless an allow-list pattern fits it, or it overlaps a span of the base patterns.
+unless an allow-list pattern fits it. Spans of the base patterns are cut out of a text
+first: what is left of a run beside them is a candidate if it is long enough.
 
 Defined cases. A null text is empty. An empty text has no spans; the hash is that of
 the empty string. Repeated rows are scanned one by one. Long texts are scanned whole.
@@ -130,13 +131,32 @@ def _is_random(run: Column) -> Column:
     )
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    """The spans the method adds: random candidates that overlap no base span."""
-    found = F.filter(_places(text, CANDIDATE), lambda x: _is_random(x["match"]))
-    spans = F.transform(found, _span(3, ENTROPY))
-    free = F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+def _without(text: Column, spans: Column) -> Column:
+    """The text with a space for each character of the spans, which are in the order of their starts and may overlap."""
+    walk = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda s, x: F.when(x["stop"] <= s["at"], s).otherwise(
+            F.struct(
+                x["stop"].alias("at"),
+                F.concat(
+                    s["out"],
+                    F.array(
+                        F.substring(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])),
+                        F.repeat(F.lit(" "), x["stop"] - F.greatest(s["at"], x["start"])),
+                    ),
+                ).alias("out"),
+            )
+        ),
+    )
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(walk["out"], ""), F.substring(text, walk["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def entropy_spans(text: Column, free: Column) -> Column:
+    """The spans the method adds: random candidates of a text whose base spans are blank (free)."""
+    found = F.filter(_places(free, CANDIDATE), lambda x: _is_random(x["match"]))
     # Every kept candidate has a digit and a letter: most texts without both side by side in a run are spared.
-    return F.when(text.rlike(CANDIDATE), free).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(CANDIDATE), F.transform(found, _span(3, ENTROPY))).otherwise(F.array().cast(_SPAN))
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -144,8 +164,9 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     kinds = {f"_{kind}": base_spans(whole, kind) for kind in PATTERNS}
     found = documents.withColumns(kinds).withColumn("base", F.array_sort(F.concat(*kinds)))
-    found = found.withColumn("_entropy", entropy_spans(whole, F.col("base")))
-    return found.withColumn("spans", F.array_sort(F.concat("base", "_entropy"))).drop(*kinds, "_entropy")
+    found = found.withColumn("_free", _without(whole, F.col("base")))
+    found = found.withColumn("_entropy", entropy_spans(whole, F.col("_free")))
+    return found.withColumn("spans", F.array_sort(F.concat("base", "_entropy"))).drop(*kinds, "_free", "_entropy")
 
 
 def listed(spans: Column) -> Column:

@@ -101,7 +101,7 @@ def vectors():
             out.append([c + rng.gauss(0, 0.1 * (k % 4)) for c in centre])
             out.append([-c for c in out[-1]] if k == 5 else [3 * c for c in out[-1]])
     out += [out[20]] * 5 + [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
-    return [(i * 7 % 1000, v, i) for i, v in enumerate(out)]
+    return [(i * 7 % 1000, v, i, [None, 3, 3, 4][i % 4]) for i, v in enumerate(out)]
 
 
 def messages():
@@ -134,7 +134,7 @@ def edges(spark, tmp_path_factory):
     for name, rows, schema in (
         ("documents", docs, "doc_id long, text string, size int, hash string"),
         ("benchmark", items, "item_id long, text string"),
-        ("embeddings", vectors(), "vec_id long, embedding array<float>, class int"),
+        ("embeddings", vectors(), "vec_id long, embedding array<float>, class int, label int"),
         ("conversations", messages(), "conv_id long, turn long, role string, text string"),
         ("pages", pages(), "page_id long, url string, html string"),
     ):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tuneprep.operators.joins import fits_broadcast
+from tuneprep.operators.joins import fits_broadcast, lookup_join
 from tuneprep.session import materialise
 
 
@@ -23,9 +23,10 @@ def sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     number of rows nor their width matters. Rows that share a key are ranked after that.
     """
     narrow = rows.select(label, key)
-    counts = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_count"))
+    counts = materialise(narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_count")), "label-counts")
     place = F.shiftrightunsigned(F.xxhash64(key), 1) / F.lit(float(1 << 63))
-    near = narrow.join(counts, label).where(place * F.col("_count") <= 2 * per_label + 100)
+    # One row per label, broadcast when measured to be small: rows of a frequent label are filtered where they are.
+    near = lookup_join(narrow, counts, label, "inner", [key]).where(place * F.col("_count") <= 2 * per_label + 100)
     order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
 
     def first(df: DataFrame) -> DataFrame:

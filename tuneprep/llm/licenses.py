@@ -153,27 +153,34 @@ def identifiers(text: Column, known: dict[str, str]) -> Column:
     return F.when(text.rlike(hint(known)), ids).otherwise(F.array().cast("array<string>"))
 
 
-def rule_pattern(sequence: list[str]) -> str:
-    """A pattern over identifiers, each between commas, that this ordered sequence fits."""
-    return "," + "(?:[^,]+,)*?".join(f"{x}," for x in sequence)
+def progress(ids: Column, sequences: list[list[str]]) -> Column:
+    """How many identifiers of each sequence a list of identifiers has, in this order; others may lie between.
+
+    One pass, with a place in each sequence that moves on when its next identifier comes.
+    """
+    table = F.array(*(F.array(*map(F.lit, sequence)) for sequence in sequences))
+    moved = lambda places, x: F.transform(places, lambda p, k: F.when(F.get(F.get(table, k), p) == x, p + 1).otherwise(p))
+    return F.aggregate(ids, F.array_repeat(F.lit(0), len(sequences)), moved)
 
 
 def scan(documents: DataFrame, text: str = "text", known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """documents with sentence_ids, rules (numbers from 1 of the first that shows each licence) and licenses."""
     rules = RULES if rules is None else rules
     ids = identifiers(F.coalesce(F.col(text), F.lit("")), SENTENCES if known is None else known)
-    line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
+    if not rules:
+        return documents.withColumns({"sentence_ids": ids, "rules": F.array().cast("array<int>"), "licenses": F.array().cast("array<string>")})
     shown: dict[str, Column] = {}
     for number, (name, sequence) in enumerate(rules, 1):
-        fits = line.rlike(rule_pattern(sequence))
+        fits = F.get("_progress", F.lit(number - 1)) == len(sequence)
         shown[name] = shown[name].when(fits, F.lit(number)) if name in shown else F.when(fits, F.lit(number))
     found = documents.withColumn("sentence_ids", ids)
+    found = found.withColumn("_progress", F.when(F.size("sentence_ids") > 0, progress(F.col("sentence_ids"), [sequence for _, sequence in rules])))
     found = found.withColumn("_shown", F.array(*(F.struct(F.lit(n).alias("license"), c.alias("rule")) for n, c in shown.items())))
     implied = {n: by for n, by in IMPLIED.items() if n in shown and by in shown}
     held = lambda x, n, by: (x["license"] == n) & F.exists("_shown", lambda y: (y["license"] == by) & y["rule"].isNotNull())
     kept = lambda x: x["rule"].isNotNull() & ~(F.lit(False) if not implied else _any(held(x, n, by) for n, by in implied.items()))
     found = found.withColumn("_shown", F.when(F.size("sentence_ids") > 0, F.filter("_shown", kept)).otherwise(F.array().cast("array<struct<license:string,rule:int>>")))
-    return found.withColumns({"rules": F.col("_shown.rule"), "licenses": F.col("_shown.license")}).drop("_shown")
+    return found.withColumns({"rules": F.col("_shown.rule"), "licenses": F.col("_shown.license")}).drop("_shown", "_progress")
 
 
 def _any(conditions) -> Column:

@@ -48,7 +48,9 @@ with recursive messages as (
 select m.conv_id, m.turn, m.role, coalesce(own.text, '') as text,
        coalesce(quoted, (select max(turn) from messages b where b.conv_id = m.conv_id and b.turn < m.turn)) as parent_turn,
        quoted is not null as quoted, coalesce(thread, m.turn) as thread, coalesce(depth, 0)::bigint as depth,
-       coalesce(n_quotes, 0)::bigint as n_quotes, coalesce(n_linked, 0)::bigint as n_linked
+       coalesce(n_quotes, 0)::bigint as n_quotes, coalesce(n_linked, 0)::bigint as n_linked,
+       case when m.conv_id is not null and m.turn is not null
+         then rank() over (partition by m.conv_id, m.turn is null order by coalesce(thread, m.turn), m.turn) - 1 end as position
 from messages m left join own using (id) left join parents using (id) left join chosen using (id)
 left join threads t on t.conv_id = m.conv_id and t.turn = m.turn
 """

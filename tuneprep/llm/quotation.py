@@ -10,7 +10,7 @@ by quotes form a thread; conversations in the order (thread, turn), without quot
 attribution lines, hold every reply after what it replies to.
 
 Defined cases. Null and empty texts have no passages and become empty texts. Rows
-with a null conversation or turn are kept: they link with nothing and have no parent. Repeated
+with a null conversation or turn are kept: they link with nothing and have neither parent nor position. Repeated
 rows are messages of their own at the same turn. A quote of a later or equal turn, or of nothing
 known, is removed from the text but links nothing.
 """
@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tuneprep.functions.binding import let
+from tuneprep.operators.ordering import running
 from tuneprep.session import materialise
 
-MARKS = r"^(?:[ \t]*>)+"
+# Up to the last of the leading marks; a class, not a group, so that a line of any number of marks needs no stack.
+MARKS = r"^[ \t>]*>"
 # A line that only says who wrote what follows.
 ATTRIBUTION = r"^[ \t]*(?:On .{1,200} wrote|Am .{1,200} schrieb.{0,80}|Le .{1,200} a écrit|El .{1,200} escribió)[ \t]*:[ \t]*$"
 # Turns that are ordered in one task.
@@ -48,25 +51,22 @@ def _lines(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """[(level, words)]: the runs of lines of one level, and their lines if they have several; each once."""
-    runs = F.aggregate(
-        lines,
-        F.struct(F.array().cast("array<struct<level:int,lines:array<string>>>").alias("done"), F.lit(-1).alias("level"), F.array().cast("array<string>").alias("open")),
-        lambda s, x: F.when(
-            (x["words"] != "") & (x["level"] == s["level"]),
-            F.struct(s["done"].alias("done"), s["level"].alias("level"), F.concat(s["open"], F.array(x["words"])).alias("open")),
-        ).otherwise(
-            F.struct(
-                F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.struct(s["level"].alias("level"), s["open"].alias("lines"))))).otherwise(s["done"]).alias("done"),
-                F.when(x["words"] == "", F.lit(-1)).otherwise(x["level"]).alias("level"),
-                F.when(x["words"] == "", F.array().cast("array<string>")).otherwise(F.array(x["words"])).alias("open"),
-            )
-        ),
-        lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.struct(s["level"].alias("level"), s["open"].alias("lines"))))).otherwise(s["done"]),
-    )
-    whole = F.transform(runs, lambda r: F.struct(r["level"].alias("level"), F.array_join(r["lines"], " ").alias("words")))
-    each = F.flatten(F.transform(runs, lambda r: F.transform(r["lines"], lambda x: F.struct(r["level"].alias("level"), x.alias("words")))))
-    return F.array_distinct(F.concat(whole, each))
+    """``level:words`` of the runs of lines of one level, and of their lines; each once."""
+
+    def found(own: Column) -> Column:
+        line = lambda i: F.get(own, i)
+        full = lambda i: F.coalesce(line(i)["words"] != "", F.lit(False))
+        joins = lambda i: full(i - 1) & (line(i - 1)["level"] == line(i)["level"])
+        places = F.sequence(F.lit(0), F.size(own) - 1)
+        starts = F.filter(places, lambda i: full(i) & ~joins(i))
+        ends = F.filter(places, lambda i: full(i) & ~(full(i + 1) & joins(i + 1)))
+        words = lambda start, end: F.transform(F.slice(own, start + 1, end - start + 1), lambda x: x["words"])
+        marked = lambda level, text: F.concat(level.cast("string"), F.lit(":"), text)
+        whole = F.zip_with(starts, ends, lambda i, j: marked(line(i)["level"], F.array_join(words(i, j), " ")))
+        each = F.transform(F.filter(own, lambda x: x["words"] != ""), lambda x: marked(x["level"], x["words"]))
+        return F.when(F.size(own) > 0, F.array_distinct(F.concat(whole, each))).otherwise(F.array().cast("array<string>"))
+
+    return let(lines, found)
 
 
 def _before(messages: DataFrame) -> DataFrame:
@@ -99,12 +99,31 @@ def _threads(replies: DataFrame) -> DataFrame:
     return state
 
 
+def _placed(messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """(conversation, turn, thread, depth, position) of the known turns.
+
+    Messages are counted for each turn; a position is the sum of the counts of earlier
+    threads and of earlier turns of the thread, both summed in buckets.
+    """
+    turns = messages.where("conversation is not null and turn is not null").groupBy("conversation", "turn").agg(F.count(F.lit(1)).alias("n"))
+    turns = turns.join(threads, ["conversation", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
+    turns = materialise(turns, "turns")
+    whole = turns.groupBy("conversation", "thread").agg(F.sum("n").alias("n"))
+    whole = running(whole, ["conversation"], "thread", {"before": ("sum", F.col("n"))}, inclusive=False, rows_per_bucket=BUCKET)
+    inside = running(turns, ["conversation", "thread"], "turn", {"inside": ("sum", F.col("n"))}, inclusive=False, rows_per_bucket=BUCKET)
+    zero = F.lit(0).cast("bigint")
+    position = (F.coalesce("before", zero) + F.coalesce("inside", zero)).alias("position")
+    return inside.join(whole.drop("n"), ["conversation", "thread"]).select("conversation", "turn", "thread", "depth", position)
+
+
 def link(messages: DataFrame) -> DataFrame:
     """One row for each of messages (conversation, turn, role, text).
 
     conversation, turn, role, text (without quotes), parent, quoted (whether the parent is
     known by a quote), thread (the turn that its thread begins with), depth (replies
-    between), n_quotes and n_linked (quoted passages, and those linked).
+    between), n_quotes and n_linked (quoted passages, and those linked), and position, the number
+    of messages before it in its conversation in the order (thread, turn): sorted by it, a
+    conversation holds every reply after what it replies to. Rows of one turn share a position.
     """
     lines = messages.select("conversation", "turn", "role", _lines(F.col("text")).alias("lines"))
     own = F.filter("lines", lambda x: x["level"] == 0)
@@ -118,7 +137,9 @@ def link(messages: DataFrame) -> DataFrame:
     )
     cut = materialise(cut, "messages")
     passages = cut.select("row", "conversation", "turn", F.explode("passages").alias("p"))
-    passages = passages.select("row", "conversation", "turn", "p.level", F.sha2(F.col("p.words").cast("binary"), 256).alias("hash"))
+    level = F.substring_index("p", ":", 1)
+    words = F.col("p").substr(F.length(level) + 2, F.length("p"))
+    passages = passages.select("row", "conversation", "turn", level.cast("int").alias("level"), F.sha2(words.cast("binary"), 256).alias("hash"))
     # The first message that has a passage is its origin: one row for each passage, combined before the shuffle.
     known = passages.where("level = 0 and conversation is not null and turn is not null")
     origins = known.groupBy("conversation", "hash").agg(F.min("turn").alias("origin"))
@@ -132,10 +153,9 @@ def link(messages: DataFrame) -> DataFrame:
     rows = materialise(cut.join(parents, "row", "left").join(numbers, "row", "left").drop("passages"), "linked")
     # Rows of one turn share the thread of the one that quotes the latest message.
     replies = rows.where("quoted is not null").groupBy("conversation", "turn").agg(F.max("quoted").alias("parent"))
-    threads = _threads(replies)
     return (
         rows.join(_before(cut), ["conversation", "turn"], "left")
-        .join(threads, ["conversation", "turn"], "left")
+        .join(_placed(cut, _threads(replies)), ["conversation", "turn"], "left")
         .select(
             "conversation",
             "turn",
@@ -147,5 +167,6 @@ def link(messages: DataFrame) -> DataFrame:
             F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"),
             F.coalesce("n_quotes", F.lit(0).cast("bigint")).alias("n_quotes"),
             F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"),
+            "position",
         )
     )

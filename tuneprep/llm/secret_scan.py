@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tuneprep.functions.binding import let
+
 # Kinds in the order in which spans of one start are listed.
 ASSIGN, ACCESS, HEX, ENTROPY = "assign", "access", "hex", "entropy"
 
@@ -48,9 +50,10 @@ CLASSES = [
     ("urlsafe", r"[A-Za-z0-9_-]+", 3.7),
     ("mixed", r".+", 3.9),
 ]
-# Runs that look random and are no secrets: paths and identifiers of words, repeated units, UUIDs.
+# The characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+# Runs that look random and are no secrets: repeated units, UUIDs, numbers. Paths and names of words have no digit, and are no candidates.
 ALLOWED = [
-    r"[A-Za-z]+([/_-][A-Za-z]+)+",
     r"(.{1,4})\1{4,}.{0,3}",
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     r"[0-9/_-]+",
@@ -97,29 +100,29 @@ def base_spans(text: Column, kind: str) -> Column:
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of a window of the run; counts change by one step each."""
     weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
-    at = lambda i: F.substring(run, i, F.lit(1))
-    count = lambda s, c: F.coalesce(F.element_at(s["counts"], c), F.lit(0))
-
-    def changed(s: Column, c: Column, step: int) -> Column:
-        n = count(s, c)
-        rest = F.map_filter(s["counts"], lambda k, _: k != c)
-        return F.struct(
-            F.map_concat(rest, F.create_map(c, n + F.lit(step))).alias("counts"),
-            (s["sum"] + F.get(weight, n + F.lit(step)) - F.get(weight, n)).alias("sum"),
-            s["least"].alias("least"),
-        )
-
-    def moved(s: Column, i: Column) -> Column:
-        entered = changed(s, at(i), 1)
-        left = F.when(i > window, changed(entered, at(i - window), -1)).otherwise(entered)
-        least = F.when(i >= window, F.least(left["least"], left["sum"])).otherwise(left["least"])
-        return F.struct(left["counts"].alias("counts"), left["sum"].alias("sum"), least.alias("least"))
-
-    start = F.struct(
-        F.create_map().cast("map<string,int>").alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least")
-    )
-    swept = F.aggregate(F.sequence(F.lit(1), F.length(run)), start, moved)
-    return F.lit(math.log2(window)) - swept["least"] / window
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
+
+    def swept(symbols: Column) -> Column:
+        """The least sum, from the number in ALPHABET of each character of the run."""
+
+        def moved(s: Column, i: Column) -> Column:
+            enters, leaves = F.get(symbols, i), F.when(i >= window, F.get(symbols, i - window)).otherwise(F.lit(-1))
+            more, fewer = F.get(s["counts"], enters), F.get(s["counts"], leaves)
+            change = F.get(weight, more + 1) - F.get(weight, more)
+            change = change + F.when(leaves >= 0, F.get(weight, fewer - 1) - F.get(weight, fewer)).otherwise(F.lit(0.0))
+            # The same character enters and leaves: no count changes.
+            total = F.when(enters == leaves, s["sum"]).otherwise(s["sum"] + change)
+            counts = F.transform(
+                s["counts"], lambda n, k: n + F.when(k == enters, F.lit(1)).otherwise(F.lit(0)) - F.when(k == leaves, F.lit(1)).otherwise(F.lit(0))
+            )
+            least = F.when(i >= window - 1, F.least(s["least"], total)).otherwise(s["least"])
+            return F.struct(counts.alias("counts"), total.alias("sum"), least.alias("least"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(symbols) - 1), start, moved)["least"]
+
+    # The run is cut into characters once; a place of a text would be looked for from its start.
+    symbols = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.lit(math.log2(window)) - let(symbols, swept) / window
 
 
 def _is_random(run: Column) -> Column:

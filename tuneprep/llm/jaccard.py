@@ -265,12 +265,20 @@ class _Join:
 
         Texts are read where they are, and their sets are not written: they are long.
         """
-        ids = self.profile.join(wanted, "set").where("id is not null").groupBy("set").agg(F.min("id").alias("id"))
-        ids = materialise(ids.select("id").distinct(), "wanted")
+        owners = materialise(self.profile.join(wanted, "set").groupBy("set").agg(F.min("id").alias("id")), "wanted")
+        ids = owners.where("id is not null").select("id").distinct()
         ids = F.broadcast(ids) if fits_broadcast(ids) else ids
         texts = self.documents.join(ids, "id", "left_semi").select("id", "text")
-        found = texts.mapInArrow(lambda batches, n=self.n: _whole(batches, n), "set bigint, members array<bigint>")
-        return found.dropDuplicates(["set"]) if self.repeated else found
+        whole = lambda batches, n=self.n: _whole(batches, n)
+        found = texts.mapInArrow(whole, "set bigint, members array<bigint>")
+        found = found.dropDuplicates(["set"]) if self.repeated else found
+        # Sets that only rows without an id have are looked for among all of these.
+        lone = owners.where("id is null").select("set")
+        if lone.isEmpty():
+            return found
+        nameless = self.documents.where("id is null").select("id", "text").mapInArrow(whole, "set bigint, members array<bigint>")
+        nameless = nameless.join(F.broadcast(lone) if fits_broadcast(lone) else lone, "set", "left_semi")
+        return found.unionByName(nameless.dropDuplicates(["set"]))
 
     def verify(self, pairs: DataFrame) -> None:
         """Test pairs (x, y, x_size, y_size), each once, that were not tested before, and keep the links."""

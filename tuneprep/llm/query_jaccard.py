@@ -9,26 +9,26 @@ from tuneprep.llm.jaccard import similar
 from tuneprep.llm.registry import query, table
 
 SQL = r"""
-with recursive w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+with recursive d as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x20\x09-\x0D]+') as ws from documents
 ), s as (
-  select distinct doc_id, array_to_string(ws[i + 1:i + 3], ' ') as g
-  from w, unnest(range(greatest(len(ws) - 2, least(len(ws), 1)))) as r(i)
+  select distinct r, array_to_string(ws[i + 1:i + 3], ' ') as g
+  from d, unnest(range(greatest(len(ws) - 2, least(len(ws), 1)))) as u(i)
 ), n as (
-  select doc_id, count(*) as n from s group by doc_id
+  select r, count(*) as n from s group by r
 ), links as (
-  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all)
-  join n na on na.doc_id = a join n nb on nb.doc_id = b
+  select a, b from (select x.r as a, y.r as b, count(*) as shared from s x join s y on x.g = y.g and x.r <> y.r group by all)
+  join n na on na.r = a join n nb on nb.r = b
   where 100 * shared >= 90 * (na.n + nb.n - shared)
 ), reach as (
-  select doc_id, doc_id as other from documents
+  select r, r as other from d
   union
-  select reach.doc_id, b from reach join links on reach.other = a
+  select reach.r, b from reach join links on reach.other = a
 )
-select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
-from documents left join n using (doc_id)
-join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from d left join n using (r)
+join (select reach.r, min(o.doc_id) as component_id from reach join d o on o.r = other group by reach.r) using (r)
 """
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.oracle import MATCH_STEPS, METRIC_STEPS, METRICS, statement, strip
 from checks.registry import check
 from tuneprep.operators import metrics, splits
+from tuneprep.operators.runlog import resume_position
+from tuneprep.operators.vocab import distinct_labels
 from tuneprep.plans.evaluate import score_answers, score_table
 from tuneprep.session import new_path
-from tuneprep.sources import shards, sinks
+from tuneprep.sources import shards, sinks, vocab_increments
 from tuneprep.streaming import ingest
 
 
@@ -22,7 +25,53 @@ from tuneprep.streaming import ingest
     ),
 )
 def scan_shards(spark, folder):
-    return shards.with_index(shards.scan_shards(spark, f"{folder}/part.parquet"))
+    path = f"{folder}/part.parquet"
+    return shards.with_index(shards.scan_shards(spark, path), shards.file_rows(spark, path))
+
+
+@check(
+    "a1_index_manifest",
+    statement(
+        """select sample_id, shard_id, index from
+             (select sample_id, shard_id, row_number() over (order by shard_id, sample_id) - 1 as index
+              from (select p_partkey as sample_id, cast(p_partkey % 48 as int) as shard_id from part))
+           where shard_id % 5 = 2 and sample_id % 3 <> 0"""
+    ),
+)
+def index_manifest(spark, folder):
+    """Files added in two parts; filtered rows keep the numbers that all rows give them."""
+    path, run = new_path(spark, "numbered"), new_path(spark, "manifest")
+    rows = fx.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("sample_id"), (F.col("p_partkey") % 48).cast("int").alias("shard")
+    )
+    # Numbers with leading zeros, so that names are in the order of the shards.
+    rows = rows.withColumn("shard_id", F.format_string("%02d", "shard")).drop("shard")
+    rows = rows.repartition(4, "shard_id").sortWithinPartitions("shard_id", "sample_id")
+    for part in (F.col("shard_id") >= "20", F.col("shard_id") < "20"):
+        rows.where(part).write.mode("append").partitionBy("shard_id").parquet(path)
+        files = shards.index_manifest(spark, path, run)
+    scan = shards.scan_shards(spark, path, "sample_id bigint, shard_id int")
+    wanted = scan.where((F.col("shard_id") % 5 == 2) & (F.col("sample_id") % 3 != 0))
+    return shards.with_index(wanted, files).select("sample_id", "shard_id", "index")
+
+
+@check(
+    "k2_shards_of_a_split",
+    statement(
+        """select sample_id, shard_id from (select p_partkey as sample_id, cast(p_partkey % 48 as int) as shard_id
+             from part) where shard_id between 36 and 41"""
+    ),
+)
+def shards_of_a_split(spark, folder):
+    """The validation shards by number; files of other shards are not opened."""
+    path = _shard_folder(spark, folder)
+    plan = ingest.shard_plan(spark, path, pattern=PATTERN).withColumn(
+        "split", splits.shard_split(F.col("shard_id"))
+    )
+    paths = [r["path"] for r in plan.where("split = 'val'").select("path").collect()]
+    rows = shards.read_shards(spark, path, paths, "sample_id bigint, disease string")
+    number = shards.shard_number(F.col("shard_file"), PATTERN)
+    return rows.select("sample_id", number.alias("shard_id"))
 
 
 @check(
@@ -179,84 +228,156 @@ def run_log_file(spark, folder):
     return sinks.read_run_log(spark, path, "run_id string, epoch bigint, train_loss double")
 
 
-def _write_shards(spark, folder):
-    path = new_path(spark, "stream-shards")
-    fx.branded(spark, folder).repartition(6, "sample_id").write.parquet(path)
+PATTERN = r"shard_id=(\d+)/"
+SAMPLES = "sample_id bigint, disease string"
+CHUNK_ORDER_IDS = """
+  select label, cast(row_number() over (order by chunk, label) - 1 as int) as label_id from
+    (select disease as label, min(chunk) as chunk from branded group by 1)"""
+
+
+def _shard_folder(spark, folder):
+    """48 shards, a folder each; the later a shard stands in the plan, the older are its files."""
+    path = new_path(spark, "shards")
+    shard = (F.col("sample_id") % 48).cast("int")
+    rows = fx.branded(spark, folder).drop("chunk").withColumn("shard_id", shard).repartition(4, "shard_id")
+    for first in (32, 16, 0):
+        part = rows.where(F.col("shard_id").between(first, first + 15))
+        part.write.mode("append").partitionBy("shard_id").parquet(path)
     return path
 
 
-@check(
-    "j1_rolling_ingest",
-    statement(
-        """select disease as label, n.n_labels, n.n_rows, 0 as low, n.n_labels - 1 as high,
-             n.n_labels as n_ids
-           from (select distinct disease from branded),
-             (select count(distinct disease) as n_labels, count(*) as n_rows from branded) n""",
-        "branded",
-    ),
-)
+def _run(spark, source, chunk_size=8, **options):
+    plan = ingest.shard_plan(spark, source, chunk_size, pattern=PATTERN)
+    return ingest.Run(spark, plan, source, SAMPLES, new_path(spark, "run"), **options)
+
+
+class Killed(RuntimeError):
+    pass
+
+
+def _killed_at(*places):
+    """A function that fails the first time it is called for each of some numbers."""
+    left = set(places)
+
+    def work(number):
+        if number in left:
+            left.remove(number)
+            raise Killed(f"at {number}")
+
+    return work
+
+
+def _until(run, attempts):
+    """Start a run again as often as it is killed."""
+    for _ in range(attempts):
+        try:
+            run.finish()
+        except StreamingQueryException as error:
+            if "Killed" not in str(error):
+                raise
+    return run
+
+
+@check("j1_rolling_ingest", statement(CHUNK_ORDER_IDS, "branded"))
 def rolling_ingest(spark, folder):
-    """Two files at a time; which labels get which ids depends on file times, the set does not."""
-    source, run = _write_shards(spark, folder), new_path(spark, "ingest")
-    stream = ingest.read_shard_stream(spark, source, "sample_id bigint, disease string", 2)
-    ingest.rolling_ingest(
-        stream, f"{run}/vocab", f"{run}/manifest", f"{run}/position"
-    ).awaitTermination()
-    from tuneprep.sources.vocab_store import load_vocab
-
-    vocab = load_vocab(spark, f"{run}/vocab")
-    shape = vocab.agg(
-        F.count(F.lit(1)).alias("n_labels"),
-        F.min("label_id").alias("low"),
-        F.max("label_id").cast("bigint").alias("high"),
-        F.count_distinct("label_id").alias("n_ids"),
-    )
-    n_rows = ingest.read_manifest(spark, f"{run}/manifest").agg(F.sum("n_rows")).scalar()
-    facts = [shape.select(c).scalar().alias(c) for c in shape.columns]
-    return vocab.select("label", n_rows.alias("n_rows"), *facts)
+    """Ids follow the chunk plan although the files were written in the opposite order."""
+    run = _run(spark, _shard_folder(spark, folder))
+    run.finish()
+    return run.vocab()
+
+
+@check("j2_chunk_order_ids", statement(CHUNK_ORDER_IDS, "branded"))
+def chunk_order_ids(spark, folder):
+    """Chunk after chunk, each adding a segment of new labels: ids as in one pass over the chunk plan."""
+    run = new_path(spark, "increments")
+    rows = fx.branded(spark, folder)
+    for chunk in range(6):
+        ingest.grow_vocab(distinct_labels(rows.where(F.col("chunk") == chunk), "disease"), run, chunk)
+    return vocab_increments.load(spark, run)
 
 
 @check(
-    "j2_chunk_order_ids",
+    "j2_versions",
     statement(
-        """select label, cast(row_number() over (order by chunk, label) - 1 as int) as label_id from
-             (select disease as label, min(chunk) as chunk from branded group by 1)""",
+        """select chunk, cast(count(*) filter (first <= chunk) as bigint) as n_labels,
+             cast(count(*) filter (first = chunk) as bigint) as n_added
+           from range(6) c(chunk), (select disease, min(chunk) as first from branded group by 1) group by 1""",
         "branded",
     ),
 )
-def chunk_order_ids(spark, folder):
-    """Chunk after chunk, as the stream does it: ids as in one pass over the chunk plan."""
-    run = new_path(spark, "ingest")
-    rows = fx.branded(spark, folder).withColumn("shard_file", F.col("chunk").cast("string"))
+def versions(spark, folder):
+    """The vocabulary as of each chunk, from the segments, after all were written."""
+    run = new_path(spark, "increments")
+    rows = fx.branded(spark, folder)
     for chunk in range(6):
-        part = rows.where(F.col("chunk") == chunk).drop("chunk")
-        ingest.process_chunk(part, chunk, f"{run}/vocab", f"{run}/manifest")
-    from tuneprep.sources.vocab_store import load_vocab
-
-    return load_vocab(spark, f"{run}/vocab")
+        ingest.grow_vocab(distinct_labels(rows.where(F.col("chunk") == chunk), "disease"), run, chunk)
+    out, before = None, F.lit(0)
+    for chunk in range(6):
+        known = vocab_increments.load(spark, run, before=chunk + 1)
+        size = known.agg(F.count(F.lit(1)).alias("n_labels"))
+        row = size.select(F.lit(chunk).cast("bigint").alias("chunk"), "n_labels", (F.col("n_labels") - before).alias("n_added"))
+        before = F.lit(sum(s.rows for s in vocab_increments.segments(spark, run, chunk + 1)))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @check(
     "j3_resume_ingest",
-    statement("select cast(count(*) as bigint) as n_rows, 6 as n_shards from branded", "branded"),
+    statement(
+        """select epoch, cast(chunk + 1 as int) as chunk, 6 as total_chunks, true as validated, n_rows, n_labels, n_shards
+           from (select 1 as epoch union all select 2), (select chunk, count(*) as n_rows,
+             count(distinct disease) as n_labels, cast(count(distinct sample_id % 48) as int) as n_shards
+             from branded group by 1)
+           where chunk = 5
+           union all select epoch, cast(chunk + 1 as int), 6, false, n_rows, n_labels, n_shards
+           from (select 1 as epoch union all select 2), (select chunk, count(*) as n_rows,
+             count(distinct disease) as n_labels, cast(count(distinct sample_id % 48) as int) as n_shards
+             from branded group by 1)
+           where chunk < 5""",
+        "branded",
+    ),
 )
 def resume_ingest(spark, folder):
-    """Stopped after the first files and started again: every file is read once."""
-    run, source = new_path(spark, "ingest"), new_path(spark, "stream-shards")
-    rows = fx.branded(spark, folder)
-
-    def go_on():
-        stream = ingest.read_shard_stream(spark, source, "sample_id bigint, disease string", 2)
-        ingest.rolling_ingest(
-            stream, f"{run}/vocab", f"{run}/manifest", f"{run}/position"
-        ).awaitTermination()
-
-    early = F.col("sample_id") % 2 == 0
-    rows.where(early).repartition(3, "sample_id").write.parquet(source)
-    go_on()
-    rows.where(~early).repartition(3, "sample_id").write.mode("append").parquet(source)
-    go_on()
-    manifest = ingest.read_manifest(spark, f"{run}/manifest")
-    return manifest.agg(
-        F.sum("n_rows").alias("n_rows"), F.sum(F.size("shards")).cast("int").alias("n_shards")
+    """Killed in two chunks and in a validation: each chunk is done once, each epoch is validated."""
+    work, validate = _killed_at(1, 7), _killed_at(1)
+    run = _run(
+        spark,
+        _shard_folder(spark, folder),
+        epochs=2,
+        work=lambda rows, vocab, position: work(position),
+        validate=lambda epoch, vocab: validate(epoch),
+    )
+    log = _until(run, 4).log()
+    counts = F.max(F.struct("n_rows", "n_labels", F.size("shards").alias("n_shards"))).alias("c")
+    done = log.where("not validated").groupBy("epoch", "chunk", "total_chunks").agg(counts)
+    marked = log.where("validated").select("epoch", "chunk", "validated")
+    return done.join(marked, ["epoch", "chunk"], "left").select(
+        "epoch", "chunk", "total_chunks", F.coalesce("validated", F.lit(False)).alias("validated"), "c.*"
     )
+
+
+@check(
+    "h5_resume_from_log",
+    statement(
+        """select unnest(['cut', 'unvalidated', 'done']) as run_id, unnest([1, 2, 2]) as start_epoch,
+             unnest([n - 1, 1, 1])::int as start_chunk, unnest([false, true, false]) as needs_validation,
+             cast(null as varchar) as fault from (select count(distinct chunk // 2) as n from branded)""",
+        "branded",
+    ),
+)
+def resume_from_log(spark, folder):
+    """Positions of three runs from what ingestion wrote: killed in a chunk, in the validation, and finished."""
+    source, out = _shard_folder(spark, folder), None
+    for run_id, position, epoch in (("cut", 1, 0), ("unvalidated", -1, 1), ("done", -1, 0)):
+        work, validate = _killed_at(position), _killed_at(epoch)
+        run = _run(
+            spark,
+            source,
+            16,
+            run_id=run_id,
+            work=lambda rows, vocab, at, work=work: work(at),
+            validate=lambda at, vocab, validate=validate: validate(at),
+        )
+        log = _until(run, 1).log()
+        out = log if out is None else out.unionByName(log)
+    return resume_position(out, 3, order=["entry"])

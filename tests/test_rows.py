@@ -127,7 +127,7 @@ def test_scan(spark, tmp_path):
     spark.range(5, 9).withColumn("extra", F.lit("x")).coalesce(1).write.mode("append").parquet(str(folder))
     (folder / "note.txt").write_text("not parquet")
     (folder / "half.parquet.tmp").write_text("not parquet")
-    df = shards.with_index(shards.scan_shards(spark, str(folder)))
+    df = shards.with_index(shards.scan_shards(spark, str(folder)), shards.file_rows(spark, str(folder)))
     rows = df.collect()
     assert sorted(r["index"] for r in rows) == list(range(7))
     assert {r["id"]: r["extra"] for r in rows} == {0: None, 1: None, 2: None, **{i: "x" for i in range(5, 9)}}
@@ -193,19 +193,60 @@ def test_an_id_beyond_32_bits_is_a_bad_row(spark, vocab):
     assert got[0] == got[1] == "bad_id"
 
 
-def test_index_needs_the_whole_scan(spark, tmp_path):
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_change_no_index(spark, tmp_path):
     folder = str(tmp_path / "data")
-    for part in ("a", "b"):
+    for part in ("a", "b", "c"):
         spark.range(3).coalesce(1).write.parquet(f"{folder}/part={part}")
     scan = shards.scan_shards(spark, folder)
-    wanted = scan.where("shard_row >= 1")
-    with pytest.raises(Exception, match="whole scan"):
-        shards.with_index(wanted).collect()
-    assert sorted(r["index"] for r in shards.with_index(scan, rows=wanted).collect()) == [1, 2, 4, 5]
+    files = shards.file_rows(spark, folder)
+    # Rows are counted without a column: only footers are read.
+    assert "ReadSchema: struct<>" in _plan(files)
+    for condition, expected in (("shard_row >= 1", [1, 2, 4, 5, 7, 8]), ("shard_row < 2", [0, 1, 3, 4, 6, 7]), ("part = 'b'", [3, 4, 5]), ("id = 9", [])):
+        assert sorted(r["index"] for r in shards.with_index(scan.where(condition), files).collect()) == expected
+    spark.range(4).coalesce(1).write.parquet(f"{folder}/part=d")
+    with pytest.raises(Exception, match="have changed"):
+        shards.with_index(shards.scan_shards(spark, folder), files).collect()
     with pytest.raises(splits.SplitError):
         splits.shard_split(F.lit(1), {"train": (0, 5), "val": (5, 7)})
 
 
+def test_a_manifest_reads_only_new_footers(spark, tmp_path, monkeypatch):
+    folder, path = str(tmp_path / "data"), str(tmp_path / "manifest")
+    opened, count = [], shards.file_rows
+    monkeypatch.setattr(shards, "file_rows", lambda s, f, paths: opened.append(len(paths)) or count(s, f, paths))
+
+    def index():
+        return [tuple(r) for r in shards.index_manifest(spark, folder, path).orderBy("shard_file").select("n_rows", "first_index").collect()]
+
+    for part, rows in (("a", 3), ("b", 0), ("c", 2)):
+        spark.range(rows).coalesce(1).write.parquet(f"{folder}/part={part}")
+    assert index() == index() == [(3, 0), (0, 3), (2, 3)]
+    spark.range(5).coalesce(1).write.parquet(f"{folder}/part=aa")
+    assert index() == [(3, 0), (5, 3), (0, 8), (2, 8)]
+    spark.range(4).coalesce(1).write.mode("overwrite").parquet(f"{folder}/part=c")
+    assert index() == [(3, 0), (5, 3), (0, 8), (4, 8)]
+    assert opened == [3, 1, 1]
+    scan = shards.scan_shards(spark, folder)
+    assert sorted(r["index"] for r in shards.with_index(scan, shards.index_manifest(spark, folder, path)).collect()) == list(range(12))
+
+
+def test_only_wanted_shards_are_listed_and_opened(spark, tmp_path):
+    folder = str(tmp_path / "data")
+    spark.range(48).selectExpr("id", "format_string('%05d', id) as shard").repartition(2, "shard").write.partitionBy("shard").parquet(folder)
+    files = shards.shard_files(spark, folder, r"shard=(\d{5})/")
+    assert files.count() == 48
+    wanted = [r["path"] for r in files.where("shard_id between 36 and 41").collect()]
+    rows = shards.read_shards(spark, folder, wanted, "id bigint")
+    assert "InMemoryFileIndex(6 paths)" in _plan(rows)
+    assert sorted((r["id"], r["shard_file"][:11], r["shard_row"]) for r in rows.collect()) == [(i, f"shard={i:05d}", 0) for i in range(36, 42)]
+    with pytest.raises(FileNotFoundError):
+        shards.read_shards(spark, folder, [], "id bigint")
+
+
 def test_targets_outside_the_logits_are_faults(spark):
     rows = [(1, [0.0, 1.0], 7), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], -100), (3, [0.0, 1.0], None), (4, [0.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "batch_id int, logits array<double>, label int").select(

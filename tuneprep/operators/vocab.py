@@ -17,6 +17,8 @@ from tuneprep.operators.ordering import hash_cut, seeded_hash
 from tuneprep.session import materialise
 
 PREVIEW = 50
+# So many labels, once counted, are numbered in one task.
+ONE_TASK_LABELS = 10_000
 
 
 class VocabularyError(ValueError):
@@ -40,17 +42,22 @@ def distinct_labels(df: DataFrame, label_col: str) -> DataFrame:
 def _numbered(labels: DataFrame, order: Sequence[str], first: Column | int = 0) -> DataFrame:
     """``label`` and ``label_id``: numbers from ``first`` on in the given order.
 
-    The labels are written down in ranges of the order. A number is the count of the
-    labels in earlier ranges plus the place in its own, so no task sees all labels;
-    only one row per range is ordered in one place.
+    The labels are written once and counted. Few are ordered in one task. Otherwise they are
+    written down in ranges of the order, and a number is the count of the labels in
+    earlier ranges plus the place in its own, so no task sees all labels; only one row per
+    range is ordered in one place. Both ways give the same numbers.
     """
+    labels = materialise(labels, "labels")
+    start = first if isinstance(first, Column) else F.lit(first)
+    if labels.count() <= ONE_TASK_LABELS:
+        place = F.row_number().over(W.orderBy(*order)) - 1
+        return labels.select("label", (start + place).cast("int").alias("label_id"))
     ranged = labels.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     ranged = materialise(ranged, "label-ranges")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
-    start = first if isinstance(first, Column) else F.lit(first)
     return ranged.join(before, "_range").select(
         "label", (start + F.col("_before") + place).cast("int").alias("label_id")
     )
@@ -75,12 +82,12 @@ def build_vocab_from_sample(
     return build_vocab(hashed.where(F.col("_h") <= hash_cut(hashed, "_h", n=n)), label_col)
 
 
-def extend_vocab(
+def added_labels(
     vocab: DataFrame, df: DataFrame, label_col: str = "disease", order_by: str = "label"
 ) -> DataFrame:
-    """Append the labels not seen before; every existing id stays.
+    """The labels not seen before, with the ids that follow the last one.
 
-    New labels follow in code-point order of the stripped label, or with
+    They are numbered in code-point order of the stripped label, or with
     ``order_by="raw"`` of the first raw spelling.
     """
     if order_by not in ("label", "raw"):
@@ -95,8 +102,14 @@ def extend_vocab(
     )
     fresh = spelled.join(vocab.select("label"), "label", "left_anti")
     last = vocab.agg(F.coalesce(F.max("label_id"), F.lit(-1))).scalar()
-    added = _numbered(fresh, [order_by], last + 1)
-    return vocab.select("label", "label_id").unionByName(added)
+    return _numbered(fresh, [order_by], last + 1)
+
+
+def extend_vocab(
+    vocab: DataFrame, df: DataFrame, label_col: str = "disease", order_by: str = "label"
+) -> DataFrame:
+    """Append the labels not seen before (``added_labels``); every existing id stays."""
+    return vocab.select("label", "label_id").unionByName(added_labels(vocab, df, label_col, order_by))
 
 
 def vocab_over_chunks(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tuneprep.operators.joins import lookup_join
+from tuneprep.session import materialise
+from tuneprep.sources.files import exists, names
 
 SHARD_PATTERN = r"^train-(\d{5})\.parquet$"
 SMALLEST_FILE = 1000
@@ -39,11 +41,20 @@ def scan_shards(
         listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
         if listing.select("path").isEmpty():
             raise FileNotFoundError(f"no parquet files in {folder}")
+    return _located(df, folder)
+
+
+def _below(path: Column, folder: str) -> Column:
+    """The path of a file below the folder; its name if the folder is the file."""
     base = re.escape(folder.rstrip("/").rpartition("/")[2])
-    below = F.regexp_extract("_metadata.file_path", f"/{base}/(.+)$", 1)
+    below = F.regexp_extract(path, f"/{base}/(.+)$", 1)
+    return F.coalesce(F.nullif(below, F.lit("")), F.element_at(F.split(path, "/"), -1))
+
+
+def _located(df: DataFrame, folder: str) -> DataFrame:
     return df.select(
         "*",
-        F.coalesce(F.nullif(below, F.lit("")), F.col("_metadata.file_name")).alias("shard_file"),
+        _below(F.col("_metadata.file_path"), folder).alias("shard_file"),
         F.col("_metadata.row_index").alias("shard_row"),
     )
 
@@ -53,24 +64,98 @@ def shard_number(file_name: Column, pattern: str = SHARD_PATTERN) -> Column:
     return F.nullif(F.regexp_extract(file_name, pattern, 1), F.lit("")).cast("int")
 
 
-def with_index(scan: DataFrame, index: str = "index", rows: DataFrame | None = None) -> DataFrame:
-    """Number the rows from 0 through all files in name order, as read.
+def shard_files(spark: SparkSession, folder: str, pattern: str = SHARD_PATTERN) -> DataFrame:
+    """The Parquet files below a folder: ``shard_file``, ``path``, ``length``, ``modified``, ``shard_id``.
 
-    The place of a row is the number of rows in earlier files plus its place in
-    its own, so no row is moved: only the row counts per file are ordered. ``scan`` is
-    the whole scan, as its counts give the numbers; a filtered one is an error. ``rows``
-    are the rows of it that are wanted, if not all.
+    A listing: no file is opened. ``pattern`` finds the shard number in the file's path below the folder.
     """
-    df = scan if rows is None else rows
-    partly = F.raise_error(F.lit("with_index needs the whole scan; give filtered rows as rows"))
-    counts = F.when(F.max("shard_row") + 1 != F.count(F.lit(1)), partly.cast("bigint")).otherwise(F.count(F.lit(1)))
-    files = scan.groupBy("shard_file").agg(counts.alias("_rows"))
-    earlier = W.orderBy("shard_file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = files.select(
-        "shard_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+    listing = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .load(folder)
     )
-    joined = lookup_join(df, offsets, "shard_file", "inner", ["shard_file", "shard_row"])
-    return joined.withColumn(index, F.col("_before") + F.col("shard_row")).drop("_before")
+    return listing.select(
+        _below(F.col("path"), folder).alias("shard_file"),
+        "path",
+        "length",
+        F.col("modificationTime").alias("modified"),
+    ).withColumn("shard_id", shard_number(F.col("shard_file"), pattern))
+
+
+def read_shards(
+    spark: SparkSession, folder: str, paths: Sequence[str], schema: StructType | str
+) -> DataFrame:
+    """The rows of these files of a folder, as ``scan_shards`` gives them; others are neither listed nor opened."""
+    if not paths:
+        raise FileNotFoundError(f"no files of {folder} are wanted")
+    return _located(spark.read.schema(schema).option("basePath", folder).parquet(*paths), folder)
+
+
+def file_rows(spark: SparkSession, folder: str, paths: Sequence[str] | None = None) -> DataFrame:
+    """``shard_file`` and ``n_rows`` of the files of a folder, or of some of them.
+
+    Rows are counted from the files' footers, as no column is asked for.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    files = reader.parquet(folder) if paths is None else spark.read.option("basePath", folder).parquet(*paths)
+    # By the path itself: an expression over it would have the other metadata read too.
+    counted = files.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select(_below(F.col("_path"), folder).alias("shard_file"), "n_rows")
+
+
+def index_manifest(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """``shard_file``, ``n_rows`` and ``first_index`` of all files, kept as a table at a path.
+
+    Called again, only files that are new, or have another length or time, have their footers
+    read. Files in name order give the numbers, so a file that is added in between moves
+    those behind it. An empty file has a row too.
+    """
+    listing = materialise(shard_files(spark, folder).select("shard_file", "path", "length", "modified"), "listing")
+    versions = sorted(int(n[8:]) for n in names(spark, path, folders=True) if re.fullmatch(r"version=\d+", n))
+    versions = [v for v in versions if exists(spark, f"{path}/version={v}/_SUCCESS")]
+    known = None
+    if versions:
+        known = spark.read.parquet(f"{path}/version={versions[-1]}")
+        same = known.join(listing, ["shard_file", "length", "modified"], "left_semi")
+        fresh = listing.join(known, ["shard_file", "length", "modified"], "left_anti")
+    else:
+        fresh = listing
+    # As many paths as files were added since the last call; Spark lists them on the driver too.
+    paths = [r["path"] for r in fresh.select("path").collect()]
+    if versions and not paths and same.count() == known.count():
+        return _offsets(known)
+    counted = fresh.select("shard_file", "length", "modified")
+    if paths:
+        counted = counted.join(file_rows(spark, folder, paths), "shard_file", "left")
+    # Files without rows are not among those counted.
+    counted = counted.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)) if paths else F.lit(0).cast("bigint"))
+    table = counted if known is None else same.unionByName(counted)
+    target = f"{path}/version={versions[-1] + 1 if versions else 0}"
+    table.select("shard_file", "length", "modified", "n_rows").write.mode("overwrite").parquet(target)
+    return _offsets(spark.read.parquet(target))
+
+
+def _offsets(files: DataFrame) -> DataFrame:
+    """One task, over one row for each file."""
+    earlier = W.orderBy("shard_file").rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("first_index")
+    return files.select("shard_file", "n_rows", first)
+
+
+def with_index(rows: DataFrame, files: DataFrame, index: str = "index") -> DataFrame:
+    """Number rows from 0 through all files in name order, as they are stored.
+
+    ``files`` (``shard_file``, ``n_rows``, from ``file_rows`` or ``index_manifest``) is counted from
+    the folder, so a filter on the rows changes no number. The place of a row is the
+    number of rows in earlier files plus its place in its own: no row is moved. A row of a file
+    that was not counted, or that has become longer, is an error.
+    """
+    offsets = _offsets(files).withColumnsRenamed({"n_rows": "_rows", "first_index": "_before"})
+    stale = F.raise_error(F.lit("the files have changed since their rows were counted")).cast("bigint")
+    joined = lookup_join(rows, offsets, "shard_file", "left", ["shard_file", "shard_row"])
+    known = F.col("_rows").isNotNull() & (F.col("shard_row") < F.col("_rows"))
+    return joined.withColumn(index, F.when(known, F.col("_before") + F.col("shard_row")).otherwise(stale)).drop("_before", "_rows")
 
 
 def check_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

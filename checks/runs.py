@@ -10,6 +10,8 @@ from checks.registry import check
 from checks.scans import rounded
 from checks.splits import PLAN, train_plan
 from tuneprep.operators import runlog
+from tuneprep.session import new_path
+from tuneprep.streaming import progress
 
 
 @check(
@@ -61,6 +63,58 @@ def running_accuracy(spark, folder):
     return rounded(out.drop("true_id", "predicted_id", "status"))
 
 
+def _in_chunks(spark, folder):
+    """The same answers in five chunks of consecutive indexes."""
+    rows = _answered(spark, folder).withColumnsRenamed({"predicted_id": "pred"})
+    last = F.max("o_orderkey")
+    end = fx.table(spark, folder, "orders").agg(last).first()[0] + 1
+    rows = rows.withColumn("chunk", F.floor(F.col("index") * 5 / end).cast("int"))
+    rows = rows.withColumnRenamed("pred", "predicted_id")
+    return [rows.where(F.col("chunk") == n).drop("chunk") for n in range(5)]
+
+
+@check(
+    "h1_running_accuracy_across_chunks",
+    statement(
+        """select run, index, n_seen, cast(n_correct as bigint) as n_correct,
+             cast(unknown_so_far as bigint) as unknown_so_far,
+             round(n_correct / n_seen, 6) as running_accuracy from
+             (select o_orderpriority as run, o_orderkey as index, count(*) over w as n_seen,
+                count(*) filter (o_orderstatus = 'F') over w as n_correct,
+                count(*) filter (o_orderstatus = 'P') over w as unknown_so_far
+              from orders window w as (partition by o_orderpriority order by o_orderkey))"""
+    ),
+)
+def running_accuracy_across_chunks(spark, folder):
+    """Each chunk is looked at once and goes on from the counters of those before it."""
+    path, out = new_path(spark, "progress"), None
+    for chunk, rows in enumerate(_in_chunks(spark, folder)):
+        found = progress.running_accuracy_of_chunk(rows, path, chunk, ["run"], rows_per_bucket=1000)
+        found = rounded(found.drop("true_id", "predicted_id", "status"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@check(
+    "g8_counters_across_chunks",
+    statement(
+        """select chunk, cast(count(*) as bigint) as n_seen, cast(count(*) filter (o_orderstatus = 'F') as bigint) as n_correct,
+             cast(count(*) filter (o_orderstatus = 'P') as bigint) as unknown_so_far
+           from range(5) c(chunk), (select *, floor(o_orderkey * 5 / (select max(o_orderkey) + 1 from orders)) as own from orders)
+           where own <= chunk group by 1"""
+    ),
+)
+def counters_across_chunks(spark, folder):
+    """Counters as of each chunk, after all were counted; one of them twice."""
+    path, out = new_path(spark, "progress"), None
+    for chunk, rows in list(enumerate(_in_chunks(spark, folder))) + [(2, _in_chunks(spark, folder)[2])]:
+        progress.add_chunk(rows, path, chunk)
+    for chunk in range(5):
+        row = progress.counters(spark, path, before=chunk + 1).withColumn("chunk", F.lit(chunk).cast("bigint"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @check(
     "h2_running_loss",
     statement(

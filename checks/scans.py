@@ -15,6 +15,7 @@ from tuneprep.plans.evaluate import score_answers, score_table
 from tuneprep.session import new_path
 from tuneprep.sources import shards, sinks, vocab_increments
 from tuneprep.streaming import ingest
+from tuneprep.streaming.buffer import ShuffleBuffer
 
 
 @check(
@@ -165,6 +166,38 @@ def bounded_read(spark, folder):
     return splits.take_seeded(fx.table(spark, folder, "orders"), ["o_orderkey"], 1000)
 
 
+def _buffer_steps(chunks, size):
+    """SQL of a buffer of ``size`` rows over chunks 0 to chunks - 1, and of its emptying."""
+    steps, pools = {}, []
+    for k in range(chunks + 1):
+        held = f"select sample_id from pool_{k - 1} where place > leaving" if k else "select sample_id from branded where false"
+        new = f" union all select sample_id from branded where chunk = {k}" if k < chunks else ""
+        steps[f"pool_{k}"] = f"""
+          select sample_id, row_number() over (order by md5('42:{k}:' || sample_id)) as place,
+            greatest(0, count(*) over () - {size if k < chunks else 0}) as leaving from ({held}{new})"""
+        before = " + ".join([f"coalesce((select max(leaving) from pool_{i}), 0)" for i in range(k)] or ["0"])
+        pools.append(f"select sample_id, place - 1 + {before} as position from pool_{k} where place <= leaving")
+    return steps | {"left_all": " union all ".join(pools)}
+
+
+@check(
+    "a6_stream_buffer",
+    statement("select sample_id, position from left_all where position < 1500", "branded", **_buffer_steps(6, 100)),
+)
+def stream_buffer(spark, folder):
+    """A buffer of 100 rows over a stream of chunks, killed once: the first 1,500 rows that leave it."""
+    work = _killed_at(2)
+    buffer = ShuffleBuffer(spark, new_path(spark, "buffer"), ["sample_id"], 100, 42, 1500)
+
+    def put(rows, vocab, position):
+        buffer.push(rows.select("sample_id"), position)
+        work(position)
+
+    _until(_run(spark, _shard_folder(spark, folder), work=put), 2)
+    buffer.flush()
+    return buffer.left()
+
+
 SCORED = """
   select m.*, v.label_id as true_id from matched m left join vocab v on m.true_label = v.label"""
 

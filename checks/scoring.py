@@ -8,6 +8,7 @@ from checks import fixtures as fx
 from checks.oracle import MATCH_STEPS, METRIC_STEPS, METRICS, normalise, statement, strip
 from checks.registry import check
 from checks.scans import SCORE_STEPS, SCORED, rounded
+from tuneprep.operators.logit_blocks import block_cross_entropy
 from tuneprep.operators import losses, metrics, validation
 from tuneprep.plans.evaluate import evaluate, score_answers, score_table
 from tuneprep.session import materialise
@@ -189,6 +190,31 @@ def causal_pairs(spark, folder):
     return losses.causal_pairs(fx.logits(spark, folder), ["batch_id"]).drop("logits")
 
 
+def _with_labels(spark, folder):
+    """Logits whose rows carry the labels of their whole sequence, as a data preparation writes them."""
+    tokens = fx.logits(spark, folder)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("position", "label"))), lambda x: x["label"])
+    labels = tokens.groupBy("batch_id").agg(in_order.alias("labels"))
+    return tokens.drop("label").join(labels, "batch_id")
+
+
+@check(
+    "f6_next_labels",
+    statement(
+        """select batch_id, position, next as label, round(z, 6) as first_logit from
+             (select batch_id, position, logits[1]::double as z,
+                lead(label) over (partition by batch_id order by position) as next from logits)
+           where next is not null""",
+        "logits",
+    ),
+)
+def next_labels(spark, folder):
+    """The causal shift as a projection; the logits are seen by their first value."""
+    pairs = losses.next_labels(_with_labels(spark, folder))
+    first = F.round(F.get("logits", F.lit(0)).cast("double"), 6).alias("first_logit")
+    return pairs.select("batch_id", "position", "label", first)
+
+
 LOSS_STEPS = {
     "paired": """
       select batch_id, position, list_transform(logits, lambda x: x::double) as z,
@@ -217,6 +243,23 @@ def cross_entropy(spark, folder):
     return rounded(_losses(spark, folder).drop("logits"))
 
 
+@check(
+    "f7_blocks",
+    statement(
+        """select batch_id, position, label, round(loss, 6) as loss, cast(null as varchar) as fault from priced""",
+        "logits",
+        **LOSS_STEPS,
+    ),
+)
+def block_losses(spark, folder):
+    """The same losses from logits in blocks of 24 classes: no row has all of them."""
+    pairs = losses.next_labels(_with_labels(spark, folder))
+    starts = F.sequence(F.lit(0), F.size("logits") - 1, F.lit(24))
+    blocks = pairs.withColumn("start", F.explode(starts))
+    blocks = blocks.withColumn("logits", F.slice("logits", F.col("start") + 1, 24))
+    return rounded(block_cross_entropy(blocks, ["batch_id", "position"]))
+
+
 @check(
     "g9_batch_losses",
     statement(

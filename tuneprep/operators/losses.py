@@ -53,7 +53,7 @@ def causal_pairs(
     An equi join on (example, position), which is unique, so an example of any
     length is spread over the tasks. The last position of an example has no pair.
     Logits of a large vocabulary would all pass this join: where an example's labels are
-    one array, carry it with each row and use ``next_label``.
+    one array, carry it with each row and use ``next_labels``, which moves nothing.
     """
     targets = tokens.select(*example, (F.col(position) - 1).alias(position), label)
     return tokens.select(*example, position, logits).join(targets, [*example, position])
@@ -61,7 +61,20 @@ def causal_pairs(
 
 def next_label(labels: Column, position: Column) -> Column:
     """The label that the logits at a position predict, from the labels of the example; null at the end."""
-    return F.get(labels, position + 1)
+    return F.get(labels, position.cast("int") + 1)
+
+
+def next_labels(
+    tokens: DataFrame, labels: str = "labels", position: str = "position", label: str = "label"
+) -> DataFrame:
+    """``causal_pairs`` of rows that carry the labels of their example; a projection, nothing is moved.
+
+    ``labels`` is replaced by the label to predict; the last position of an example has none and is left out.
+    """
+    paired = tokens.where(F.col(position) + 1 < F.size(labels))
+    return paired.withColumn(label, next_label(F.col(labels), F.col(position))).drop(
+        *([labels] if labels != label else [])
+    )
 
 
 def batch_losses(

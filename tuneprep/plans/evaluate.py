@@ -12,7 +12,7 @@ from tuneprep.functions.chat import ChatTemplate, conversation, render
 from tuneprep.functions.text import strip
 from tuneprep.operators.inference import Predict, predict
 from tuneprep.operators.joins import lookup_join
-from tuneprep.operators.matching import match_predictions, match_table
+from tuneprep.operators.matching import MatchTable, match_predictions, match_table
 from tuneprep.operators.metrics import classification_metrics, guard
 from tuneprep.operators.splits import first_by_key
 from tuneprep.operators.validation import good_rows, require_good, resolve_labels
@@ -34,18 +34,18 @@ class Evaluation:
 
 def score_answers(
     answers: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | MatchTable,
     row_key: Sequence[str],
     raw_col: str = "raw_output",
     longest: bool = False,
     containment: bool = True,
 ) -> DataFrame:
     """Match answers and look up the id of ``true_label``; an invalid vocabulary is an error."""
-    vocab = require_valid(materialise(vocab.select("label", "label_id"), "vocab"))
-    truth = vocab.select(F.col("label").alias("true_label"), F.col("label_id").alias("true_id"))
+    table = vocab if isinstance(vocab, MatchTable) else match_table(vocab)
+    truth = table.forms.select(F.col("label").alias("true_label"), F.col("label_id").alias("true_id"))
     stripped = answers.withColumn("true_label", strip(F.col("true_label")))
     known = lookup_join(stripped, truth, "true_label", "left", row_key)
-    return match_predictions(known, vocab, raw_col, row_key, containment, longest)
+    return match_predictions(known, table, raw_col, row_key, containment, longest)
 
 
 def score_table(
@@ -57,12 +57,13 @@ def score_table(
 ) -> DataFrame:
     """The metrics of a table of ``true_label`` and raw answers, as one row.
 
-    Which rows the answers came from does not matter to the figures.
+    Which rows the answers came from does not matter to the figures. The vocabulary is
+    written, checked and measured once, for the true labels, the answers and the classes.
     """
-    vocab = require_valid(materialise(vocab.select("label", "label_id"), "vocab"))
+    table = match_table(vocab.select("label", "label_id"))
     grouped = _distinct_answers(answers.withColumnRenamed(raw_col, "raw_output"), "true_label")
-    scored = score_answers(grouped, vocab, ["true_label", "raw_output"], "raw_output", longest, containment)
-    return _metrics(scored, vocab)
+    scored = score_answers(grouped, table, ["true_label", "raw_output"], "raw_output", longest, containment)
+    return _metrics(scored, table.forms.select("label", "label_id"))
 
 
 def _distinct_answers(answers: DataFrame, truth: str) -> DataFrame:
@@ -138,6 +139,7 @@ def evaluate(
         "answers",
     )
     table = match_table(vocab)
+    # The costly part is written; pairs are counted and matched from it.
     predictions = match_predictions(
         answers, table, "raw_output", row_key, containment, longest
     ).withColumn("correct", F.col("true_id") == F.col("predicted_id"))

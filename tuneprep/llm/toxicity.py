@@ -42,8 +42,8 @@ RATE = 0.05
 SPARSITY = 3e-5
 # A missed row of label 1 counts as much as that many rows of label 0 taken for it.
 MISSED = 2.0
-# A bucket takes part if this share of the sample, and so many of its documents, have it.
-LEAST_SHARE, LEAST_DOCUMENTS = 0.005, 3
+# A bucket takes part if so many documents of the sample have it, whatever the size of the sample.
+LEAST_DOCUMENTS = 3
 # When a bucket's score is that small a part of the largest after half of the steps, it is 0 from then on, and the rest
 # is fitted without the sparsity term, which would leave scores too close to the mean.
 NEGLIGIBLE = 0.02
@@ -142,7 +142,7 @@ def _sample_bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray
         row, bucket, share = bags(texts[start : start + 100], buckets=buckets)
         parts.append(((row + start).astype(np.int32), bucket.astype(np.int32), (share * SCALE).astype(np.float32)))
     spread = sum(np.bincount(p[1], minlength=buckets) for p in parts)
-    often = spread >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(texts))
+    often = spread >= LEAST_DOCUMENTS
     return tuple(np.concatenate([p[i][often[p[1]]] for p in parts]) for i in range(3))
 
 

@@ -20,7 +20,7 @@ import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,10 +38,6 @@ GROUP = 8192
 ROUNDS = 3
 # A bin with no more room than this is final before the last round.
 ROOM = 0
-# Passes of the local search over the underfull bins of a group, at most.
-PASSES = 12
-# Exchanges weighed for one bin before the best of them is made; the next pass weighs others.
-LOOKED = 256
 
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,15 +126,19 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins after exchanges between underfull bins, each of which makes the sum of squared fills larger.
 
     From bin a to bin b go one or two pieces of a, and none or one comes back. That
-    shifts d tokens, and the sum grows exactly if fill(b) + d > fill(a).
+    shifts d tokens, and the sum grows exactly if fill(b) + d > fill(a). Of the pieces that hold as
+    many tokens those of the emptiest bin come first, so the first ones settle whether
+    any will do, and every exchange there is gets found. As the sum grows each time, the search
+    ends, when no exchange is left.
     """
     fill = [sum(lengths[r] for r in b) for b in bins]
     under = {i for i, f in enumerate(fill) if f < capacity}
-    holders: dict[int, dict[tuple[int, ...], int]] = {}  # tokens that one or two pieces of a bin hold together
+    # The one or two pieces of a bin that hold so many tokens together: (fill of the bin, bin, pieces), ascending.
+    holders: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
     sums: list[int] = []  # the keys of holders, ascending
 
     def groups(i: int) -> Iterator[tuple[int, ...]]:
@@ -157,15 +157,16 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passe
             for g in groups(i):
                 total = tokens(g)
                 if total not in holders:
-                    holders[total] = {}
+                    holders[total] = []
                     insort(sums, total)
-                holders[total][g] = i
+                insort(holders[total], (fill[i], i, g))
 
     def leave(i: int) -> None:
         under.discard(i)
         for g in groups(i):
             total = tokens(g)
-            del holders[total][g]
+            place = bisect_left(holders[total], (fill[i], i, g))
+            del holders[total][place]
             if not holders[total]:
                 del holders[total]
                 sums.pop(bisect_right(sums, total) - 1)
@@ -176,16 +177,12 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passe
         for back in [(), *((r,) for r in bins[b])]:
             given = tokens(back)
             at = bisect_right(sums, given + room) - 1
-            looked = 0
-            while at >= 0 and sums[at] - given > most and looked < LOOKED:
+            while at >= 0 and sums[at] - given > most:
                 d = sums[at] - given
-                for rows, a in holders[sums[at]].items():
-                    looked += 1
-                    if a != b and fill[b] + d > fill[a] and not (back and len(rows) == 1 and d == 0):
-                        best, most = (a, rows, back), d
-                        break
-                    if looked >= LOOKED:
-                        break
+                # Only entries of b itself can stand before the emptiest other bin.
+                emptiest = next((h for h in holders[sums[at]] if h[1] != b), None)
+                if emptiest and emptiest[0] < fill[b] + d:
+                    best, most = (emptiest[1], emptiest[2], back), d
                 at -= 1
             if most == room:
                 break
@@ -193,7 +190,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passe
 
     for i in list(under):
         enter(i)
-    for _ in range(passes):
+    changed = True
+    while changed:
         changed = False
         for b in sorted(under, key=lambda i: (-fill[i], i)):
             if b not in under or not bins[b]:
@@ -210,8 +208,6 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passe
                 enter(a)
                 enter(b)
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 

@@ -73,8 +73,28 @@ def test_local_search_empties_bins(seed):
     lengths = [rng.randint(20, 400) for _ in range(120)]
     start = [[i, i + 1] for i in range(0, 120, 2)]
     before = sum(sum(lengths[r] for r in b) ** 2 for b in start)
-    out = P.local_search([list(b) for b in start], lengths, 1024, passes=50)
+    out = P.local_search([list(b) for b in start], lengths, 1024)
     assert sorted(r for b in out for r in b) == list(range(120))
     fills = [sum(lengths[r] for r in b) for b in out]
     assert max(fills) <= 1024 and sum(f * f for f in fills) > before
     assert len(out) <= -(-sum(lengths) // 1024) + 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_ends_when_no_exchange_is_left(seed):
+    """Every move of one or two pieces for none or one, between any two underfull bins, is tried on the result."""
+    rng = random.Random(seed)
+    high = (300, 700, 1023)[seed % 3]
+    lengths = [rng.randint(1, high) for _ in range(60)]
+    out = P.local_search(P.best_fit(lengths, 1024) if seed % 2 else [[i] for i in range(60)], lengths, 1024)
+    fill = [sum(lengths[r] for r in b) for b in out]
+    under = [i for i in range(len(out)) if fill[i] < 1024]
+    for a in under:
+        for b in under:
+            if a == b:
+                continue
+            taken = [(r,) for r in out[a]] + [(r, s) for i, r in enumerate(out[a]) for s in out[a][i + 1 :]]
+            for take in taken:
+                for back in [(), *((r,) for r in out[b])]:
+                    d = sum(lengths[r] for r in take) - sum(lengths[r] for r in back)
+                    assert not (0 < d <= 1024 - fill[b] and fill[b] + d > fill[a])

@@ -124,3 +124,24 @@ def test_numbers_are_given_in_ranges(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     labels = [line for line in plan.splitlines() if "SinglePartition" in line]
     assert all("label" not in line for line in labels)
+
+
+def test_of_two_creators_one_wins_and_the_other_reads_its_ids(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "vocab")
+    rows = [spark.createDataFrame([(x,) for x in labels], "disease string") for labels in ("ba", "dcb")]
+    load, first = vocab_store.load_vocab, []
+
+    def late(*args, **options):
+        """Nothing is there when the second creator looks; then the first one publishes."""
+        if not first:
+            first.append(vocab_store.create_vocab(vocab_store.build_vocab(rows[0]), path))
+            return None
+        return load(*args, **options)
+
+    monkeypatch.setattr(vocab_store, "load_vocab", late)
+    assert as_dict(vocab_store.load_or_create_vocab(rows[1], path)) == {"a": 0, "b": 1} and first == [True]
+    # An extension of a version that has been extended already is not published.
+    assert vocab_store.create_vocab(table(spark, [("a", 0), ("b", 1), ("c", 2)]), path, 1)
+    assert not vocab_store.create_vocab(table(spark, [("a", 0), ("b", 1), ("x", 2)]), path, 1)
+    assert as_dict(load(spark, path)) == {"a": 0, "b": 1, "c": 2} and vocab_store.versions(spark, path) == [0, 1]
+    assert sorted(p.name for p in (tmp_path / "vocab").iterdir()) == ["version=0", "version=1"]

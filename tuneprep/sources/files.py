@@ -42,20 +42,27 @@ def publish(spark: SparkSession, path: str, text: str) -> bool:
     """
     target, fs = _file_system(spark, path)
     fs.mkdirs(target.getParent())
-    jvm = spark.sparkContext._jvm
-    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
-    stream = fs.create(draft, True)
+    draft = f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}"
+    stream = fs.create(_file_system(spark, draft)[0], True)
     stream.write(bytearray(text, "utf-8"))
     stream.close()
+    return rename_new(spark, draft, path)
+
+
+def rename_new(spark: SparkSession, draft: str, path: str) -> bool:
+    """Give a finished draft, a file or a folder, its name; False if the name is taken. The draft is then removed."""
+    source, fs = _file_system(spark, draft)
+    jvm = spark.sparkContext._jvm
     kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(kind, 0)
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
     )
+    target = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
     try:
-        context.rename(fs.makeQualified(draft), fs.makeQualified(target), options)
+        context.rename(fs.makeQualified(source), target, options)
     except Py4JJavaError as error:
-        fs.delete(draft, False)
+        fs.delete(source, True)
         if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
             return False
         raise

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.operators.vocab import VocabularyError, build_vocab, require_valid
 from tuneprep.session import materialise
+from tuneprep.sources.files import rename_new
 
 _SCHEMA = "label string, label_id int"
 
@@ -68,10 +70,30 @@ def load_vocab(
     return require_valid(spark.read.schema(_SCHEMA).parquet(f"{path}/version={version}"))
 
 
+def create_vocab(vocab: DataFrame, path: str, version: int = 0) -> bool:
+    """Check and write a version that must not exist yet; False if another writer was first.
+
+    The version is written under a name of its own and then renamed, so of several writers
+    of one version one succeeds, and no reader sees a part of it. A vocabulary that was read
+    as version n and extended is published as n + 1: False says that someone else
+    has extended it, and that the extension must be made again from what is there.
+    """
+    spark, draft = vocab.sparkSession, f"{path}/.draft-{uuid.uuid4().hex}"
+    table = vocab.select("label", F.col("label_id").cast("int").alias("label_id"))
+    require_valid(materialise(table, "vocab")).write.parquet(draft)
+    return rename_new(spark, draft, f"{path}/version={version}")
+
+
 def load_or_create_vocab(df: DataFrame, path: str, label_col: str = "disease") -> DataFrame:
-    """The stored vocabulary if there is one, else that of the rows, stored as version 0."""
+    """The stored vocabulary if there is one, else that of the rows, stored as version 0.
+
+    If several jobs create it at once, all get the one that was stored first.
+    """
     stored = load_vocab(df.sparkSession, path)
-    return stored if stored is not None else save_vocab(build_vocab(df, label_col), path, 0)
+    if stored is None:
+        create_vocab(build_vocab(df, label_col), path)
+        stored = load_vocab(df.sparkSession, path)
+    return stored
 
 
 def vocab_to_json(vocab: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tuneprep.operators.bit_filter import WORD, bit_filter, bits_for, may_match
 from tuneprep.operators.joins import lookup_join, salted_join
 from tuneprep.operators.matching import match_predictions, match_table
 from tuneprep.operators.vocab import VocabularyError
@@ -139,3 +140,56 @@ def test_salts_follow_the_share_and_nulls_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert max(r["count"] for r in counts) < 2 * 12000 / len(counts) and len(counts) == 4
+
+
+def test_bit_filter_loses_no_key_and_stops_most_others(spark):
+    table = spark.range(5000).select(F.concat(F.lit("label "), "id").alias("norm"))
+    rows = spark.range(20000).select("id", F.concat(F.lit("label "), "id").alias("norm"))
+    passed = rows.where(may_match(F.col("norm"), bit_filter(table, "norm", 5000)))
+    ids = {r["id"] for r in passed.collect()}
+    assert ids >= set(range(5000))
+    assert len(ids) - 5000 < 0.03 * 15000
+
+
+@pytest.mark.parametrize("keys, most", [(0, 1 << 20), (5000, WORD), (5000, 1 << 10)])
+def test_bit_filter_that_is_too_small_loses_no_key(spark, keys, most):
+    table = spark.range(5000).select(F.col("id").cast("string").alias("norm"))
+    passed = table.where(may_match(F.col("norm"), bit_filter(table, "norm", keys, most)))
+    assert passed.count() == 5000
+
+
+def test_bit_filter_of_nothing_and_of_nulls(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("a",)], "norm string")
+    assert rows.where(may_match(F.col("norm"), bit_filter(rows.limit(0), "norm", 0))).count() == 0
+    nulls = rows.where("norm is null")
+    assert rows.where(may_match(F.col("norm"), bit_filter(nulls, "norm", 1))).count() == 0
+    found = rows.where(may_match(F.col("norm"), bit_filter(rows, "norm", 3))).collect()
+    assert sorted(r["norm"] for r in found) == ["", "a"]
+
+
+def test_bit_filter_has_a_bound():
+    assert [bits_for(n) for n in (0, 4, 5, 1000)] == [64, 64, 128, 16384]
+    assert bits_for(10**12) == 1 << 26
+
+
+def test_large_vocabularies_shuffle_only_pieces_that_may_match(spark, monkeypatch):
+    """The pieces that the join counts and shuffles, with the filter and without."""
+    from tuneprep.operators import matching
+
+    sent = []
+
+    def counted(rows, table, on, *args, **options):
+        if on == "norm":
+            sent.append(rows.count())
+        return salted_join(rows, table, on, *args, **options)
+
+    monkeypatch.setattr(matching, "salted_join", counted)
+    answers = [f"it is kind {i} of leaf spot {i % 7}" for i in range(500)]
+    labels = [f"spot_{i}" for i in range(5)]
+    with_filter = matched(spark, answers, labels, max_rows=0)
+    monkeypatch.setattr(matching, "may_match", lambda key, found: F.lit(True))
+    assert matched(spark, answers, labels, max_rows=0) == with_filter
+    # Of five pieces of each answer at most the last word is a label: five of seven are.
+    assert sent[1] == 2500
+    assert 357 <= sent[0] <= 375
+    assert [x[0] for x in with_filter[:3]] == ["spot_0", "spot_1", "spot_2"]

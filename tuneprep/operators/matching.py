@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tuneprep.functions.text import normalise_label
+from tuneprep.operators.bit_filter import bit_filter, may_match
 from tuneprep.operators.joins import (
     BROADCAST_BYTES,
     BROADCAST_ROWS,
@@ -87,7 +88,8 @@ def match_predictions(
 
     A vocabulary within the broadcast bound is looked up once per prefix and suffix
     length, in one stage without a shuffle. A larger one, or one with longer labels, is
-    joined with the distinct answers and the result is joined back.
+    joined with the distinct answers and the result is joined back; of a larger one a bit
+    filter of bounded size goes to the answers first.
     """
     table = vocab if isinstance(vocab, MatchTable) else match_table(vocab)
     entries = table.forms.select("norm", _priority(longest).alias("entry"))
@@ -97,7 +99,8 @@ def match_predictions(
         answers = predictions.withColumn("normalised", normalise_label(F.col(raw_col)))
         matched = _by_lookup(answers, entries, most)
     else:
-        matched = _by_shuffle(predictions, raw_col, entries, most, row_key, small)
+        keys = None if small else table.measured["_rows"]
+        matched = _by_shuffle(predictions, raw_col, entries, most, row_key, keys)
     return matched.select(
         *predictions.columns,
         "normalised",
@@ -136,9 +139,13 @@ def _by_shuffle(
     entries: DataFrame,
     words: int,
     row_key: Sequence[str],
-    small: bool,
+    keys: int | None,
 ) -> DataFrame:
-    """Match the distinct answers by an equi join on their pieces; ``small`` entries are broadcast."""
+    """Match the distinct answers by an equi join on their pieces.
+
+    Entries are broadcast, or, if they are too many and ``keys`` gives their number, sent as a
+    bit filter that drops most pieces that match nothing before the others are shuffled.
+    """
     keyed = predictions.withColumn("_text", F.coalesce(F.col(raw_col), F.lit("")))
     # Map-side combine leaves one row per distinct answer, however often it occurs;
     # only these are normalised and matched, and their counts name the hot ones.
@@ -159,9 +166,10 @@ def _by_shuffle(
     distinct = texts.select("normalised").where(F.col("normalised") != "").distinct()
     candidates = distinct.select("normalised", F.explode(pieces).alias("norm"))
     part = (F.col("norm") != F.col("normalised")).alias("part")
-    if small:
+    if keys is None:
         pieces_found = candidates.join(F.broadcast(entries), "norm")
     else:
+        candidates = candidates.where(may_match(F.col("norm"), bit_filter(entries, "norm", keys)))
         pieces_found = salted_join(candidates, entries, "norm", "inner", ["normalised"])
     found = (
         pieces_found.groupBy("normalised")

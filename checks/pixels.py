@@ -8,6 +8,8 @@ from checks import fixtures as fx
 from checks.oracle import joined, statement
 from checks.registry import check
 from tuneprep.functions import pixels
+from tuneprep.session import new_path
+from tuneprep.sources import images
 
 # Headers whose width and height come from the key, as hex text.
 HEADERS = """
@@ -97,6 +99,58 @@ def payload(spark, folder):
     )
 
 
+def _image_files(spark, folder):
+    """A folder of images, one file for each page that has a payload, and the pages with paths into it.
+
+    Three of four pages name their file, relative to the folder or in full; the others hold bytes.
+    """
+    base = new_path(spark, "images")
+    pages = _images(spark, folder).select("page_id", F.col("image.bytes").alias("data"))
+    written = pages.where(F.col("data").isNotNull())
+    written.select("page_id", F.col("data").cast("string")).write.partitionBy("page_id").text(base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    number = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id")
+    named = pages.join(files.select(number, "path"), "page_id", "left")
+    relative = F.substring_index("path", "/", -2)
+    path = F.when(F.col("path").isNull(), "not/there.png").when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(relative)
+    inline = F.col("page_id") % 4 == 0
+    image = F.struct(F.when(inline, F.col("data")).alias("bytes"), F.when(~inline, path).alias("path"))
+    return base, named.select("page_id", image.alias("image"))
+
+
+@check(
+    "b5_images_by_path",
+    statement(
+        """select page_id, kind, format, case when format in ('png', 'gif', 'bmp') then w end as width,
+             case when format in ('png', 'gif', 'bmp') then h end as height, length,
+             case when kind is null then 'no_image' when length is null then 'missing_file'
+               when format is null then 'unknown_format' end as fault
+           from (select *, case when kind is not null then case page_id % 9 when 0 then 'png' when 1 then 'gif'
+                 when 2 then 'bmp' when 3 then 'jpeg' when 6 then 'bmp' end end as format,
+               case kind when 'bytes' then length(payload) // 2 when 'path' then length(payload) // 2 + 1 end as length
+             from (select *, case when page_id % 4 <> 0 then 'path' when length(payload) > 0 then 'bytes' end as kind
+               from headers))""",
+        headers=HEADERS,
+    ),
+)
+def images_by_path(spark, folder):
+    """Format, size and faults of images in files, which end in a line feed here."""
+    base, rows = _image_files(spark, folder)
+    rows = rows.withColumn("image", pixels.payload(rows, "image"))
+    image, header, length = F.col("image"), F.col("header"), F.col("length")
+    size = pixels.image_size(header)
+    found = images.with_headers(rows, image, images.image_headers(spark, base), base, ["page_id"])
+    return found.select(
+        "page_id",
+        pixels.payload_kind(image).alias("kind"),
+        pixels.image_format(header).alias("format"),
+        size["width"].alias("width"),
+        size["height"].alias("height"),
+        "length",
+        images.file_fault(image, header, length).alias("fault"),
+    )
+
+
 # Embeddings as pixel arrays: unit range, wide range with NaN and infinities, whole numbers.
 RAW = """
   select vec_id, case when vec_id % 5 = 4 then 'int' when vec_id % 5 = 3 then 'text' else 'float' end as kind,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tuneprep.functions import pixels
+from tuneprep.sources import images as files
 
 IMAGE = "bytes binary, path string, array array<double>"
 
@@ -115,3 +116,68 @@ def test_tiny_images(spark):
     assert tuple(got[0]["s"]) == (2, 2) and got[0]["p"] == [7, 8, 9] * 4
     assert got[1]["s"] is None
     assert got[2]["p"] == list(range(12))
+
+
+@pytest.fixture
+def gallery(tmp_path):
+    """A folder with three images, one of them large, and a file that is none."""
+    base = tmp_path / "img" / "a" / "img"
+    (base / "deep").mkdir(parents=True)
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")
+    (base / "x y%20.png").write_bytes(png)
+    (base / "deep" / "b.gif").write_bytes(b"GIF89a" + bytes([3, 0, 4, 0]))
+    (base / "large.bmp").write_bytes(b"BM" + b"\0" * 5000)
+    (base / "notes").write_bytes(b"text")
+    return str(base)
+
+
+def located(spark, base, paths):
+    rows = spark.createDataFrame([(i, (None, p)) for i, p in enumerate(paths)], "k int, image struct<bytes:binary,path:string>")
+    return rows.withColumn("image", pixels.payload(rows, "image"))
+
+
+def test_images_by_path(spark, gallery):
+    paths = ["x y%20.png", f"{gallery}/x y%20.png", f"file:{gallery}/x y%20.png", f"file://{gallery}//x y%20.png", "./deep/b.gif",
+             "deep//b.gif", "large.bmp", "notes", "gone.png", "/elsewhere/b.gif", "", None]
+    # A file above the bound would end the job if it were opened.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        headers = files.image_headers(spark, gallery, largest=1000)
+        rows = located(spark, gallery, paths)
+        found = files.with_headers(rows, F.col("image"), headers, gallery, ["k"])
+        size = pixels.image_size(F.col("header"))
+        got = found.select("k", "length", size.alias("s"), files.file_fault(F.col("image"), F.col("header"), F.col("length")).alias("f"))
+        got = [(r["length"], r["s"] and tuple(r["s"]), r["f"]) for r in got.orderBy("k").collect()]
+        whole = files.with_bytes(rows, F.col("image"), gallery, ["k"], largest=1000)
+        sizes = [r["n"] for r in whole.orderBy("k").select(F.octet_length("image_bytes").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    png, gif = (24, (7, 9), None), (10, (3, 4), None)
+    assert got == [png, png, png, png, gif, gif, (5002, None, "too_large"), (4, None, "unknown_format"),
+                   (None, None, "missing_file"), (None, None, "missing_file"), (None, None, "no_image"), (None, None, "no_image")]
+    assert sizes == [24, 24, 24, 24, 10, 10, None, 4, None, None, None, None]
+
+
+def test_headers_of_images_are_all_that_is_kept(spark, gallery):
+    headers = files.image_headers(spark, gallery)
+    assert {r["image_path"]: len(r["header"]) for r in headers.collect()} == {
+        "x y%20.png": 24, "deep/b.gif": 10, "large.bmp": 32, "notes": 4,
+    }
+
+
+def test_a_path_that_many_rows_name_is_spread(spark, gallery):
+    rows = located(spark, gallery, ["deep/b.gif"] * 3000 + [f"none{i}" for i in range(10)])
+    found = files.with_bytes(rows, F.col("image"), gallery, ["k"])
+    assert found.where("octet_length(image_bytes) = 10").count() == 3000
+    assert found.count() == 3010
+
+
+def test_images_of_an_empty_folder_and_no_rows(spark, tmp_path):
+    base = str(tmp_path)
+    headers = files.image_headers(spark, base)
+    assert headers.count() == 0
+    rows = located(spark, base, ["a.png"])
+    assert files.with_headers(rows, F.col("image"), headers, base, ["k"]).first()["header"] is None
+    assert files.with_bytes(rows.limit(0), F.col("image"), base, ["k"]).count() == 0
+    with pytest.raises(ValueError, match="absolute"):
+        files.image_headers(spark, "relative/folder")

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +6,7 @@ from tuneprep.functions import pixels, tokens
 from tuneprep.operators import batches, inference, losses, splits, validation
 from tuneprep.plans import prepare
 from tuneprep.plans.evaluate import evaluate, score_table
-from tuneprep.sources import shards, sinks
+from tuneprep.sources import images, shards, sinks
 
 VOCAB = [("rust", 0), ("spot", 1)]
 
@@ -290,3 +291,33 @@ def test_forms_of_images(spark):
         image = pixels.payload(df, "x")
         got = df.select(pixels.payload_kind(image).alias("k"), pixels.payload_fault(image).alias("f")).collect()
         assert [tuple(r) for r in got] == [(kind, None), (None, "no_image")], schema
+
+
+def test_images_reach_the_model_in_batches_bounded_in_bytes(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * 100_000)
+    rows = spark.range(0, 400, 1, 1).select("id", F.concat((F.col("id") % 40).cast("string"), F.lit(".bin")).alias("image"))
+    rows = rows.repartition("id").withColumn("image", pixels.payload(rows, "image"))
+
+    def make():
+        def model(batch):
+            assert len(batch) <= 4
+            return [str(len(x)) for x in batch["image_bytes"]]
+
+        return model
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+    try:
+        whole = images.with_bytes(rows, F.col("image"), str(tmp_path), ["id"])
+        found = inference.predict(whole, make, ["image_bytes"], batch_size=4).select("id", "raw_output")
+        assert {r["raw_output"] for r in found.collect()} == {"100000"}
+        assert found.count() == 400
+
+        @F.pandas_udf("long")
+        def held(data: pd.Series) -> pd.Series:
+            return pd.Series([data.map(len).sum()] * len(data), dtype="int64")
+
+        # Spark ends a batch with the row that passes the bound.
+        assert whole.agg(F.max(held("image_bytes"))).first()[0] <= (1 << 20) + 100_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

@@ -24,8 +24,10 @@ def predict(
     """Add the model's answer to every row.
 
     The inputs are what the model may see; leave the answer out of them. Rows
-    reach the model in batches of at most ``batch_size``. The answer is stripped; a bound
-    of its length is the model's own matter. The model is loaded once per Python worker
+    reach the model in batches of at most ``batch_size``, cut from what Spark sends at a time: rows
+    of at most ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes (64 MiB unless set otherwise), so
+    rows with large images come in fewer at a time. ``sources.images.with_bytes`` joins images
+    by path just before. The answer is stripped; a bound of its length is the model's own matter. The model is loaded once per Python worker
     and kept for the tasks that the worker runs after the first.
     """
     plug_in = uuid.uuid4()

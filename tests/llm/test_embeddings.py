@@ -67,3 +67,53 @@ def test_blocks_copies_and_repeated_rows(spark):
             component |= {k: min(ids) if ids else None for k in group}
     expected = sorted((str(rows[i][0]), len(links[i]), str(component[i])) for i in range(len(rows)))
     assert sorted((str(r["id"]), r["n_links"], str(r["component_id"])) for r in got) == expected
+
+
+def clusters(groups, members, scattered, dimension=16, spread=0.05, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = unit(rng.standard_normal((groups, dimension)))
+    near = np.repeat(centres, members, axis=0) + spread * rng.standard_normal((groups * members, dimension)) / np.sqrt(dimension)
+    return np.concatenate([unit(near), unit(rng.standard_normal((scattered, dimension)))])
+
+
+def brute(vectors, threshold):
+    near = vectors @ vectors.T >= threshold
+    np.fill_diagonal(near, False)
+    component = np.arange(len(vectors))
+    while True:
+        lowest = np.minimum(component, np.where(near, component[None, :], len(vectors)).min(1))
+        if (lowest == component).all():
+            return near.sum(1), component
+        component = lowest
+
+
+@pytest.mark.parametrize("threshold, spread", [(0.9, 0.05), (0.5, 0.6), (0.97, 0.3)])
+def test_blocks_by_centre_give_all_links(spark, threshold, spread):
+    vectors = clusters(12, 60, 80, spread=spread)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
+    got = sorted(map(tuple, C.near_duplicates(df, threshold, block=32).select("id", "n_links", "component_id").collect()))
+    links, component = brute(np.stack([np.array(v.tolist()) for v in vectors]), threshold)
+    assert got == list(zip(range(len(vectors)), links.tolist(), component.tolist(), strict=True))
+
+
+def classes_of(spark, vectors):
+    rows = [(i, len(v), 1, v.tolist()) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "class long, dimension int, weight long, vector array<double>")
+
+
+def test_far_blocks_never_meet(spark):
+    """Vectors in clusters are copied as often however many clusters there are; by hash each would go to all blocks."""
+    for groups in (10, 40):
+        vectors = clusters(groups, 50, 0, dimension=64)
+        dealt, ways = C.deal(classes_of(spark, vectors), 0.9, 32)
+        blocks = dealt.select("block").distinct().count()
+        copies = C.meetings(dealt, ways).count() / len(vectors)
+        assert blocks >= 2 * groups
+        assert copies <= 3
+
+
+def test_blocks_hold_no_more_than_asked_for_a_hot_centre(spark):
+    vectors = clusters(1, 1500, 100, dimension=32)
+    dealt, ways = C.deal(classes_of(spark, vectors), 0.9, 128)
+    sizes = [r["count"] for r in dealt.groupBy("block").count().collect()]
+    assert sum(sizes) == 1600 and max(sizes) < 2 * 128

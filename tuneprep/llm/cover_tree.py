@@ -1,6 +1,9 @@
 """Embedding near-duplicates: dual traversal of cover trees.
 
-Unit vectors are dealt into blocks of bounded size. Each block is a cover tree:
+Unit vectors are dealt into blocks of bounded size: by the nearest centre of an upper
+level of a cover tree, drawn from a bounded sample, or, where no centre is near, by
+hash. Blocks whose centres are too far apart for their covering radii never meet,
+and are not copied to one another; blocks without a centre meet all. Each block is a cover tree:
 levels of nested centres with halving radii (2, 1, 1/2, ...), where each centre of a
 level lies within the radius of one of the level above, and each node knows the
 exact distance of its farthest descendant. Two trees are traversed together: a pair
@@ -21,19 +24,29 @@ is no smallest id unless all are null. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tuneprep.llm.components import components
+from tuneprep.operators.joins import lookup_join
 from tuneprep.session import materialise
 
 THRESHOLD = 0.9
 # Vectors of a block, about; bounds the memory of a task.
 BLOCK = 4096
+# The vectors that the upper level is drawn from, about, in each dimension; they decide on blocks and not on results.
+SAMPLE = 4096
+# Centres of the upper level in all dimensions together, those with most vectors; and the radius of that level.
+CENTRES = 1024
+NEAR = 1 / 2
+# A centre needs so many vectors of the sample, and by them so large a part of a block.
+LEAST_SAMPLED, LEAST_PART = 4, 1 / 4
+# Blocks are numbered below their centre.
+_BELOW = 1 << 40
 # The smallest radius of a level; closer vectors hang below one centre.
 FINEST = 1 / 16
 # Pairs of nodes looked at at a time.
@@ -222,6 +235,110 @@ def _unit(block: pd.DataFrame) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
+def _upper(block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """From the sample of a dimension its centres that enough vectors are near to: (dimension, members, vector)."""
+
+    def centres(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("class", ignore_index=True)
+        vectors = _unit(rows)
+        places, members = np.unique(owners(vectors, NEAR)[-1], return_counts=True)
+        enough = (members >= LEAST_SAMPLED) & (members / len(rows) * rows["n"].iloc[0] >= LEAST_PART * block)
+        found = vectors[places[enough]]
+        return pd.DataFrame({"dimension": rows["dimension"].iloc[:1].repeat(len(found)).to_numpy(), "members": members[enough], "vector": list(found)})
+
+    return centres
+
+
+def _nearest(centres: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Add the nearest centre of a row's dimension, and the distance from it; -1 and 2 if none is near."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            centre, reach = np.full(len(batch), -1, np.int32), np.full(len(batch), 2.0)
+            for dimension, (numbers, vectors) in centres.items():
+                of = np.flatnonzero(batch["dimension"].to_numpy() == dimension)
+                for at in range(0, len(of), 1024):
+                    some = of[at : at + 1024]
+                    cosine = _unit(batch.iloc[some]) @ vectors.T
+                    best = cosine.argmax(1)
+                    gap = np.sqrt(np.maximum(0, 2 - 2 * cosine[np.arange(len(some)), best]))
+                    centre[some] = np.where(gap <= NEAR, numbers[best], -1)
+                    reach[some] = np.where(gap <= NEAR, gap, 2.0)
+            yield batch.assign(centre=centre, reach=reach)
+
+    return near
+
+
+def _partners(groups: list[Row], centres: dict[int, tuple[np.ndarray, np.ndarray]], far: float) -> list[tuple[int, int, int, int]]:
+    """(dimension, centre, other, blocks of the other) of all centres near enough for vectors below them to be linked."""
+    found = []
+    for dimension, (numbers, vectors) in centres.items():
+        of = {g["centre"]: g for g in groups if g["dimension"] == dimension}
+        here = [(i, of[n]) for i, n in enumerate(numbers.tolist()) if n in of]
+        places = np.array([i for i, _ in here], np.int64)
+        reach = np.array([g["reach"] for _, g in here])
+        gap = np.sqrt(np.maximum(0, 2 - 2 * vectors[places] @ vectors[places].T))
+        for a, b in np.argwhere(gap <= far + reach[:, None] + reach[None, :] + 1e-6).tolist():
+            found.append((dimension, here[a][1]["centre"], here[b][1]["centre"], here[b][1]["blocks"]))
+    return found
+
+
+def _key() -> Column:
+    """The name of a centre, or of the vectors of a dimension without one."""
+    return F.concat_ws(":", "dimension", "centre").alias("key")
+
+
+def _number(centre: Column, below: Column) -> Column:
+    return (centre.cast("bigint") + 1) * F.lit(_BELOW) + below
+
+
+def deal(classes: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """classes (class, dimension, weight, vector) with key and block; and for each key the keys that it meets.
+
+    The second table has key and met, an array of structs (other centre, its number of blocks), which names the own one too.
+    """
+    spark = classes.sparkSession
+    sizes = materialise(classes.groupBy("dimension").agg(F.count(F.lit(1)).alias("n")), "dimensions")
+    large = sizes.where(F.col("n") >= 2 * block)
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
+    sampled = lookup_join(classes, large, "dimension", "inner", ["class"]).where(F.pmod(F.xxhash64("class", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30))
+    upper = sampled.select("dimension", "class", "vector", "n").groupBy("dimension").applyInPandas(
+        _upper(block), "dimension int, members bigint, vector array<double>"
+    )
+    chosen = upper.orderBy(F.desc("members"), "dimension", "vector").limit(CENTRES).collect()
+    centres = {
+        d: (np.array([i for i, r in enumerate(chosen) if r["dimension"] == d], np.int64), np.array([r["vector"] for r in chosen if r["dimension"] == d]))
+        for d in {r["dimension"] for r in chosen}
+    }
+    columns = ["dimension", "class", "weight", "vector"]
+    rows = classes.select(*columns)
+    if not centres:
+        placed = rows.withColumns({"centre": F.lit(-1), "reach": F.lit(2.0)})
+    else:
+        schema = "dimension int, class bigint, weight bigint, vector array<double>, centre int, reach double"
+        placed = materialise(rows.mapInPandas(_nearest(centres), schema), "placed")
+    groups = placed.groupBy("dimension", "centre").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.max("reach").alias("reach"))
+    groups = materialise(groups, "groups")
+    # Blocks without a centre meet all of their dimension.
+    known = groups.where("centre >= 0")
+    free = groups.where("centre < 0").select("dimension", F.lit(-1).alias("other"), "blocks")
+    meet = groups.where("centre < 0").select("dimension", "centre").join(groups.select("dimension", F.col("centre").alias("other"), "blocks"), "dimension")
+    meet = meet.unionByName(known.select("dimension", "centre").join(free, "dimension"))
+    near = _partners(known.collect(), centres, math.sqrt(max(0.0, 2 - 2 * threshold)))
+    meet = meet.unionByName(spark.createDataFrame(near, "dimension int, centre int, other int, blocks bigint"))
+    ways = meet.groupBy(_key()).agg(F.collect_list(F.struct("other", "blocks")).alias("met"))
+    numbered = lookup_join(placed.withColumn("key", _key()), groups.select(_key(), "blocks"), "key", "inner", ["class"])
+    block_of = _number(F.col("centre"), F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("block")
+    return numbered.select(*columns, "key", block_of), materialise(ways, "ways")
+
+
+def meetings(dealt: DataFrame, ways: DataFrame) -> DataFrame:
+    """Each row of dealt once for each block that its block meets (other)."""
+    below = F.transform("met", lambda m: F.transform(F.sequence(F.lit(0).cast("bigint"), m["blocks"] - 1), lambda i: _number(m["other"], i)))
+    found = lookup_join(dealt, ways, "key", "inner", ["class"])
+    return found.select(*(c for c in dealt.columns if c != "key"), F.explode(F.flatten(below)).alias("other"))
+
+
 def _planted(rows: pd.DataFrame) -> pd.DataFrame:
     """The rows of a block with the owners that make it a cover tree, as places in the order of class."""
     rows = rows.sort_values("class", ignore_index=True)
@@ -279,15 +396,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         F.count(F.lit(1)).alias("weight"), F.min("row").alias("class"), F.min("id").alias("smallest")
     )
     classes = materialise(classes.withColumn("dimension", F.size("vector")), "classes")
-    groups = classes.groupBy("dimension").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = classes.join(F.broadcast(groups), "dimension").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    columns = "dimension int, class bigint, weight bigint, vector array<double>, block bigint, blocks bigint"
-    dealt = dealt.select("dimension", "class", "weight", "vector", "block", "blocks")
+    columns = "dimension int, class bigint, weight bigint, vector array<double>, key string, block bigint"
     # Each block becomes a tree once.
-    dealt = materialise(dealt.groupBy("dimension", "block").applyInPandas(_planted, columns + ", owners array<int>"), "trees")
-    # Block i meets itself and each other block once: the pair is named by both numbers.
-    partners = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    met = dealt.select("dimension", "block", "class", "weight", "vector", "owners", partners.alias("other")).select(
+    dealt, ways = deal(classes, threshold, block)
+    dealt = dealt.groupBy("dimension", "block").applyInPandas(_planted, columns + ", owners array<int>")
+    dealt = materialise(dealt, "trees")
+    # A block meets itself and each other one once: the pair is named by both numbers.
+    met = meetings(dealt, ways).select(
         "dimension",
         "block",
         "class",

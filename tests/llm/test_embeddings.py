@@ -117,3 +117,10 @@ def test_blocks_hold_no_more_than_asked_for_a_hot_centre(spark):
     dealt, ways = C.deal(classes_of(spark, vectors), 0.9, 128)
     sizes = [r["count"] for r in dealt.groupBy("block").count().collect()]
     assert sum(sizes) == 1600 and max(sizes) < 2 * 128
+
+
+def test_scattered_vectors_have_no_centre(spark):
+    vectors = clusters(0, 0, 400, dimension=64)
+    dealt, ways = C.deal(classes_of(spark, vectors), 0.9, 64)
+    assert {r["key"] for r in ways.collect()} == {"64:-1"}
+    assert dealt.count() == 400

@@ -244,7 +244,7 @@ def _upper(block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         places, members = np.unique(owners(vectors, NEAR)[-1], return_counts=True)
         enough = (members >= LEAST_SAMPLED) & (members / len(rows) * rows["n"].iloc[0] >= LEAST_PART * block)
         found = vectors[places[enough]]
-        return pd.DataFrame({"dimension": rows["dimension"].iloc[:1].repeat(len(found)).to_numpy(), "members": members[enough], "vector": list(found)})
+        return pd.DataFrame({"dimension": rows["dimension"].iloc[:1].repeat(len(found)).to_numpy(), "members": members[enough], "vector": pd.Series(list(found), dtype=object)})
 
     return centres
 

@@ -7,21 +7,21 @@ import pytest
 from tuneprep.llm import url_filter as U
 
 PAGES = [
-    (1, "http://Good.Example.COM/de/x?y", "see //hub.org/ and www.good.example.com"),
+    (1, "http://Good.Example.COM/de/x?y", "see http://hub.org/ and www.good.example.com // hub2.org"),
     (2, "https://good.example.com/en/1", None),
     (3, "https://www.example.com/en/1#t", ""),
     (4, "https://m.www.example.com/en", "<a href='http://bad.net/fr/'>"),
-    (5, "http://bad.net/fr/1", "//bad.net //bad.net"),
+    (5, "http://bad.net/fr/1", "http://bad.net src = '//bad.net'"),
     (6, "http://bad.net/en/1", "no link"),
-    (7, "http://farm.org/a", "//bad.net/x https://bad.net www.bad.net."),
-    (8, "http://hub.org", "//farm.org"),
-    (9, "http://hub.org?x://y.com/", "//other.org"),
+    (7, "http://farm.org/a", "<A HREF=//bad.net/x> HTTPS://bad.net www.bad.net."),
+    (8, "http://hub.org", 'href="//farm.org"'),
+    (9, "http://hub.org?x://y.com/", "https://other.org"),
     (10, "ftp://notnet/es/", None),
-    (11, None, "//bad.net"),
-    (12, "no scheme", "//bad.net"),
-    (13, "http:///es/", "//bad.net"),
-    (14, "http://net/es/", "//farm.org"),
-    (1, "http://com/", "//com"),
+    (11, None, "http://bad.net"),
+    (12, "no scheme", "http://bad.net"),
+    (13, "http:///es/", "http://bad.net"),
+    (14, "http://net/es/", "src=//farm.org"),
+    (1, "http://com/", "http://com"),
 ]
 
 
@@ -39,7 +39,7 @@ def expected(pages):
         if host and verdict:
             seeds[verdict][host] = seeds[verdict].get(host, 0) + 1
         for name in re.findall(U._LINK, html):
-            name = name.removeprefix("//").lower()
+            name = name.rpartition("//")[2].lower()
             if host and name != host:
                 weight[host, name] = weight.get((host, name), 0) + 1
     scores = {}
@@ -50,13 +50,22 @@ def expected(pages):
         out = {}
         for (a, _), w in flow.items():
             out[a] = out.get(a, 0) + w
-        now = dict(start)
-        for _ in range(U.ITERATIONS):
-            after = dict(start)
-            for (a, b), w in flow.items():
-                after[b] = after.get(b, 0) + U.DAMPING * now.get(a, 0) * w / out[a]
-            now = after
-        scores[verdict] = now
+        scores[verdict] = start, flow, out
+    # Both are moved on for the same number of steps, until what is left of each is small.
+    total = {v: dict(start) for v, (start, _, _) in scores.items()}
+    new = {v: dict(start) for v, (start, _, _) in scores.items()}
+    while True:
+        for _ in range(U.STEPS_PER_TABLE):
+            for verdict, (_, flow, out) in scores.items():
+                after = {}
+                for (a, b), w in flow.items():
+                    after[b] = after.get(b, 0) + U.DAMPING * new[verdict].get(a, 0) * w / out[a]
+                for b, w in after.items():
+                    total[verdict][b] = total[verdict].get(b, 0) + w
+                new[verdict] = after
+        if max(sum(x.values()) for x in new.values()) / (1 - U.DAMPING) <= U.TOLERANCE:
+            break
+    scores = total
     result = []
     for key, host, path, rule, verdict, _ in rows:
         trust, distrust = scores["allow"].get(host, 0.0), scores["block"].get(host, 0.0)
@@ -84,3 +93,29 @@ def test_whole_table(spark, folder):
     df = spark.read.parquet(f"{folder}/pages.parquet")
     pages = [(r["page_id"], r["url"], r["html"]) for r in df.collect()]
     compare(U.judge(df.withColumnRenamed("page_id", "id")).collect(), expected(pages))
+
+
+def test_what_is_a_link(spark):
+    html = """<a href = "//One.org/x"> <IMG SRC='//two.org'> // three.org //four.org/ http://five.org:80 //six
+      see www.seven.org. data-x="//eight.org" https://nine.org"""
+    df = spark.createDataFrame([("me.org", html)], "host string, html string")
+    assert {r["target"] for r in U.host_links(df).collect()} == {"one.org", "two.org", "five.org", "www.seven.org", "nine.org"}
+
+
+def test_hubs_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    pages = [(i, f"http://h{i}.net/{'es' if i % 7 == 0 else 'x'}/", "http://hub.com " + f"http://h{i * 3 % 50}.net") for i in range(50)]
+    pages += [(100 + i, "http://hub.com/", f"http://h{i}.net") for i in range(50)]
+    df = spark.createDataFrame(pages, "id long, url string, html string")
+    wanted = expected(pages)
+    compare(U.judge(df).collect(), wanted)
+    monkeypatch.setattr(U, "fits_broadcast", lambda table: False)
+    monkeypatch.setattr(U, "STEPS_PER_TABLE", 3)
+    monkeypatch.setattr(U, "TOLERANCE", 0.2)
+    links = U.host_links(df.select(U.parts(df["url"])[0].alias("host"), "html"))
+    seeds = spark.createDataFrame([("hub.com", 1.0, 0.0), ("h0.net", 0.0, 1.0)], "host string, trust double, distrust double")
+    spread = {r["host"]: r[1:] for r in U.propagate(links, seeds, tolerance=0.2).collect()}
+    monkeypatch.setattr(U, "fits_broadcast", lambda table: True)
+    usual = {r["host"]: r[1:] for r in U.propagate(links, seeds, tolerance=0.2).collect()}
+    assert spread.keys() == usual.keys()
+    for host, values in usual.items():
+        assert spread[host] == pytest.approx(values, abs=1e-12)

@@ -9,7 +9,9 @@ the margin is blocked, else allowed.
 Defined cases. A null url, or one without ``://``, has an empty host and path; no
 rule fits and, as it is no node of the graph, it is allowed. Links of a host to
 itself, and null pages, add nothing. Repeated pages count each time. Trust that
-reaches a host without links to others ends there. An empty table gives no rows.
+reaches a host without links to others ends there. Propagation ends when all that is
+still to come is at most a tolerance of the trust and of the distrust. A ``//`` alone, as in a
+comment of a script, is no link. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tuneprep.operators.joins import fits_broadcast, lookup_join, salted_join
 from tuneprep.session import materialise
 
 ALLOW, BLOCK = "allow", "block"
@@ -29,7 +32,8 @@ RULES = [
     ("net", "/fr/", BLOCK),
 ]
 DAMPING = 0.85
-ITERATIONS = 24
+# The part of all trust, and of all distrust, that may still be on its way at the end.
+TOLERANCE = 1e-3
 # How many steps of the propagation one table is written for.
 STEPS_PER_TABLE = 6
 MARGIN = 1.0
@@ -37,8 +41,9 @@ MARGIN = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOST = r"://([^/?#]*)"
 _PATH = r"://[^/?#]*([^?#]*)"
-# Places that name another host: absolute links, and host names in running text.
-_LINK = r"//[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|\bwww\.[A-Za-z0-9.-]*[A-Za-z0-9]"
+# Places that name another host: urls, links without a scheme in attributes, and host names in running text.
+_NAME = "[A-Za-z0-9.-]*[A-Za-z0-9]"
+_LINK = rf"(?:\b[Hh][Tt][Tt][Pp][Ss]?:|\b(?:[Hh][Rr][Ee][Ff]|[Ss][Rr][Cc])[ \t\r\n]*=[ \t\r\n]*[\"']?[ \t\r\n]*)//[A-Za-z0-9]{_NAME}|\b[Ww][Ww][Ww]\.{_NAME}"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -60,37 +65,62 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def host_links(pages: DataFrame) -> DataFrame:
     """(source, target, weight): how often the pages (host, html) of a host name another host."""
-    names = F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(0)), lambda x: F.translate(F.regexp_replace(x, "^//", ""), _UPPER, _LOWER))
+    names = F.transform(F.regexp_extract_all("html", F.lit(_LINK), F.lit(0)), lambda x: F.translate(F.regexp_replace(x, "(?s)^.*//", ""), _UPPER, _LOWER))
     links = pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(names).alias("target"))
     return links.where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of all hosts that trust or distrust reaches.
 
     links: source, target, weight; seeds: host, trust, distrust, each of which sums up to 1 or 0.
+    Each step moves on what arrived in the step before. The links of a hub are spread over
+    tasks: the moving table, one row per host, is broadcast if all hosts are measured to fit, else joined with salts.
     """
     out = links.groupBy("source").agg(F.sum("weight").alias("all_out"))
     into = links.groupBy("target").agg(F.sum("weight").alias("all_into"))
-    flows = links.join(out, "source").join(into, "target")
+    flows = lookup_join(lookup_join(links, out, "source", "inner", ["target"]), into, "target", "inner", ["source"])
     flows = materialise(
         flows.select(F.col("source").alias("host"), F.col("target").alias("to"), F.lit(True).alias("good"), (F.col("weight") / F.col("all_out") * damping).alias("share")).unionByName(
             flows.select(F.col("target").alias("host"), F.col("source").alias("to"), F.lit(False).alias("good"), (F.col("weight") / F.col("all_into") * damping).alias("share"))
         ),
         "flows",
     )
-    start = materialise(seeds.select("host", *((F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust"))), "seeds")
-    state = start
-    for step in range(1, iterations + 1):
-        moved = flows.join(state, "host").select(
+    edges = materialise(flows.groupBy("host").agg(F.count(F.lit(1)).alias("_rows")), "edges")
+    # More hosts than those with links never move anything on.
+    few = fits_broadcast(edges)
+
+    def moved(state: DataFrame) -> DataFrame:
+        moving = state.where("new_trust > 0 or new_distrust > 0").select("host", "new_trust", "new_distrust")
+        if few:
+            # Only hosts with links take part, so the broadcast is within what was measured.
+            moving = F.broadcast(moving.join(F.broadcast(edges.select("host")), "host", "left_semi"))
+            arrived = flows.join(moving, "host")
+        else:
+            arrived = salted_join(flows, moving, "host", "inner", ["to", "good"], counts=edges)
+        return arrived.select(
             F.col("to").alias("host"),
-            F.when(F.col("good"), F.col("trust") * F.col("share")).otherwise(0.0).alias("trust"),
-            F.when(F.col("good"), 0.0).otherwise(F.col("distrust") * F.col("share")).alias("distrust"),
+            *(F.lit(0.0).alias(c) for c in ("trust", "distrust")),
+            F.when(F.col("good"), F.col("new_trust") * F.col("share")).otherwise(0.0).alias("new_trust"),
+            F.when(F.col("good"), 0.0).otherwise(F.col("new_distrust") * F.col("share")).alias("new_distrust"),
         )
-        state = start.unionByName(moved).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust")))
-        if step % STEPS_PER_TABLE == 0 or step == iterations:
-            state = materialise(state, "trust")
-    return state
+
+    columns = ("trust", "distrust", "new_trust", "new_distrust")
+    first = [(F.col(c) * (1 - damping)).alias(n) for c, n in (("trust", "new_trust"), ("distrust", "new_distrust"))]
+    state = materialise(seeds.select("host", *(F.lit(0.0).alias(c) for c in columns[:2]), *first), "trust")
+    while True:
+        for _ in range(STEPS_PER_TABLE):
+            stays = state.select(
+                "host",
+                *((F.col(c) + F.col(f"new_{c}")).alias(c) for c in columns[:2]),
+                *(F.lit(0.0).alias(c) for c in columns[2:]),
+            )
+            state = stays.unionByName(moved(state)).groupBy("host").agg(*(F.sum(c).alias(c) for c in columns))
+        state = materialise(state, "trust")
+        left = state.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in columns[2:])).first()
+        # What is on its way now is damped at each further step.
+        if max(left) / (1 - damping) <= tolerance:
+            return state.select("host", *((F.col(c) + F.col(f"new_{c}")).alias(c) for c in columns[:2]))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, margin: float = MARGIN) -> DataFrame:
@@ -107,7 +137,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, mar
     seeds = counts.select(
         "host", *((F.col(f"n_{x}") / F.lit(float(max(1, n or 0)))).alias(c) for x, n, c in zip((ALLOW, BLOCK), totals, ("trust", "distrust"), strict=True))
     )
-    scores = propagate(host_links(cut), seeds)
+    # Pages are searched for links once.
+    scores = propagate(materialise(host_links(cut), "links"), seeds)
     found = judged.join(scores, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(distrust > trust * margin, F.lit(BLOCK)).otherwise(F.lit(ALLOW))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tuneprep.llm.sampling import sample
+from tuneprep.llm.sampling import sample, within_bytes
 from tuneprep.llm.words import slices, text_bytes
 
 UNDETERMINED = "und"
@@ -264,9 +264,9 @@ def _predicted(net: Network, batches: Iterator[pa.RecordBatch], text: int) -> It
 
 
 def fit(rows: DataFrame, per_language: int = DOCUMENTS_PER_LANGUAGE) -> Network:
-    """Train on at most per_language documents of each language. rows: id, text, lang."""
+    """Train on at most per_language documents of each language, bounded in bytes too. rows: id, text, lang."""
     known = rows.where("id is not null and text is not null and lang is not null").select("id", "text", "lang")
-    chosen = sample(known, "lang", "id", per_language).toArrow().to_pylist()
+    chosen = within_bytes(sample(known, "lang", "id", per_language), "lang", "id", per_language).toArrow().to_pylist()
     chosen.sort(key=lambda r: (r["lang"], str(r["id"]), r["text"]))
     return train([r["text"] for r in chosen], [r["lang"] for r in chosen])
 

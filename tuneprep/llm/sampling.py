@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tuneprep.operators.joins import fits_broadcast, lookup_join
 from tuneprep.session import materialise
 
+# Texts that a model learns from on the driver: none longer, and of each label no more bytes in all.
+LONGEST, BYTES_PER_LABEL = 1 << 20, 1 << 25
+
 
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of an id as text, modulo a divisor; null ids give null."""
@@ -35,3 +38,19 @@ def sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     chosen = materialise(first(near).select(label, key).distinct(), "sample")
     chosen = F.broadcast(chosen) if fits_broadcast(chosen) else chosen
     return first(rows.join(chosen, [label, key], "left_semi"))
+
+
+def within_bytes(
+    rows: DataFrame, label: str, key: str, per_label: int, longest: int = LONGEST, in_all: int = BYTES_PER_LABEL
+) -> DataFrame:
+    """The rows of a sample whose texts (column text) may be sent to the driver.
+
+    A bound on what is learned from, not on what is scored: texts of at most ``longest`` bytes, of
+    each label the first ``per_label`` rows in the order of the sample, also where rows repeat a key, and of
+    these as many as ``in_all`` bytes hold.
+    """
+    size = F.octet_length("text")
+    order = W.partitionBy(label).orderBy(F.xxhash64(key), key, F.xxhash64("text"))
+    first = rows.where(size <= longest).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label)
+    held = F.sum(size).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return first.withColumn("_held", held).where(F.col("_held") <= in_all).drop("_rank", "_held")

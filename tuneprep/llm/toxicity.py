@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tuneprep.llm.sampling import sample
+from tuneprep.llm.sampling import sample, within_bytes
 from tuneprep.llm.words import mix
 
 SIZES = (3, 4, 5, 6)
@@ -186,12 +186,13 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int
 def fit(documents: DataFrame, labels: DataFrame, per_label: int = DOCUMENTS_PER_LABEL) -> tuple[np.ndarray, float]:
     """(weight, offset) of a model trained on at most per_label documents of each label.
 
-    documents: id, text; labels: id, label (0 or 1). The sample is weighted back to the shares of all labels.
+    documents: id, text; labels: id, label (0 or 1). Texts are bounded in bytes too (sampling.within_bytes). The sample is weighted back to the shares of all labels.
     """
     known = labels.where("id is not null and label in (0, 1)").select("id", "label")
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = sample(known, "label", "id", per_label)
     texts = documents.where("text is not null").join(F.broadcast(chosen), "id").select("id", "label", "text")
+    texts = within_bytes(texts, "label", "id", per_label)
     rows = sorted(texts.toArrow().to_pylist(), key=lambda r: (str(r["id"]), r["label"], r["text"]))
     have = {x: sum(r["label"] == x for r in rows) for x in (0, 1)}
     if not have[0] or not have[1]:

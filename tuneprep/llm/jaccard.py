@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.llm.components import components
 from tuneprep.llm.words import Words, byte_class, lists, mix, shingles, slices
+from tuneprep.operators.bit_filter import bit_filter, may_match
 from tuneprep.operators.joins import fits_broadcast
 from tuneprep.session import materialise
 
@@ -229,6 +230,11 @@ def _block_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"x": names[x], "y": names[y], "x_size": sizes[x], "y_size": sizes[y]})
 
 
+def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be a wanted one (distinct): others go where they are read, and are not shuffled in vain."""
+    return rows.where(may_match(F.col(key), bit_filter(wanted, key, wanted.count())))
+
+
 def _block_comparer(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda rows: _block_pairs(rows, percent)
 
@@ -285,7 +291,9 @@ class _Join:
         pairs = pairs.dropDuplicates(["x", "y"])
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["x", "y"], "left_anti")
-        parts = self.prefixes.select(F.col("set"), "parts")
+        pairs = materialise(pairs, "candidates")
+        sets = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
+        parts = _only(self.prefixes.select("set", "parts"), sets, "set")
         pairs = pairs.join(parts.select(F.col("set").alias("x"), F.col("parts").alias("x_parts")), "x")
         pairs = pairs.join(parts.select(F.col("set").alias("y"), F.col("parts").alias("y_parts")), "y")
         most = F.aggregate(F.zip_with("x_parts", "y_parts", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
@@ -345,7 +353,9 @@ def _with_leaders(postings: DataFrame, tokens: DataFrame, percent: int, round_:
 def _in_blocks(postings: DataFrame, tokens: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y, x_size, y_size) of the open lists. Each block meets itself and each other block of its list once."""
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = postings.drop("n", "size", "place").join(tokens.select("token", "n"), "token").join(prefixes.select("set", "size", "tokens", "parts"), "set")
+    tokens = tokens.select("token", "n")
+    rows = materialise(_only(postings.drop("n", "size", "place"), tokens, "token").join(tokens, "token"), "open-postings")
+    rows = rows.join(_only(prefixes.select("set", "size", "tokens", "parts"), rows.select("set").distinct(), "set"), "set")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     met = rows.select(
         "token", "set", "size", "component", "tokens", "parts", "block",

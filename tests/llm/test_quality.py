@@ -95,3 +95,66 @@ def test_edges(spark, tmp_path):
         if r["doc_id"] is not None and r["doc_id"] < 30:
             by_text.setdefault(r["doc_id"] % len(TEXTS), set()).add(round(r["score"], 12))
     assert all(len(s) == 1 for s in by_text.values())
+
+
+def noisy(spark, count, share, seed=7):
+    """Documents whose labels follow the share of capitals, blurred; some without a label."""
+    rng = np.random.default_rng(seed)
+    capitals = rng.random(count)
+    texts = ["".join(np.where(rng.random(40) < c, "A", rng.choice(list("ab ,."), 40))) for c in capitals]
+    labels = (capitals + 0.3 * rng.standard_normal(count) > share).astype(int)
+    documents = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    return texts, labels, documents, spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels) if i % 10], "id long, label int")
+
+
+def test_all_labelled_documents_make_the_quantile(spark):
+    # More of each label than were drawn before, when the quantile was that of 2,000 of each.
+    texts, truth, documents, labels = noisy(spark, 6000, 0.5)
+    learned = np.arange(6000) % 10 > 0
+    assert min(np.bincount(truth[learned])) > 2400
+    model = Q.fit(documents, labels)
+    scores = model.score(Q.features(pa.array(texts)))[learned]
+    assert (scores < Q.CUT).sum() == (truth[learned] == 0).sum()
+
+
+def test_weights_minimise_the_loss_of_all_pairs(spark, monkeypatch):
+    texts, truth, documents, labels = noisy(spark, 300, 0.4)
+    monkeypatch.setattr(Q, "SETTLED", 1e-9)
+    monkeypatch.setattr(Q, "MOST_STEPS", 60)
+    model = Q.fit(documents, labels)
+    learned = np.arange(300) % 10 > 0
+    x, y = Q.features(pa.array(texts))[learned].astype(np.float64), truth[learned]
+    spread = x.std(axis=0)
+    used = spread > 1e-6
+    better, worse = (a.ravel() for a in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    z, weight = x[:, used] / spread[used], model.weight[used] * spread[used]
+    loss, gradient = Q.pair_loss(weight, z, better, worse)
+    start, first = Q.pair_loss(weight * 0, z, better, worse)
+    assert loss < 0.9 * start and np.linalg.norm(gradient) < 0.005 * np.linalg.norm(first)
+    assert (model.weight[~used] == 0).all()
+    # Joined by a shuffle, the documents are the same and so is the model, and its order of tasks does not matter.
+    monkeypatch.setattr(Q, "fits_broadcast", lambda table: False)
+    again = Q.fit(documents.repartition(5), labels)
+    assert again.weight == pytest.approx(model.weight, abs=1e-3) and again.offset == pytest.approx(model.offset, abs=1e-2)
+
+
+def test_pulls_of_scores_on_the_grid():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(1, 3, 200), np.append(rng.normal(-1, 3, 150), [-2000.0, 90.0])
+    total, up, down = Q.pulls(Q._spread(good, np.ones(200)), Q._spread(bad, np.ones(152)))
+    apart = good[:, None] - np.clip(bad, -Q.LIMIT, Q.LIMIT)
+    assert total == pytest.approx(np.logaddexp(0, -apart).sum(), rel=1e-4)
+    low, part = Q._on_grid(good)
+    assert up[low] * (1 - part) + up[low + 1] * part == pytest.approx((1 / (1 + np.exp(np.clip(apart, -500, 500)))).sum(1), abs=1e-2)
+    low, part = Q._on_grid(bad[:150])
+    assert down[low] * (1 - part) + down[low + 1] * part == pytest.approx((1 / (1 + np.exp(np.clip(apart, -500, 500)))).sum(0)[:150], abs=1e-2)
+
+
+def test_ranks_are_exact(spark):
+    rng = np.random.default_rng(4)
+    scores = np.concatenate([rng.standard_normal(500), [1e9, -1e9, 0.25, np.nextafter(0.25, 1)], np.full(50, 0.5)])
+    times = rng.integers(1, 4, len(scores))
+    table = spark.createDataFrame([(float(s), int(n)) for s, n in zip(scores, times, strict=True)], "score double, times long")
+    order = np.sort(np.repeat(scores, times))
+    for rank in (1, 2, len(order) // 2, int(np.searchsorted(order, 0.5)) + 3, int(np.searchsorted(order, 0.25)) + 1, len(order)):
+        assert Q.at_rank(table, rank) == order[rank - 1]

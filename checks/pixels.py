@@ -103,12 +103,13 @@ def _image_files(spark, folder):
     """A folder of images, one file for each page that has a payload, and the pages with paths into it.
 
     Three of four pages name their file, relative to the folder or in full; the others hold bytes.
+    A file takes far longer to make than to fill, so pages are dealt to all cores first, however the table is split.
     """
     base = new_path(spark, "images")
     pages = _images(spark, folder).select("page_id", F.col("image.bytes").alias("data"))
-    written = pages.where(F.col("data").isNotNull())
+    written = pages.where(F.col("data").isNotNull()).repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
     written.select("page_id", F.col("data").cast("string")).write.partitionBy("page_id").text(base)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    files = images.image_files(spark, base)
     number = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id")
     named = pages.join(files.select(number, "path"), "page_id", "left")
     relative = F.substring_index("path", "/", -2)

@@ -181,3 +181,29 @@ def test_images_of_an_empty_folder_and_no_rows(spark, tmp_path):
     assert files.with_bytes(rows.limit(0), F.col("image"), base, ["k"]).count() == 0
     with pytest.raises(ValueError, match="absolute"):
         files.image_headers(spark, "relative/folder")
+
+
+def test_a_tree_of_many_folders_is_listed_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.png").write_bytes(b"x" * (i + 1))
+    before = spark.conf.get(files.LISTING)
+    spark.sparkContext.setJobGroup("listing", "many folders")
+    try:
+        listed = files.image_files(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= files.LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(files.LISTING) == before
+    assert sorted(r["length"] for r in listed.select("length").collect()) == list(range(1, 301))
+
+
+def test_files_of_pages_are_written_by_all_cores(spark, folder):
+    from checks.pixels import _image_files
+
+    base, _ = _image_files(spark, folder)
+    names = [r["path"] for r in files.image_files(spark, base).select("path").collect()]
+    # The table is one row group, which one task wrote.
+    assert len({n.rsplit("/", 1)[1].split("-")[1] for n in names}) > spark.sparkContext.defaultParallelism

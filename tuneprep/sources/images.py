@@ -16,6 +16,8 @@ from tuneprep.session import materialise
 HEADER = 32
 # Larger files are listed and not opened.
 LARGEST_FILE = 256 * 1024 * 1024
+# Tasks that list a tree of folders.
+LISTING, LISTING_TASKS_PER_CORE = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
 
@@ -38,10 +40,20 @@ def path_below(path: Column, folder: str) -> Column:
     return F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)
 
 
-def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``path``, ``length`` and ``content`` of the files below a folder.
+
+    Spark lists a tree of many folders in a job of one task for each folder, up to 10,000, and
+    starting them takes longer than listing; here it has a few for each core. The setting holds while listing.
+    """
     _folder_path(folder)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return listed.option("pathGlobFilter", pattern).load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, min(int(before), LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    try:
+        return listed.load(folder)
+    finally:
+        spark.conf.set(LISTING, before)
 
 
 def image_headers(
@@ -52,7 +64,7 @@ def image_headers(
     Only the header leaves the task that reads a file. A file of more than ``largest`` bytes
     is not opened, and its header is null. The table is written, so files are read once.
     """
-    files = _files(spark, folder, pattern)
+    files = image_files(spark, folder, pattern)
     name = path_below(F.col("path"), folder).alias("image_path")
     opened = files.where(F.col("length") <= largest).select(
         name, "length", F.substring("content", 1, header).alias("header")
@@ -110,7 +122,7 @@ def with_bytes(
     so leave images out of everything before. A file is copied once for each salt of
     its path, so a path that a third of all rows name gives no task more than its share.
     """
-    files = _files(rows.sparkSession, folder, pattern).where(F.col("length") <= largest)
+    files = image_files(rows.sparkSession, folder, pattern).where(F.col("length") <= largest)
     table = files.select(path_below(F.col("path"), folder).alias("image_path"), F.col("content").alias("_content"))
     found = salted_join(_keyed(rows, image, folder), table, "image_path", "left", row_key)
     own = F.when(payload_kind(image) == "bytes", image["bytes"])

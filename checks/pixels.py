@@ -8,8 +8,8 @@ from checks import fixtures as fx
 from checks.oracle import joined, statement
 from checks.registry import check
 from tuneprep.functions import pixels
-from tuneprep.session import new_path
-from tuneprep.sources import images
+from tuneprep.session import held, materialise, new_path
+from tuneprep.sources import files, images
 
 # Headers whose width and height come from the key, as hex text.
 HEADERS = """
@@ -33,7 +33,7 @@ HEADERS = """
   from pages"""
 
 
-def _images(spark, folder):
+def _images(pages):
     """Pages as image payloads: header bytes of four formats, plain text, empty, or none."""
     k = F.col("page_id")
     width, height = 1 + k % 700, 1 + k % 90
@@ -62,7 +62,7 @@ def _images(spark, folder):
     payload = F.lit(None).cast("string")
     for number, kind in enumerate(kinds):
         payload = F.when(k % 9 == number, kind).otherwise(payload)
-    return fx.table(spark, folder, "pages").select(
+    return pages.select(
         "page_id",
         F.struct(
             F.unhex(payload).alias("bytes"),
@@ -89,7 +89,7 @@ def _images(spark, folder):
 def payload(spark, folder):
     image = F.col("image")
     size = pixels.image_size(image["bytes"])
-    return _images(spark, folder).select(
+    return _images(fx.table(spark, folder, "pages")).select(
         "page_id",
         pixels.payload_kind(image).alias("kind"),
         pixels.image_format(image["bytes"]).alias("format"),
@@ -99,6 +99,57 @@ def payload(spark, folder):
     )
 
 
+def _filled_by_tasks(pages, mounted):
+    """Write the payload of each page to a file of its own, and give the pages with its path below the folder.
+
+    Spark's writer starts processes for each file and folder it makes on a local or mounted disk, to set their
+    permissions, which takes far longer than to fill them. A file appears under its name when it is whole. Pages are
+    dealt to 256 folders, as a folder for each takes as much disk as its file.
+    """
+
+    def fill(batches):
+        import os
+        import zlib
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        for batch in batches:
+            keys, inline, data, paths = batch["page_id"], batch["inline"], batch["data"], []
+            for key, content in zip(keys.to_pylist(), data.to_pylist()):
+                if content is None:
+                    paths.append(None)
+                    continue
+                place = f"{zlib.crc32(str(key).encode()) % 256:02x}"
+                name = f"part-{task.partitionId():05d}-{key}.txt"
+                os.makedirs(f"{mounted}/{place}", exist_ok=True)
+                draft = f"{mounted}/{place}/.{name}.{task.taskAttemptId()}"
+                with open(draft, "wb") as file:
+                    file.write(content + b"\n")
+                os.replace(draft, f"{mounted}/{place}/{name}")
+                paths.append(f"{place}/{name}")
+            kept = pc.if_else(inline, data, pa.scalar(None, data.type))
+            yield pa.RecordBatch.from_arrays([keys, kept, pa.array(paths, pa.string())], ["page_id", "data", "image_path"])
+
+    filled = pages.mapInArrow(fill, "page_id bigint, data binary, image_path string")
+    return materialise(filled, "pages-of-images")
+
+
+def _filled_by_spark(pages, base):
+    """The same on a file system that only Spark reaches."""
+    written = pages.where(F.col("data").isNotNull())
+    written.select("page_id", F.col("data").cast("string")).write.mode("append").partitionBy("page_id").text(base)
+    number = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id")
+    relative = F.substring_index("path", "/", -2).alias("image_path")
+    spark = pages.sparkSession
+    with held(spark, images.OPEN_COST, images.IMAGE_OPEN_COST):
+        paths = materialise(images.image_files(spark, base).select(number, relative), "paths-of-images")
+    kept = pages.select("page_id", F.when(F.col("inline"), F.col("data")).alias("data"))
+    return kept.join(paths, "page_id", "left")
+
+
 def _image_files(spark, folder):
     """A folder of images, one file for each page that has a payload, and the pages with paths into it.
 
@@ -106,17 +157,17 @@ def _image_files(spark, folder):
     A file takes far longer to make than to fill, so pages are dealt to all cores first, however the table is split.
     """
     base = new_path(spark, "images")
-    pages = _images(spark, folder).select("page_id", F.col("image.bytes").alias("data"))
-    written = pages.where(F.col("data").isNotNull()).repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
-    written.select("page_id", F.col("data").cast("string")).write.partitionBy("page_id").text(base)
-    files = images.image_files(spark, base)
-    number = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id")
-    named = pages.join(files.select(number, "path"), "page_id", "left")
-    relative = F.substring_index("path", "/", -2)
-    path = F.when(F.col("path").isNull(), "not/there.png").when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(relative)
+    files.make_folder(spark, base)
     inline = F.col("page_id") % 4 == 0
-    image = F.struct(F.when(inline, F.col("data")).alias("bytes"), F.when(~inline, path).alias("path"))
-    return base, named.select("page_id", image.alias("image"))
+    dealt = fx.table(spark, folder, "pages").repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
+    pages = _images(dealt).select("page_id", inline.alias("inline"), F.col("image.bytes").alias("data"))
+    mounted = files.mounted_path(spark, base)
+    filled = _filled_by_spark(pages, base) if mounted is None else _filled_by_tasks(pages, mounted)
+    relative = F.col("image_path")
+    full = F.concat(F.lit(f"{base}/"), relative)
+    path = F.when(relative.isNull(), "not/there.png").when(F.col("page_id") % 2 == 0, full).otherwise(relative)
+    image = F.struct(F.col("data").alias("bytes"), F.when(~inline, path).alias("path"))
+    return base, filled.select("page_id", image.alias("image"))
 
 
 @check(

@@ -1,3 +1,4 @@
+import os
 import struct
 
 import pytest
@@ -207,3 +208,79 @@ def test_files_of_pages_are_written_by_all_cores(spark, folder):
     names = [r["path"] for r in files.image_files(spark, base).select("path").collect()]
     # The table is one row group, which one task wrote.
     assert len({n.rsplit("/", 1)[1].split("-")[1] for n in names}) > spark.sparkContext.defaultParallelism
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"a{i}.png").write_bytes(b"x" * 40)
+    cost = "spark.sql.files.openCostInBytes"
+    settings = {"spark.sql.files.maxPartitionBytes": "16m", cost: "4m"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        headers = files.image_headers(spark, str(tmp_path))
+        assert spark.conf.get(cost) == "4m"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Each task with rows writes a part; four files to a task made 75.
+    written = [p for p in headers.inputFiles() if "/part-" in p]
+    assert len(written) <= 2 * spark.sparkContext.defaultParallelism
+    assert headers.where("length = 40 and octet_length(header) = 32").count() == 300
+
+
+def html(key):
+    return "é" * (key % 3) + "\n" + "x" * key
+
+
+def pages(spark, folder, keys):
+    rows = [(k, f"u{k}", html(k or 0)) for k in keys]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def test_a_page_has_one_file_with_its_payload(spark, tmp_path):
+    from checks.pixels import _image_files
+
+    base, rows = _image_files(spark, pages(spark, tmp_path, [*range(60), None]))
+    root = base.removeprefix("file:")
+    found = {r["path"].split(root, 1)[1].lstrip("/"): bytes(r["content"]) for r in files.image_files(spark, base).collect()}
+    filled = [k for k in range(60) if k % 9 < 7]
+    named = {r["page_id"]: r["image"] for r in rows.collect()}
+    assert len(found) == len(filled) and len(named) == 61
+    for key in filled:
+        payload = b"" if key % 9 == 5 else html(key).encode()
+        if key % 4 == 0:
+            assert named[key]["path"] is None and named[key]["bytes"] + b"\n" in found.values()
+            assert named[key]["bytes"].endswith(payload)
+        else:
+            path = named[key]["path"]
+            content = found[path.split(root, 1)[-1].lstrip("/")]
+            assert named[key]["bytes"] is None and (root in path) == (key % 2 == 0)
+            assert content.endswith(payload + b"\n") and (key % 9 not in (4, 5) or content == payload + b"\n")
+    for key in {*named} - {*filled}:
+        path = None if key is None or key % 4 == 0 else "not/there.png"
+        assert (named[key]["bytes"], named[key]["path"]) == (None, path)
+    # Checksums and a mark of success are what Spark's writer leaves; it starts processes for each file.
+    assert not [name for _, _, names in os.walk(root) for name in names if name.startswith((".", "_"))]
+
+
+def test_files_are_the_same_where_only_spark_reaches_them(spark, tmp_path, monkeypatch):
+    from checks import pixels as checked
+
+    folder = pages(spark, tmp_path, range(40))
+    own = sorted(checked.images_by_path(spark, folder).collect(), key=lambda r: r["page_id"])
+    monkeypatch.setattr(checked.files, "mounted_path", lambda spark, path: None)
+    assert sorted(checked.images_by_path(spark, folder).collect(), key=lambda r: r["page_id"]) == own
+    assert len(own) == 40
+
+
+@pytest.mark.parametrize("keys", [[], [7, 8, 16]])
+def test_pages_without_any_payload(spark, tmp_path, keys):
+    from checks.pixels import images_by_path
+
+    got = images_by_path(spark, pages(spark, tmp_path, keys)).collect()
+    assert sorted((r["page_id"], r["fault"]) for r in got) == [
+        (k, "no_image" if k % 4 == 0 else "missing_file") for k in keys
+    ]

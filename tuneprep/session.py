@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def held(spark: SparkSession, setting: str, value: int | str) -> Iterator[None]:
+    """Hold a setting of the session while the block runs."""
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

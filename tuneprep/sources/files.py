@@ -13,6 +13,18 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def mounted_path(spark: SparkSession, path: str) -> str | None:
+    """The path as a task can open it itself, if it is on a local or mounted disk; else None."""
+    target, fs = _file_system(spark, path)
+    uri = fs.makeQualified(target).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.mkdirs(target)
+
+
 def names(spark: SparkSession, path: str, folders: bool = False) -> list[str]:
     """Names of the files (or folders) in a folder, in order; none if it does not exist."""
     target, fs = _file_system(spark, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tuneprep.functions.pixels import image_format, payload_fault, payload_kind
 from tuneprep.operators.joins import lookup_join, salted_join
-from tuneprep.session import materialise
+from tuneprep.session import held, materialise
 
 # Format and size stand in the first bytes of a file.
 HEADER = 32
@@ -18,6 +18,9 @@ HEADER = 32
 LARGEST_FILE = 256 * 1024 * 1024
 # Tasks that list a tree of folders.
 LISTING, LISTING_TASKS_PER_CORE = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4
+# So many bytes a file counts for besides its own when files are dealt to the tasks that read headers. With Spark's
+# 4 MB a task gets a few files, however small, and starting it takes longer than reading them.
+OPEN_COST, IMAGE_OPEN_COST = "spark.sql.files.openCostInBytes", "32k"
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
 
@@ -48,12 +51,9 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     """
     _folder_path(folder)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    before = spark.conf.get(LISTING)
-    spark.conf.set(LISTING, min(int(before), LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
-    try:
+    tasks = min(int(spark.conf.get(LISTING)), LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    with held(spark, LISTING, tasks):
         return listed.load(folder)
-    finally:
-        spark.conf.set(LISTING, before)
 
 
 def image_headers(
@@ -63,14 +63,15 @@ def image_headers(
 
     Only the header leaves the task that reads a file. A file of more than ``largest`` bytes
     is not opened, and its header is null. The table is written, so files are read once.
+    Files are told apart by the size that was listed, so Spark starts no tasks for the others if there are none.
     """
     files = image_files(spark, folder, pattern)
     name = path_below(F.col("path"), folder).alias("image_path")
-    opened = files.where(F.col("length") <= largest).select(
-        name, "length", F.substring("content", 1, header).alias("header")
-    )
-    others = files.where(F.col("length") > largest).select(name, "length", F.lit(None).cast("binary").alias("header"))
-    return materialise(opened.unionByName(others), "image-headers")
+    listed = F.col("_metadata.file_size")
+    opened = files.where(listed <= largest).select(name, "length", F.substring("content", 1, header).alias("header"))
+    others = files.where(listed > largest).select(name, "length", F.lit(None).cast("binary").alias("header"))
+    with held(spark, OPEN_COST, IMAGE_OPEN_COST):
+        return materialise(opened.unionByName(others), "image-headers")
 
 
 def _keyed(rows: DataFrame, image: Column, folder: str) -> DataFrame:
